@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 #: Bytes 9 to 13 and 32 part words.
@@ -46,7 +47,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[Bl
     """The blocks of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
     _, offsets, data = column.buffers()

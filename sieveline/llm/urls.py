@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def judge(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = automaton(strict, soft)
         for batch in batches:
-            texts = pa.compute.binary_join_element_wise(batch.column("host"), batch.column("path"), "").to_pylist()
+            texts = pc.binary_join_element_wise(batch.column("host"), batch.column("path"), "").to_pylist()
             pairs = [hits(terms, text.lower()) for text in texts]
             counts = [pa.array([p[i] for p in pairs], pa.int32()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *counts], ["key", "url", "host", "path", "strict_hits", "soft_hits"])
