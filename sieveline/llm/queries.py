@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, language, mixing, quality, sketch, toxicity, urls
+from . import bpe, html_text, language, mixing, quality, sketch, toxicity, urls
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,16 @@ def op8_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_scaled_sketch, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_scaled_sketch, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
