@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, html_text, language, mixing, quality, sketch, toxicity, urls
+from . import bpe, html_text, language, mixing, neardup, quality, sketch, toxicity, urls
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,8 +48,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_scaled_sketch, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.sql(), "op8_url_vocabulary": urls.sql()}
+    return {"op1_mix_sources": mixing.sql(), "op4_setsketch_dedup": neardup.sql(), "op8_url_vocabulary": urls.sql()}
