@@ -91,6 +91,26 @@ def mix(
     return _drawn(rows, aimed, rounds, bins)
 
 
+def copies(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of docs, all its columns, as often as ``mix`` takes it.
+
+    Rows and their draws meet by id, source and size; rows that agree in all
+    three are told apart by their turn, so repeated rows keep their own draws.
+    Whole texts are shuffled once.
+    """
+    key = ["doc_id", "source", "size"]
+    drawn = mix(docs, **how).filter("copies > 0")
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("copies").desc()))
+    drawn = drawn.withColumn("turn", turn).select(*(F.col(c).alias(f"_{c}") for c in (*key, "turn", "copies")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", n_words().alias("size"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("row")))
+    same = rows["turn"] == drawn["_turn"]
+    for c in key:
+        same &= rows[c].eqNullSafe(drawn[f"_{c}"])
+    repeated = rows.join(drawn, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select("row.*")
+
+
 def _drawn(rows: DataFrame, aimed: DataFrame, rounds: int, bins: int) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = (
