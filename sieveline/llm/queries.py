@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, html_text, language, mixing, neardup, quality, sketch, toxicity, urls
+from . import bpe, html_text, language, media, mixing, neardup, quality, sketch, toxicity, urls
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store(table(spark, sf_dir, "documents")))
+
+
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_progressive_jpeg, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
