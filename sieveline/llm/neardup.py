@@ -108,6 +108,24 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.nd
     return out
 
 
+def signature(table: np.ndarray) -> np.ndarray:
+    """Four bits of each register, in 64-bit words: what members of a bucket are first compared by."""
+    low = (table & 15).astype(np.uint8)
+    return np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2]).view(np.uint64)
+
+
+def agreeing(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Registers of each signature that agree with one signature's in their four bits."""
+    x = rows ^ one
+    x |= x >> U64(2)
+    x |= x >> U64(1)
+    return REGISTERS - np.bitwise_count(x & U64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
+#: Of REGISTERS, how many agree at a likeness of the threshold less the margin; a sixteenth of the others agree by chance.
+AGREE = int(REGISTERS * (1 - (1 - (OF / MANY - MARGIN)) * 15 / 16))
+
+
 def _class_of(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -125,13 +143,24 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     batch.column("doc_id")[block.first : block.first + len(block)],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_class_of(s) for s in sets], pa.binary()),
-                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([r.tobytes() if len(r) else None for r in (registers(s) if len(s) else s for s in sets)], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "registers"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, registers binary")
 
 
+def signatures(classes: DataFrame) -> DataFrame:
+    """node, n_shingles and signature of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = signature(_table(batch.column("registers")))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "n_shingles", "signature"])
+
+    return classes.select("node", "n_shingles", "registers").mapInArrow(run, "node long, n_shingles long, signature binary")
+
+
 def _table(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
@@ -205,7 +234,7 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int
 
 
 def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components that the estimate leaves.
+    """Pairs (a, b) of members of one bucket in different components whose sizes and signatures are close.
 
     Members are dealt in blocks of ROWS, and each two blocks of a bucket are
     compared in a task of their own, so a large bucket is neither held nor
@@ -216,20 +245,20 @@ def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
     last = F.max("block").over(Window.partitionBy("key"))
     dealt = blocked.withColumn("last", last).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
-    rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
+    rows = dealt.join(signatures(classes), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
         (_, i, j), a, b = group[0][0], [], []
         node, comp, n = (np.array([r[c] for r in group]) for c in (2, 3, 4))
-        table = np.frombuffer(b"".join(r[5] for r in group), np.uint16).reshape(-1, REGISTERS)
+        table = np.frombuffer(b"".join(r[5] for r in group), np.uint64).reshape(len(group), -1)
         block = np.array([r[1] for r in group])
         for x in np.flatnonzero(block == i):
             against = (node > node[x]) if i == j else (block == j)
-            against &= comp != comp[x]
+            against &= (comp != comp[x]) & (MANY * n >= OF * n[x]) & (MANY * n[x] >= OF * n)
             at = np.flatnonzero(against)
             if len(at):
-                at = at[close(table[at], np.broadcast_to(table[x], (len(at), REGISTERS)), n[at], np.full(len(at), n[x]))]
+                at = at[agreeing(table[at], table[x]) >= AGREE]
                 a += [min(node[x], node[y]) for y in at]
                 b += [max(node[x], node[y]) for y in at]
         return a, b
@@ -239,7 +268,7 @@ def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             a: list[int] = []
             b: list[int] = []
-            names = ("key", "i", "j", "block", "node", "comp", "n_shingles", "registers")
+            names = ("key", "i", "j", "block", "node", "comp", "n_shingles", "signature")
             for key, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if group and group[0][0] != (key, i, j):
                     x, y = compare(group)
@@ -286,7 +315,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         pairs = left.join(heads, "key").filter("comp <> head.comp")
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         links, found, left = _joined(links, confirmed(estimated(pairs, classes), texts, k), members)
-    links, found, left = _joined(links, confirmed(crossed(left, classes), texts, k), None)
+    links, found, left = _joined(links, confirmed(estimated(crossed(left, classes), classes), texts, k), None)
 
     own = classes.select("class", "node", "least").join(found, "node", "left")
     own = own.select("class", "least", F.coalesce("component", "node").alias("comp"))
