@@ -7,11 +7,13 @@ sets are alike. Documents with one and the same set form a class first, by
 aggregation, so that groups of exact copies cost one sketch.
 
 Candidates come from bands of ``WIDTH`` registers. Every class meets only one
-representative of each of its buckets, in two rounds with different ones, so the
-pairs grow with the classes and not with the squares of buckets. Buckets whose
-members are then in one component are done. In those that are left, and only
-there, members of different components are compared with each other, in blocks
-of bounded size, so no link is lost to the choice of representatives.
+representative of each of its buckets, in a few rounds, each with an order of
+its own in which the first member represents, so the pairs grow with the classes
+and not with the squares of buckets. Buckets whose members are then in one
+component are done. In those that are left, and only there, members of different
+components are compared with each other, in blocks of bounded size, so no link
+is lost to the choice of representatives. A pair is named by the first band that
+it shares alone.
 
 A pair's likeness is estimated by maximum likelihood from the counts of larger,
 smaller and equal registers and the two set sizes together; a pair well below the
@@ -22,6 +24,7 @@ and the margin of the estimate is more than four standard errors.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +38,10 @@ from .components import components
 from .text import U64, blocks, mix, shingles
 
 REGISTERS = 320
-SPACING = 1.001
+#: Ratio of neighbouring values: registers of sets of up to a thousand million shingles fit in a byte.
+SPACING = 1.1
+#: Rounds of representatives.
+ROUNDS = 3
 RATE = 20.0
 BANDS, WIDTH = 48, 5
 SHINGLE = 4
@@ -62,7 +68,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
         np.maximum(top, x.max(axis=0), out=top)
     # the least of -ln(u) / RATE is at the largest u
     least = -np.log((top.astype(np.float64) + 0.5) / 2**32) / RATE
-    return np.clip(np.floor(1 - np.log(least) / np.log(SPACING)), 0, 65535).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(least) / np.log(SPACING)), 0, 255).astype(np.uint8)
 
 
 def band_keys(table: np.ndarray) -> np.ndarray:
@@ -98,7 +104,7 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.nd
     """Which rows of two register tables may be linked, by sizes and the estimate."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     out = MANY * small >= OF * large
-    same = (a == b).sum(1)
+    same = agreeing(a, b)
     out &= same >= (OF / MANY - 2 * MARGIN) * REGISTERS
     at = np.flatnonzero(out)
     if len(at):
@@ -108,22 +114,18 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.nd
     return out
 
 
-def signature(table: np.ndarray) -> np.ndarray:
-    """Four bits of each register, in 64-bit words: what members of a bucket are first compared by."""
-    low = (table & 15).astype(np.uint8)
-    return np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2]).view(np.uint64)
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Registers in which each row of a agrees with b's row, or with the one row of b."""
+    x = a.view(np.uint64) ^ b.view(np.uint64)
+    for shift in (4, 2, 1):
+        x |= x >> U64(shift)
+    return REGISTERS - np.bitwise_count(x & U64(0x0101010101010101)).sum(-1, dtype=np.int64)
 
 
-def agreeing(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Registers of each signature that agree with one signature's in their four bits."""
-    x = rows ^ one
-    x |= x >> U64(2)
-    x |= x >> U64(1)
-    return REGISTERS - np.bitwise_count(x & U64(0x1111111111111111)).sum(1, dtype=np.int64)
-
-
-#: Of REGISTERS, how many agree at a likeness of the threshold less the margin; a sixteenth of the others agree by chance.
-AGREE = int(REGISTERS * (1 - (1 - (OF / MANY - MARGIN)) * 15 / 16))
+def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which rows agree; BANDS without one."""
+    alike = (a == b)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(2)
+    return np.where(alike.any(1), alike.argmax(1), BANDS)
 
 
 def _class_of(own: np.ndarray) -> bytes:
@@ -150,31 +152,21 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, registers binary")
 
 
-def signatures(classes: DataFrame) -> DataFrame:
-    """node, n_shingles and signature of every class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = signature(_table(batch.column("registers")))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "n_shingles", "signature"])
-
-    return classes.select("node", "n_shingles", "registers").mapInArrow(run, "node long, n_shingles long, signature binary")
-
-
 def _table(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """key and node of every band of every class."""
+    """key, band and node of every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = band_keys(_table(batch.column("registers")))
             nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
+            bands = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(bands), pa.array(nodes)], ["key", "band", "node"])
 
-    return classes.select("node", "registers").mapInArrow(run, "key long, node long")
+    return classes.select("node", "registers").mapInArrow(run, "key long, band byte, node long")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -234,33 +226,38 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int
 
 
 def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components whose sizes and signatures are close.
+    """Pairs (a, b) of members of one bucket in different components that the estimate leaves.
 
     Members are dealt in blocks of ROWS, and each two blocks of a bucket are
-    compared in a task of their own, so a large bucket is neither held nor
-    compared in one place.
+    compared in a group of their own, so a large bucket is neither held nor
+    compared in one place. A pair that shares several buckets comes from the
+    first alone.
     """
     order = Window.partitionBy("key").orderBy("node")
     blocked = open_members.withColumn("block", F.floor((F.row_number().over(order) - 1) / ROWS).cast("int"))
     last = F.max("block").over(Window.partitionBy("key"))
     dealt = blocked.withColumn("last", last).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
-    rows = dealt.join(signatures(classes), "node")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp")
+    rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
-        (_, i, j), a, b = group[0][0], [], []
-        node, comp, n = (np.array([r[c] for r in group]) for c in (2, 3, 4))
-        table = np.frombuffer(b"".join(r[5] for r in group), np.uint64).reshape(len(group), -1)
-        block = np.array([r[1] for r in group])
+        (_, i, j), band = group[0][:2]
+        block, node, comp, n = (np.array([r[c] for r in group]) for c in (2, 3, 4, 5))
+        table = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(-1, REGISTERS)
+        a: list[int] = []
+        b: list[int] = []
         for x in np.flatnonzero(block == i):
             against = (node > node[x]) if i == j else (block == j)
             against &= (comp != comp[x]) & (MANY * n >= OF * n[x]) & (MANY * n[x] >= OF * n)
             at = np.flatnonzero(against)
             if len(at):
-                at = at[agreeing(table[at], table[x]) >= AGREE]
-                a += [min(node[x], node[y]) for y in at]
-                b += [max(node[x], node[y]) for y in at]
+                own = np.ascontiguousarray(np.broadcast_to(table[x], (len(at), REGISTERS)))
+                keep = close(table[at], own, n[at], np.full(len(at), n[x]))
+                at, own = at[keep], own[keep]
+                at = at[first_band(table[at], own) == band]
+                a += np.minimum(node[x], node[at]).tolist()
+                b += np.maximum(node[x], node[at]).tolist()
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +265,7 @@ def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             a: list[int] = []
             b: list[int] = []
-            names = ("key", "i", "j", "block", "node", "comp", "n_shingles", "signature")
+            names = ("key", "i", "j", "band", "block", "node", "comp", "n_shingles", "registers")
             for key, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if group and group[0][0] != (key, i, j):
                     x, y = compare(group)
@@ -283,8 +280,8 @@ def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node and comp of the buckets whose members are in several components."""
-    own = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    """key, band, node and comp of the buckets whose members are in several components."""
+    own = members.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
     return own.join(mixed, "key", "left_semi")
 
@@ -304,18 +301,20 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     classes = shared_checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
 
     bucket = Window.partitionBy("key")
-    members = banded(classes).withColumn("size", F.count("*").over(bucket)).filter("size > 1").select("key", "node")
+    members = banded(classes).withColumn("size", F.count("*").over(bucket)).filter("size > 1").select("key", "band", "node")
     members = shared_checkpoint(members)
     texts = shared_checkpoint(matched_texts(docs, classes, members.select("node").distinct(), k))
 
     links, left = None, members.withColumn("comp", F.col("node"))
-    for chance in (False, True):
-        first = F.xxhash64("key", "node") if chance else F.col("node")
+    for turn in range(ROUNDS):
+        first = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
         heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("head"))
         pairs = left.join(heads, "key").filter("comp <> head.comp")
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         links, found, left = _joined(links, confirmed(estimated(pairs, classes), texts, k), members)
-    links, found, left = _joined(links, confirmed(estimated(crossed(left, classes), classes), texts, k), None)
+        _let_go(docs)
+    links, found, left = _joined(links, confirmed(crossed(left, classes), texts, k), None)
+    _let_go(docs)
 
     own = classes.select("class", "node", "least").join(found, "node", "left")
     own = own.select("class", "least", F.coalesce("component", "node").alias("comp"))
@@ -327,6 +326,12 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
 
 
+def _let_go(df: DataFrame) -> None:
+    """Have the driver collect what is unreachable, on which Spark drops the shuffle files behind checkpoints."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _joined(links: DataFrame | None, new: DataFrame, members: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """All links as stars of their components, the components, and the buckets still open."""
     found = shared_checkpoint(components(new if links is None else links.unionByName(new)))
