@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "q_summary"
+from .plans import metric_queries
+
+MODULES = (metric_queries,)
+FLAGSHIP = "ag01_confusion_metrics"
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

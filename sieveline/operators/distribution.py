@@ -1,0 +1,145 @@
+"""Calibration, risk and distribution measures of evaluation records."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.inference import ratio
+from .metrics import CONFIG, abstained, failed
+
+#: Ten equal bins as their edges are in floating point (the 4th, 7th and 8th are not the decimal ones).
+ECE_EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
+EPSILON = 1e-6
+QUANTILES = {"latency_seconds": (0.5, 0.9, 0.95, 0.99), "confidence": (0.05, 0.1, 0.25, 0.75, 0.9, 0.95)}
+
+
+def safe_double(c: str | Column) -> Column:
+    """A number, or null for what is none; infinite and not-a-number values are kept out as well."""
+    value = (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def scored(records: DataFrame) -> DataFrame:
+    """Answered rows with a usable confidence: conf, ok, p_fake and y_fake."""
+    said, gold = F.lower(F.trim("prediction")), F.lower(F.trim(F.coalesce("label", F.lit(""))))
+    rows = records.filter(~failed() & ~abstained()).withColumn("conf", clamp(safe_double("confidence"))).filter("conf IS NOT NULL")
+    return rows.withColumns(
+        {
+            "ok": (said == gold).cast("int"),
+            "p_fake": F.when(said == "fake", F.col("conf")).otherwise(1 - F.col("conf")),
+            "y_fake": (gold == "fake").cast("int"),
+        }
+    )
+
+
+def ece_bin(conf: Column, edges: tuple[float, ...] = ECE_EDGES) -> Column:
+    """Bin of a confidence: half-open, the last one closed."""
+    out = F.lit(len(edges) - 2)
+    for i in reversed(range(len(edges) - 2)):
+        out = F.when(conf < edges[i + 1], i).otherwise(out)
+    return out
+
+
+def ece(records: DataFrame, by: tuple[str, ...] = CONFIG) -> DataFrame:
+    """Expected calibration error of the predicted label, ten bins."""
+    binned = scored(records).groupBy(*by, ece_bin(F.col("conf")).alias("bin")).agg(F.count("*").alias("n"), F.sum("ok").alias("right"), F.sum("conf").alias("said"))
+    gap = F.abs(F.col("right") - F.col("said"))
+    return binned.groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
+
+
+def brier_and_logloss(records: DataFrame, by: tuple[str, ...] = CONFIG) -> DataFrame:
+    """Brier score and log loss of p(fake), clipped away from 0 and 1."""
+    p = clamp(F.col("p_fake"), EPSILON, 1 - EPSILON)
+    y = F.col("y_fake")
+    return scored(records).groupBy(*by).agg(F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("logloss"))
+
+
+def risk_coverage(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "event_id") -> DataFrame:
+    """The risk-coverage curve: m most confident rows of n, and the share of them that is wrong.
+
+    Ties of confidence are ordered by the key, so the curve is defined.
+    """
+    order = Window.partitionBy(*by).orderBy(F.col("conf").desc(), F.col(key))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.count("*").over(Window.partitionBy(*by))
+    rows = scored(records).select(*by, key, "conf", "ok").withColumns({"m": F.row_number().over(order), "n": n, "right": F.sum("ok").over(upto)})
+    return rows.withColumn("risk", 1 - F.col("right") / F.col("m"))
+
+
+def aurc(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "event_id") -> DataFrame:
+    """Area under the risk-coverage curve by trapezoids: all risks but half the last, by n."""
+    weight = F.when(F.col("m") == F.col("n"), 0.5).otherwise(1.0)
+    return risk_coverage(records, by, key).groupBy(*by).agg((F.sum(F.col("risk") * weight) / F.max("n")).alias("aurc"))
+
+
+def percentiles(df: DataFrame, column: str, ps: tuple[float, ...], by: tuple[str, ...] = CONFIG) -> DataFrame:
+    """Exact percentiles with linear interpolation, mean and median; nulls are left out."""
+    found = F.percentile(column, F.array(*map(F.lit, ps)))
+    rows = df.groupBy(*by).agg(found.alias("ps"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.count(column).alias("n"))
+    return rows.select(*by, *(F.col("ps")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(ps)), "mean", "median", "n")
+
+
+def timing(records: DataFrame, by: tuple[str, ...] = CONFIG, fast: float = 0.25) -> DataFrame:
+    """Latency percentiles, tool seconds and counts by row, and the share of fast vision calls."""
+    seconds = F.filter(F.transform("tool_details", lambda d: d["seconds"]), lambda s: s.isNotNull())
+    rows = records.withColumns(
+        {
+            "vision": F.col("latency_seconds") / 4,
+            "tool_n": F.when(F.size(seconds) > 0, F.size(seconds)),
+            "tool_s": F.when(F.size(seconds) > 0, F.aggregate(seconds, F.lit(0.0), lambda a, s: a + s)),
+        }
+    )
+
+    def ps(column: str, *points: float) -> list[Column]:
+        found = F.percentile(column, F.array(*map(F.lit, points)))
+        return [F.round(found[i], 8).alias(f"{column}_p{round(100 * p)}") for i, p in enumerate(points)]
+
+    return rows.groupBy(*by).agg(
+        *ps("latency_seconds", 0.5, 0.9, 0.95, 0.99), *ps("vision", 0.5, 0.9, 0.95), *ps("tool_s", 0.5, 0.9, 0.95), *ps("tool_n", 0.5, 0.9, 0.95),
+        F.round(ratio(F.count_if(F.col("vision") < fast), F.count("vision")), 8).alias("vision_fast"), F.count("vision").alias("vision_samples"),
+    )
+
+
+def tool_usage(records: DataFrame, by: tuple[str, ...] = CONFIG) -> DataFrame:
+    """Calls and callers of each tool in each group."""
+    return records.withColumn("tool", F.explode("tool_usage")).groupBy(*by, "tool").agg(F.count("*").alias("calls"))
+
+
+def top_tools(records: DataFrame, k: int = 15) -> DataFrame:
+    """The k most called tools; ties by name."""
+    calls = records.select(F.explode("tool_usage").alias("tool")).groupBy("tool").agg(F.count("*").alias("calls"))
+    return calls.orderBy(F.desc("calls"), "tool").limit(k)
+
+
+def fingerprint(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "sample_id") -> DataFrame:
+    """What a group's data set is: rows, distinct ids, a hash of the sorted ids, the first ten.
+
+    The hash is of all ids in one text, so each group's ids are gathered; a group
+    is the data set of one run, whose ids a task can hold.
+    """
+    ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
+    found = records.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_ids"), ids.alias("ids"))
+    digest = F.substring(F.sha2(F.array_join("ids", "\n"), 256), 1, 16)
+    return found.select(*by, "n", "n_ids", digest.alias("fingerprint"), F.array_join(F.slice("ids", 1, 10), ",").alias("first_ids"))
+
+
+def provenance(records: DataFrame, by: tuple[str, ...] = CONFIG, k: int = 5) -> DataFrame:
+    """The k models that most rows name as their vision model, and the share of rows that name any."""
+    counted = records.filter("vision_model IS NOT NULL").groupBy(*by, "vision_model").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "vision_model")
+    share = records.groupBy(*by).agg(F.round(ratio(F.count("vision_model"), F.count("*")), 8).alias("present"))
+    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).join(share, list(by))
+
+
+def inferred_vision_model(records: DataFrame, by: tuple[str, ...] = CONFIG, default: str = "unknown") -> DataFrame:
+    """Each group's vision model: the most named one (ties by name), else the default, and which rule said so."""
+    counted = records.filter("coalesce(vision_model, '') <> ''").groupBy(*by, "vision_model").agg(F.count("*").alias("n"))
+    best = counted.groupBy(*by).agg(F.min_by("vision_model", F.struct(-F.col("n"), F.col("vision_model"))).alias("named"))
+    groups = records.select(*by).distinct().join(best, list(by), "left")
+    source = F.when(F.col("named").isNotNull(), "models_field").otherwise("default")
+    return groups.select(*by, F.coalesce("named", F.lit(default)).alias("vision_model"), source.alias("source"))
