@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("json", T.StringType())]))
 # The words of a verdict.
 FAKE_WORDS = ("fake", "ai-generated", "ai generated", "synthetic", "manipulated", "tampered", "tamper", "deepfake", "ai")
 REAL_WORDS = ("real", "authentic", "natural", "genuine")
@@ -35,26 +37,21 @@ def final_verdict(parsed: Column, analysis: Column) -> Column:
 
 
 def _weight(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Matches of the patterns, those that start in the last part of the text twice.
-
-    A match starts late if more than LATE of the text lies before it, so the late
-    part begins at a position: its matches are those of the whole text less those
-    of what lies before, cut so that no match is split by the cut's own word.
-    """
-    total = F.lit(0.0)
-    for pattern in patterns:
+    """Matches of the patterns, those that start after LATE of the text twice."""
+
+    def counted(pattern: str) -> Column:
         # cutting the text at each match gives the match starts without leaving the engine
         pieces = F.split(text, pattern)
         found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("w"), F.lit(0).alias("i"))
 
-        def step(state: Column, match: Column, pieces: Column = pieces) -> Column:
+        def step(state: Column, match: Column) -> Column:
             at = state["at"] + F.length(F.get(pieces, state["i"]))
             weight = F.when(at / F.length(text) > LATE, 2.0).otherwise(1.0)
             return F.struct((at + F.length(match)).alias("at"), (state["w"] + weight).alias("w"), (state["i"] + 1).alias("i"))
 
-        total = total + F.aggregate(found, start, step, lambda s: s["w"])
-    return total
+        return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("w"), F.lit(0).alias("i")), step, lambda s: s["w"])
+
+    return sum((counted(pattern) for pattern in patterns), F.lit(0.0))
 
 
 def extract_verdict(c: Column) -> Column:
@@ -91,6 +88,11 @@ def canonical_params(c: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many digits, rounded on its exact binary value: format_string would round its shortest decimal."""
+    return F.replace(F.format_number(c.cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def cache_key(tool: Column, content_hash: Column, params: Column) -> Column:
     """File name of a cached tool output: the tool and 16 hex digits of its canonical key."""
     own = F.coalesce(F.size(F.map_filter(params, lambda _, v: v.isNotNull())), F.lit(0)) > 0
@@ -105,19 +107,18 @@ def format_bytes(c: Column) -> Column:
     n = F.greatest(c, F.lit(0))
     out = F.when(c.isNull(), "N/A").when(n < 1024, F.format_string("%d B", n.cast("long")))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB")):
-        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.2f {unit}", n / float(1024**power)))
-    return out.otherwise(F.format_string("%.2f TiB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (power + 1), F.concat(fixed(n / float(1024**power), 2), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(fixed(n / float(1024**4), 2), F.lit(" TiB")))
 
 
 def format_seconds(c: Column) -> Column:
     """Seconds with fewer digits as they grow; N/A for null or negative."""
-    return (
-        F.when(c.isNull() | (c < 0), "N/A").when(c < 1, F.format_string("%.3fs", c)).when(c < 10, F.format_string("%.2fs", c)).otherwise(F.format_string("%.1fs", c))
-    )
+    shown = F.when(c < 1, fixed(c, 3)).when(c < 10, fixed(c, 2)).otherwise(fixed(c, 1))
+    return F.when(c.isNull() | (c < 0), "N/A").otherwise(F.concat(shown, F.lit("s")))
 
 
 def format_number(c: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", c.try_cast("double")), F.lit("n/a"))
+    return F.coalesce(fixed(c.try_cast("double"), digits), F.lit("n/a"))
 
 
 def markdown_cell(c: Column) -> Column:
@@ -231,7 +232,7 @@ def json_objects(text: str) -> Iterator[tuple[int, int, str]]:
                 yield start, i + 1, text[start : i + 1]
 
 
-@F.pandas_udf("array<struct<start:int,end:int,json:string>>")
+@F.pandas_udf(SPANS)
 def json_spans(texts: pd.Series) -> pd.Series:
     """All valid JSON objects embedded in a text, with their places."""
     import json
@@ -245,7 +246,7 @@ def json_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b, "json": raw} for a, b, raw in json_objects(t or "") if valid(raw)])
 
 
-@F.udtf(returnType="start: int, end: int, json: string")
+@F.udtf(returnType=T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("json", T.StringType())]))
 class JsonSpans:
     """json_spans as a table function: one row an object."""
 

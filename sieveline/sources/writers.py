@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import markdown_cell
+from ..functions.text import fixed, markdown_cell
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -30,7 +30,7 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists") ->
 def cell(df: DataFrame, name: str) -> Column:
     """A table cell: floating numbers with three digits."""
     kind = dict(df.dtypes)[name]
-    return markdown_cell(F.format_string("%.3f", name) if kind in ("double", "float") else F.col(name).cast("string"))
+    return markdown_cell(fixed(F.col(name), 3) if kind in ("double", "float") else F.col(name).cast("string"))
 
 
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
