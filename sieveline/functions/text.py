@@ -89,8 +89,17 @@ def canonical_params(c: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """A number with so many digits, rounded on its exact binary value: format_string would round its shortest decimal."""
-    return F.replace(F.format_number(c.cast("double"), digits), F.lit(","), F.lit(""))
+    """A number with so many digits, rounded on its exact binary value.
+
+    The engine's own formatters round the shortest decimal of a double, which
+    differs at halves; so this is an Arrow-batched function.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
+
+    return shown(c.cast("double"))
 
 
 def cache_key(tool: Column, content_hash: Column, params: Column) -> Column:
