@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import blocks
+from .text import blocks, tidy
 
 #: Bytes of a block, whose distinct words are replayed together.
 SIZE = 4 << 20
 #: Words kept, with their ids, between a worker's blocks.
-KEPT = 400_000
+KEPT = 250_000
 #: Longer words are replayed but not kept.
 KEPT_LENGTH = 40
 
@@ -67,7 +67,7 @@ def first_merges(ranks: dict[bytes, int], table: dict[tuple[int, int], int]) ->
     return _first[id(table)][:2]
 
 
-def replay(words: Iterable[bytes], ranks: dict[bytes, int], table: dict[tuple[int, int], int]) -> list[list[int]]:
+def replay(words: Iterable[bytes], ranks: dict[bytes, int], table: dict[tuple[int, int], int]) -> list[tuple[int, ...]]:
     """The token ids of each word."""
     single, pairs = first_merges(ranks, table)
     token: list[int] = []
@@ -129,7 +129,7 @@ def replay(words: Iterable[bytes], ranks: dict[bytes, int], table: dict[tuple[in
         while token[i] != -1:
             one.append(token[i])
             i = after[i]
-        ids.append(one)
+        ids.append(tuple(one))
     return ids
 
 
@@ -141,7 +141,7 @@ class Encoder:
         self.table = merge_table(self.ranks)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         parts = [self.split(text) for text in texts]
@@ -182,6 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text: str
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * ids + ", decoded string" * decoded
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         gc.disable()  # what is kept has no cycles; searching it for them costs more than the replay

@@ -20,6 +20,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import tidy
+
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -240,6 +242,7 @@ def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> Dat
     """
     wanted = pages.select(pages[key].alias("key"), "url", pages[html].alias("html"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(page.as_py()) for page in batch.column("html")]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold
-from .text import U64, mix
+from .text import mix, tidy, U64
 
 BITS = 15
 LONGEST = 3
@@ -68,6 +68,7 @@ def learning() -> Column:
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents of each feature, and all documents, over every learning row."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((1 << BITS) + 1, np.int64), 0
         for batch in batches:
@@ -78,6 +79,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         parts = np.array_split(df, TABLES)
         yield pa.RecordBatch.from_arrays([pa.array(range(TABLES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "df"])
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -129,6 +131,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((n + 1) / (df + 1)) + 0.1
     kind = dict(docs.dtypes)["doc_id"]
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t.as_py()) for t in batch.column("text")]
@@ -177,6 +180,7 @@ def predict(docs: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFr
     names = [c for c in wanted.columns if keep or c != "text"]
     schema = ", ".join(f"`{n}` {t}" for n, t in wanted.dtypes if n in names) + ", lang_pred string, score double"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
-from .text import blocks
+from .text import blocks, tidy
 
 UNIT = 64
 
@@ -44,6 +44,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), 1 << 21):
@@ -60,6 +61,7 @@ def _each(media: DataFrame, columns: list[str], row, schema: str, types: list[pa
     kept = [f"`{n}` {t}" for n, t in media.dtypes if n in columns]
     names = [part.split()[0] for part in schema.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raws in batched(batch.column("media")):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 from .components import components
-from .text import U64, blocks, mix, shingles
+from .text import blocks, mix, shingles, tidy, U64
 
 REGISTERS = 320
 #: Ratio of neighbouring values: registers of sets of up to a thousand million shingles fit in a byte.
@@ -136,6 +136,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, class (hash of the set) and registers of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
@@ -159,6 +160,7 @@ def _table(column: pa.Array) -> np.ndarray:
 def banded(classes: DataFrame) -> DataFrame:
     """key, band and node of every band of every class."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = band_keys(_table(batch.column("registers")))
@@ -175,6 +177,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def side(name: str) -> DataFrame:
         return classes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch[i : i + 4096] for i in range(0, len(batch), 4096)):
@@ -189,6 +192,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame
     """The pairs (a, b) whose full sets are alike enough."""
     left, right = (texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}")) for name in ("a", "b"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -213,6 +217,7 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int
     wanted = classes.join(nodes, "node", "left_semi").select("node", "class", F.col("least").alias("doc_id"))
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, "doc_id").select("node", "class", "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows that repeat an id may have other texts
             keep = []
@@ -260,6 +265,7 @@ def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
                 b += np.maximum(node[x], node[at]).tolist()
         return a, b
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold, labelled
-from .text import BYTE_VALUE, Block, U64, blocks, mix, prefix_sums, span_hashes, spans
+from .text import Block, blocks, mix, prefix_sums, span_hashes, spans, tidy, BYTE_VALUE, U64
 
 ROWS = 1 << 14
 WIDTH = 32
@@ -66,6 +66,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def contexts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Context vectors (ROWS x WIDTH integers) and counts of all rows, over all texts."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = marks()
         total = np.zeros(ROWS * (WIDTH + 1), np.int64)
@@ -83,6 +84,7 @@ def contexts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         full = [i for i in range(len(table)) if table[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([table[i].tobytes() for i in full], pa.binary())], ["part", "sums"])
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -186,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     table = vectors(*contexts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
@@ -215,6 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     names = [c for c in wanted.columns if keep or c != "text"]
     schema = ", ".join(f"`{n}` {t}" for n, t in wanted.dtypes if n in names) + ", score double, predicted int"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net = shared.value
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .text import U64, mix
+from .text import mix, tidy, U64
 
 #: Code points in a shingle, and one hash of how many is kept.
 LENGTH = 12
@@ -93,6 +93,7 @@ def sketches(docs: DataFrame, text: str = "text", length: int = LENGTH, scale: i
     """doc_id and sketch (array of long) of every row; a null text counts as empty. No shuffle."""
     wanted = docs.select("doc_id", docs[text].alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(t or "", length, scale).view(np.int64) for t in batch.column("text").to_pylist()]
@@ -160,6 +161,7 @@ def fingerprints(docs: DataFrame, length: int = LENGTH, scale: int = SCALE, sket
         out = (key, len(text), sha, digest(own), digest(other), likeness(own, other), likeness(own, next_own), containment(own, other), len(own))
         return out + ((own.view(np.int64), other.view(np.int64)) if sketches else ())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
         held = None  # the row that waits for its next: bucket, id, text, sketch

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import shared_checkpoint
 from .labels import fold, labelled
 from .quality import KIND, sigmoid
-from .text import LOWER, Block, U64, blocks, mix, prefix_sums, span_hashes, spans
+from .text import Block, blocks, mix, prefix_sums, span_hashes, spans, tidy, LOWER, U64
 
 BITS = 18
 #: Bytes of the word beginnings that count beside whole words.
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int
     sample = toxic.unionByName(rest).repartition(TASKS, F.xxhash64("doc_id")).sortWithinPartitions("is", "doc_id", "text")
     sample = shared_checkpoint(sample)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, totals, rows = np.ones(1 << BITS, bool), np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for batch in batches:
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int
     wanted[chosen] = True
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
@@ -192,6 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
     wanted = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), docs["text"].alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         known = weights != 0
