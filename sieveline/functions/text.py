@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,7 +50,10 @@ def _weight(text: Column, patterns: tuple[str, ...]) -> Column:
             weight = F.when(at / F.length(text) > LATE, 2.0).otherwise(1.0)
             return F.struct((at + F.length(match)).alias("at"), (state["w"] + weight).alias("w"), (state["i"] + 1).alias("i"))
 
-        return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("w"), F.lit(0).alias("i")), step, lambda s: s["w"])
+        weight = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("w"), F.lit(0).alias("i")), step, lambda s: s["w"])
+        # a plain search for the pattern's longest word spares most texts the expressions
+        word = max(re.split(r"\\b|\[[^\]]*\]\??", pattern), key=len)
+        return F.when(F.contains(text, F.lit(word)), weight).otherwise(0.0)
 
     return sum((counted(pattern) for pattern in patterns), F.lit(0.0))
 

@@ -36,7 +36,8 @@ def next_open(df: DataFrame, by: list[str], index: str, done: str) -> DataFrame:
     One descending window and one aggregate a group: no row meets another.
     """
     open_ = F.when(~F.col(done), F.col(index))
-    after = Window.partitionBy(*by).orderBy(index).rowsBetween(1, Window.unboundedFollowing)
+    # seen from the last row, those after are those before: a frame that grows row by row
+    after = Window.partitionBy(*by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("next_open", F.coalesce(F.min(open_).over(after), F.min(open_).over(Window.partitionBy(*by))))
 
 
