@@ -198,7 +198,7 @@ def extract(html: str | None) -> str:
             score[holder] += gain * share
             share /= 2
             holder = tree.parent[holder]
-        size[node] += len(text)
+        size[node] += len(text) - text.count(" ")  # links are measured without blanks too
         linked[node] += links
     for node in range(n - 1, 0, -1):  # children come after their parents
         size[tree.parent[node]] += size[node]
