@@ -49,7 +49,7 @@ SHINGLE = 4
 MANY, OF = 100, 80
 MARGIN = 0.1
 #: Members of a bucket that are compared at once.
-ROWS = 2048
+ROWS = 1024
 
 _rng = np.random.default_rng(4)
 _FACTORS = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint64) * U64(2) + U64(1)).astype(np.uint32)
@@ -119,7 +119,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a.view(np.uint64) ^ b.view(np.uint64)
     for shift in (4, 2, 1):
         x |= x >> U64(shift)
-    return REGISTERS - np.bitwise_count(x & U64(0x0101010101010101)).sum(-1, dtype=np.int64)
+    return a.shape[-1] - np.bitwise_count(x & U64(0x0101010101010101)).sum(-1, dtype=np.int64)
 
 
 def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,13 +230,15 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int
     return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components that the estimate leaves.
+def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components, confirmed on the full sets.
 
     Members are dealt in blocks of ROWS, and each two blocks of a bucket are
     compared in a group of their own, so a large bucket is neither held nor
-    compared in one place. A pair that shares several buckets comes from the
-    first alone.
+    compared in one place. Pairs stay inside their group: what leaves the
+    comparison is a row for each member that the estimate leaves a partner, and
+    what leaves the confirmation are links that join what the group had not yet
+    joined. A pair that shares several buckets is compared in the first alone.
     """
     order = Window.partitionBy("key").orderBy("node")
     blocked = open_members.withColumn("block", F.floor((F.row_number().over(order) - 1) / ROWS).cast("int"))
@@ -244,45 +246,95 @@ def crossed(open_members: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = blocked.withColumn("last", last).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp")
     rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-
-    def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
-        (_, i, j), band = group[0][:2]
-        block, node, comp, n = (np.array([r[c] for r in group]) for c in (2, 3, 4, 5))
-        table = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(-1, REGISTERS)
-        a: list[int] = []
-        b: list[int] = []
-        for x in np.flatnonzero(block == i):
-            against = (node > node[x]) if i == j else (block == j)
-            against &= (comp != comp[x]) & (MANY * n >= OF * n[x]) & (MANY * n[x] >= OF * n)
-            at = np.flatnonzero(against)
-            if len(at):
-                own = np.ascontiguousarray(np.broadcast_to(table[x], (len(at), REGISTERS)))
-                keep = close(table[at], own, n[at], np.full(len(at), n[x]))
-                at, own = at[keep], own[keep]
-                at = at[first_band(table[at], own) == band]
-                a += np.minimum(node[x], node[at]).tolist()
-                b += np.maximum(node[x], node[at]).tolist()
-        return a, b
+    found = _grouped(rows, ["key", "i", "j", "band", "block", "node", "comp", "n_shingles", "registers"], _partners, "key long, i int, j int, node long, partners array<long>")
+    return _grouped(found.join(texts, "node"), ["key", "i", "j", "node", "partners", "text"], _confirmer(k), "a long, b long").distinct()
+
+
+def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:  # noqa: ANN001
+    """What ``work`` makes of the rows of each (key, i, j), which one task reads in order."""
+    rows = rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    fields = [part.split() for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        values = list(zip(*out, strict=True)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[kind]) for v, (_, kind) in zip(values, fields, strict=True)], [name for name, _ in fields])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            a: list[int] = []
-            b: list[int] = []
-            names = ("key", "i", "j", "band", "block", "node", "comp", "n_shingles", "registers")
-            for key, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if group and group[0][0] != (key, i, j):
-                    x, y = compare(group)
-                    a, b, group = a + x, b + y, []
-                group.append(((key, i, j), *rest))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    out += work(group)
+                    group = []
+                group.append(row)
+            yield made(out)
         if group:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            yield made(work(group))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _partners(group: list[tuple]) -> list[tuple]:
+    """key, i, j, node and partners of every member of a group that has or is a partner."""
+    key, i, j, band = group[0][:4]
+    block, node, comp, n = (np.array([r[c] for r in group]) for c in (4, 5, 6, 7))
+    table = np.frombuffer(b"".join(r[8] for r in group), np.uint8).reshape(-1, REGISTERS)
+    least = (OF / MANY - 2 * MARGIN) * REGISTERS
+    left, right = [], []
+    for x in np.flatnonzero(block == i):
+        at = (node > node[x]) if i == j else (block == j)
+        at = np.flatnonzero(at & (comp != comp[x]) & (MANY * n >= OF * n[x]) & (MANY * n[x] >= OF * n))
+        if len(at):
+            at = at[agreeing(table[at], table[x]) >= least]
+            left.append(np.full(len(at), x))
+            right.append(at)
+    partners: dict[int, list[int]] = {}
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        for at in np.array_split(np.arange(len(a)), len(a) // 20_000 + 1):
+            x, y = a[at], b[at]
+            keep = first_band(table[x], table[y]) == band
+            x, y = x[keep], y[keep]
+            keep = close(table[x], table[y], n[x], n[y]) if len(x) else np.zeros(0, bool)
+            for p, q in zip(node[x[keep]].tolist(), node[y[keep]].tolist(), strict=True):
+                partners.setdefault(p, []).append(q)
+                partners.setdefault(q, [])
+    return [(key, i, j, p, q) for p, q in partners.items()]
+
+
+def _confirmer(k: int):  # noqa: ANN202
+    def confirm(group: list[tuple]) -> list[tuple]:
+        """Links of a group on full sets, without those between members that it has joined already."""
+        sets: dict[int, np.ndarray] = {}
+        for block in blocks(pa.array([r[5] for r in group])):
+            hashes, at = shingles(block, k)
+            for i in range(len(block)):
+                sets[group[block.first + i][3]] = np.unique(hashes[at[i] : at[i + 1]])
+        parent = {p: p for p in sets}
+
+        def root(p: int) -> int:
+            while parent[p] != p:
+                parent[p] = parent[parent[p]]
+                p = parent[p]
+            return p
+
+        out = []
+        for r in group:
+            for q in r[4]:
+                x, y = root(r[3]), root(q)
+                if x == y:
+                    continue
+                own, its = sets[r[3]], sets[q]
+                shared = len(np.intersect1d(own, its, assume_unique=True))
+                if MANY * shared >= OF * (len(own) + len(its) - shared):
+                    parent[x] = y
+                    out.append((min(r[3], q), max(r[3], q)))
+        return out
+
+    return confirm
 
 
 def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -319,7 +371,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         links, found, left = _joined(links, confirmed(estimated(pairs, classes), texts, k), members)
         _let_go(docs)
-    links, found, left = _joined(links, confirmed(crossed(left, classes), texts, k), None)
+    links, found, left = _joined(links, crossed(left, classes, texts, k), None)
     _let_go(docs)
 
     own = classes.select("class", "node", "least").join(found, "node", "left")
