@@ -34,6 +34,8 @@ THRESHOLD = 0.3
 #: Zeros in the mean of a document's token vectors.
 SHRINK = 8
 PART = 256
+#: Units of 1 in token vectors; 2 ** 16 tokens add up to less than 2 ** 31.
+UNIT = 1 << 14
 #: 0 space, 1 letters and bytes of longer code points, 2 digits, 3 other signs.
 KIND = np.full(256, 3, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -102,16 +104,20 @@ def contexts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(context: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What each token adds to its document: its context at length 1, less for frequent rows."""
+    """What each token adds to its document: its context at length 1, less for frequent rows, in whole units.
+
+    Sums of whole numbers don't depend on their order, so a text's score doesn't
+    depend on its neighbours.
+    """
     length = np.linalg.norm(context.astype(np.float64), axis=1, keepdims=True)
     share = counts[:, None] / max(1, counts.sum())
-    return (context / np.maximum(length, 1e-9) * (0.01 / (0.01 + share))).astype(np.float32)
+    return np.rint(context / np.maximum(length, 1e-9) * (0.01 / (0.01 + share)) * UNIT).astype(np.int32)
 
 
 def pooled(block: Block, table: np.ndarray) -> np.ndarray:
     """Mean vector of each document's tokens and SHRINK zeros, so short texts stay near the prior."""
     rows, _, before = tokens(block)
-    out = np.zeros((len(block), table.shape[1]), np.float32)
+    out = np.zeros((len(block), table.shape[1]))
     full = np.flatnonzero(np.diff(before))
     step = 1 << 16
     for i in range(0, len(full), 64):
@@ -121,8 +127,8 @@ def pooled(block: Block, table: np.ndarray) -> np.ndarray:
             out[docs] = np.add.reduceat(table[rows[start:end]], before[docs] - start, axis=0)
         else:  # long documents by their counts
             for d in docs:
-                out[d] = np.bincount(rows[before[d] : before[d + 1]], minlength=len(table)).astype(np.float32) @ table
-    return out / (np.diff(before) + SHRINK).astype(np.float32)[:, None]
+                out[d] = np.bincount(rows[before[d] : before[d + 1]], minlength=len(table)) @ table.astype(np.float64)
+    return out / UNIT / (np.diff(before) + SHRINK)[:, None]
 
 
 class Network(NamedTuple):
@@ -136,7 +142,9 @@ class Network(NamedTuple):
 
 
 def logits(x: np.ndarray, net: Network) -> np.ndarray:
-    return np.tanh((x - net.mean) / net.spread @ net.w1 + net.b1) @ net.w2 + net.b2
+    # einsum adds up in one order for any number of rows, unlike a matrix product
+    hidden = np.tanh(np.einsum("nd,dh->nh", (x - net.mean) / net.spread, net.w1) + net.b1)
+    return np.einsum("nh,h->n", hidden, net.w2) + net.b2
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -199,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     kind = dict(docs.dtypes)["doc_id"]
     found = labelled(docs, labels, label, sample).select("doc_id", "label", "text").mapInArrow(features, f"label int, x binary, doc_id {kind}")
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(sample).collect()
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, WIDTH)
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float64).reshape(-1, WIDTH)
     return table, train(x, np.array([r.label for r in rows], np.int64))
 
 
