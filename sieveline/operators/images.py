@@ -53,7 +53,7 @@ def _mapped(df: DataFrame, keys: list[str], inputs: list[str], schema: str, kern
                     rows.append({"status": "completed", "error": None, **kernel(*values)})
                 except (ValueError, TypeError, IndexError, KeyError, ArithmeticError) as failure:
                     rows.append({"status": "error", "error": str(failure)[:200]})
-            found = pd.DataFrame(rows, columns=names, index=batch.index)
+            found = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], index=batch.index, dtype=object) for n in names})
             yield pd.concat([batch[keys], found], axis=1)
 
     out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])

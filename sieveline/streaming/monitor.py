@@ -21,11 +21,16 @@ def running(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    """The stream with its event time, which may come without a zone, under a watermark."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def daily(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Accuracy and coverage of each model in windows of event time; records later than the watermark are dropped."""
     said = ~failed() & ~abstained()
     right = said & F.col("prediction").eqNullSafe(F.col("label"))
-    counted = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "model").agg(
+    counted = _timed(stream, late).groupBy(F.window("ts", width), "model").agg(
         F.count("*").alias("n"), F.count_if(said).alias("answered"), F.count_if(right).alias("correct")
     )
     rates = {"accuracy": ratio(F.col("correct"), F.col("n")), "coverage": ratio(F.col("answered"), F.col("n"))}
@@ -34,12 +39,12 @@ def daily(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> Data
 
 def distinct_records(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Each record once, however often it arrives within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, late).dropDuplicatesWithinWatermark(keys)
 
 
 def sessions(stream: DataFrame, who: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of work by person: records that follow one another within the gap."""
-    counted = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), who).agg(F.count("*").alias("n"))
+    counted = _timed(stream, late).groupBy(F.session_window("ts", gap), who).agg(F.count("*").alias("n"))
     return counted.select(who, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
