@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from .text import blocks, tidy
 
 #: Bytes of a block, whose distinct words are replayed together.
-SIZE = 4 << 20
+SIZE = 1 << 20
 #: Words kept, with their ids, between a worker's blocks.
-KEPT = 250_000
+KEPT = 150_000
 #: Longer words are replayed but not kept.
 KEPT_LENGTH = 40
 

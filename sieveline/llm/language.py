@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold
-from .text import mix, tidy, U64
+from .text import U64, give_back, mix, tidy
 
 BITS = 15
 LONGEST = 3
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     names = tuple(sorted({r.lang for r in rows}))
     x = [(a := np.frombuffer(r.at, np.int32), weighted(a, np.frombuffer(r.n, np.int32), idf)) for r in rows]
     y = np.array([names.index(r.lang) for r in rows], np.int64)
+    del rows
     if not names:
         return Model((), idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 25 else np.zeros(len(y), bool)
@@ -153,6 +154,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     scored = np.array([v @ weights[a] + bias for a, v in x])
     use = held if held.any() else ~held
     grid = np.exp(np.linspace(np.log(0.02), np.log(8), 80))
+    del x
+    give_back()
     loss = [-np.mean(np.log(softmax(scored[use] / t)[np.arange(use.sum()), y[use]] + 1e-12)) for t in grid]
     return Model(names, idf, weights, bias, float(grid[int(np.argmin(loss))]))
 

@@ -11,8 +11,8 @@ fill what the first left with the next documents in rank order that still fit.
 
 The random number is a hash of the seed and the id, so reruns and recomputed
 partitions agree. Running sums come from a histogram of rank bins in each
-source, so no source is ever gathered in one task: only the one bin in which a
-source's rest runs out is ordered row by row.
+source, so no source is ever gathered in one task: rows are ordered one by one
+within their bin alone.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def _drawn(rows: DataFrame, aimed: DataFrame, rounds: int, bins: int) -> DataFra
     drawn = (
         rows.join(state, same, "left")
         .withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / odds))
-        .withColumn("bin", F.when(F.col("p") > 0, F.floor(F.col("u") * bins)))
+        .withColumn("bin", F.floor(F.col("u") * bins))
         .withColumn("extra", F.lit(0))
         .drop("source_", "u", "p")
     )
@@ -137,25 +137,26 @@ def _drawn(rows: DataFrame, aimed: DataFrame, rounds: int, bins: int) -> DataFra
 
 
 def _round(drawn: DataFrame) -> DataFrame:
-    """Fill each source's rest once more, with the documents in rank order that fit in it."""
-    fits = (F.col("extra") == 0) & (F.col("size") > 0) & F.col("bin").isNotNull() & (F.col("size") <= F.col("rest"))
-    grams = drawn.filter(fits).groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
+    """Fill each source's rest once more, with the documents in rank order that fit in it.
+
+    Bins follow the random number, as ranks do within a source; a source that
+    draws nothing has no rest, so none of its documents fits.
+    """
+    fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    fitting = F.when(fits, F.col("size")).otherwise(0)
+    grams = drawn.groupBy("source", "bin").agg(F.sum(fitting).alias("in_bin"))
     over = Window.partitionBy("source").orderBy("bin")
-    grams = grams.select(
-        F.col("source").alias("source_"), F.col("bin").alias("bin_"), (F.sum("in_bin").over(over) - F.col("in_bin")).alias("under"), "in_bin"
-    )
+    grams = grams.select(F.col("source").alias("source_"), F.col("bin").alias("bin_"), (F.sum("in_bin").over(over) - F.col("in_bin")).alias("under"))
     at = drawn["source"].eqNullSafe(grams["source_"]) & (drawn["bin"] == grams["bin_"])
     joined = drawn.join(grams, at, "left").drop("source_", "bin_")
-    split = fits & (F.col("under") < F.col("rest")) & (F.col("under") + F.col("in_bin") > F.col("rest"))
-    # only the rows of the bin in which the rest runs out are ordered one by one
+    # rows are ordered one by one within their bin alone
     order = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = joined.filter(split).withColumn("upto", F.col("under") + F.sum("size").over(order))
-    outside = joined.filter(~F.coalesce(split, F.lit(False))).withColumn("upto", F.col("under") + F.col("in_bin"))
-    taken = F.when(fits & (F.col("upto") <= F.col("rest")), 1).otherwise(F.col("extra"))
-    out = inside.unionByName(outside).withColumn("new", taken - F.col("extra")).withColumn("extra", taken)
-    used = out.filter("new = 1").groupBy(F.col("source").alias("source_")).agg(F.sum("size").alias("used"))
+    upto = F.col("under") + F.sum(fitting).over(order)
+    out = joined.withColumn("new", fits & (upto <= F.col("rest")))
+    used = out.filter("new").groupBy(F.col("source").alias("source_")).agg(F.sum("size").alias("used"))
     out = out.join(used, out["source"].eqNullSafe(used["source_"]), "left")
-    return out.withColumn("rest", F.col("rest") - F.coalesce(F.col("used"), F.lit(0))).drop("source_", "used", "new", "upto", "under", "in_bin")
+    left = {"rest": F.col("rest") - F.coalesce(F.col("used"), F.lit(0)), "extra": F.when(F.col("new"), 1).otherwise(F.col("extra"))}
+    return out.withColumns(left).drop("source_", "used", "new", "under")
 
 
 def sql(rounds: int = ROUNDS) -> str:

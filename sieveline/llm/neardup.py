@@ -371,6 +371,8 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         links, found, left = _joined(links, confirmed(estimated(pairs, classes), texts, k), members)
         _let_go(docs)
+        if left.isEmpty():
+            break
     links, found, left = _joined(links, crossed(left, classes, texts, k), None)
     _let_go(docs)
 

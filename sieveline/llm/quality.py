@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold, labelled
-from .text import Block, blocks, mix, prefix_sums, span_hashes, spans, tidy, BYTE_VALUE, U64
+from .text import BYTE_VALUE, U64, Block, blocks, give_back, mix, prefix_sums, span_hashes, spans, tidy
 
 ROWS = 1 << 14
 WIDTH = 32
@@ -208,7 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     found = labelled(docs, labels, label, sample).select("doc_id", "label", "text").mapInArrow(features, f"label int, x binary, doc_id {kind}")
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(sample).collect()
     x = np.frombuffer(b"".join(r.x for r in rows), np.float64).reshape(-1, WIDTH)
-    return table, train(x, np.array([r.label for r in rows], np.int64))
+    net = train(x, np.array([r.label for r in rows], np.int64))
+    del rows, x
+    give_back()
+    return table, net
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, keep: bool = False) -> DataFrame:

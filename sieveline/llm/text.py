@@ -31,6 +31,14 @@ BASE = int(_rng.integers(0, 1 << 63)) * 2 + 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as far as Arrow and the GNU library keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A batch function that gives freed memory back to the system when its task ends.
 
@@ -41,10 +49,7 @@ def tidy(run: Callable) -> Callable:
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
-        if trim:
-            trim(0)
+        give_back()
 
     return tidied
 
