@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def _mapped(df: DataFrame, keys: list[str], inputs: list[str], schema: str, kern
             for values in zip(*(batch[c] for c in inputs), strict=True):
                 try:
                     rows.append({"status": "completed", "error": None, **kernel(*values)})
-                except (ValueError, TypeError, IndexError, KeyError, ArithmeticError) as failure:
+                except (ValueError, TypeError, IndexError, KeyError, ArithmeticError, struct.error) as failure:
                     rows.append({"status": "error", "error": str(failure)[:200]})
             found = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], index=batch.index, dtype=object) for n in names})
             yield pd.concat([batch[keys], found], axis=1)
@@ -118,6 +119,20 @@ def block_analysis(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return _mapped(pixels, keys, ["height", "width", "rgb"], BLOCKS, kernel)
 
 
+def raw_blocks(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Statistics of the coefficients that baseline JPEG files store: the rise of the factor histogram and the map of changed blocks, of luma."""
+    from ..functions.baseline_jpeg import coefficients
+
+    def kernel(data: bytes) -> dict:
+        parts, tables = coefficients(data)
+        likely, periods = kernels.tamper_map(parts[0] * tables[0])
+        sac = kernels.sac(parts[0].astype(float))
+        return {"sac": sac, "luma": tables[0].ravel().tolist(), "quality": kernels.quality_of(tables[0])[0], "tamper": likely.ravel().tolist(), "periods": periods, "block_rows": likely.shape[0], "block_columns": likely.shape[1]}
+
+    schema = "status string, error string, sac double, luma array<int>, quality int, tamper array<double>, periods array<int>, block_rows int, block_columns int"
+    return _mapped(df, keys, [content], schema, kernel)
+
+
 def frequency(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return _mapped(pixels, keys, ["height", "width", "rgb"], SPECTRUM, lambda h, w, rgb: kernels.spectrum_features(kernels.grey(_plane(h, w, rgb))))
 

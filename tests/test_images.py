@@ -148,3 +148,32 @@ def test_report(spark):
     data = spark.createDataFrame([(1, jpeg(segment(0xE1, b"Exif\0\0" + tiff([(0x010F, 2, "Maker")]))))], "k int, content binary")
     found = images.metadata(data, ["k"])
     assert "EXIF tags: 1" in found.select(images.report(found).alias("r")).first().r
+
+
+def written(spark, rgb):
+    """A baseline JPEG of the JVM's own writer."""
+    jvm = spark.sparkContext._jvm
+    h, w, _ = rgb.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = map(int, rgb[y, x])
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def test_baseline_coefficients(spark, tmp_path):
+    from sieveline.functions.baseline_jpeg import coefficients
+
+    data = written(spark, picture(40, 56))
+    parts, tables = coefficients(data)
+    (tmp_path / "a.jpg").write_bytes(data)
+    r = readers.read_pixels(spark, str(tmp_path)).first()
+    shown = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) @ kernels.LUMA_WEIGHTS
+    luma = np.einsum("ui,hwuv,vj->hiwj", kernels.DCT, parts[0] * tables[0], kernels.DCT).reshape(parts[0].shape[0] * 8, -1)[:40, :56] + 128
+    assert np.abs(np.clip(luma, 0, 255) - shown).mean() < 1
+    found = images.raw_blocks(spark.createDataFrame([(1, data), (2, b"no"), (3, data[: len(data) // 2])], "k int, content binary"), ["k"]).orderBy("k").collect()
+    assert found[0].status == "completed" and found[0].quality == kernels.quality_of(tables[0])[0]
+    assert found[1].status == "error"
