@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import inference
 from ..operators import comparison, distribution, metrics, ranking
-from ..session import table
 from .bridge import oracle, records
 
 QUERIES: dict = {}
