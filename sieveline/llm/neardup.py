@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 from .components import components
-from .text import blocks, mix, shingles, tidy, U64
+from .text import U64, blocks, mix, shingles, tidy
 
 REGISTERS = 320
 #: Ratio of neighbouring values: registers of sets of up to a thousand million shingles fit in a byte.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .text import mix, tidy, U64
+from .text import U64, mix, tidy
 
 #: Code points in a shingle, and one hash of how many is kept.
 LENGTH = 12

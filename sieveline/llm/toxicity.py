@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import shared_checkpoint
 from .labels import fold, labelled
 from .quality import KIND, sigmoid
-from .text import Block, blocks, mix, prefix_sums, span_hashes, spans, tidy, LOWER, U64
+from .text import LOWER, U64, Block, blocks, mix, prefix_sums, span_hashes, spans, tidy
 
 BITS = 18
 #: Bytes of the word beginnings that count beside whole words.
