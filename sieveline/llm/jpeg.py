@@ -529,7 +529,7 @@ def _extended(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(bits < (1 << size) >> 1, bits - (1 << size) + 1, bits)
 
 
-def _read_dc(table: np.ndarray, x: Lanes, s: Scan, lookup: np.ndarray, files: int) -> None:
+def _read_dc(table: np.ndarray, x: Lanes, s: Scan, lookup: np.ndarray) -> None:
     if s.ah:
         n = np.diff(x.first)
         inside = np.arange(x.first[-1]) - np.repeat(x.first[:-1], n)
@@ -647,7 +647,7 @@ def coefficients(files: list[File]) -> tuple[np.ndarray, np.ndarray]:
             s = scans[0][1]
             lookup = np.concatenate([huffman(*t).lookup if t != AC_TABLE else AC_CODES.lookup for t in tables] or [np.zeros(1 << 16, np.int64)])
             if s.low == 0:
-                _read_dc(table, x, s, lookup, len(files))
+                _read_dc(table, x, s, lookup)
             elif s.ah == 0:
                 _read_ac_first(table, x, s, lookup)
             else:
