@@ -32,7 +32,7 @@ from .text import blocks, tidy
 #: Bytes of a block, whose distinct words are replayed together.
 SIZE = 1 << 20
 #: Words kept, with their ids, between a worker's blocks.
-KEPT = 150_000
+KEPT = 300_000
 #: Longer words are replayed but not kept.
 KEPT_LENGTH = 40
 
