@@ -4,8 +4,11 @@ A text, lower-cased, is the counts of its hashed runs of 1 to 3 code points,
 damped by a logarithm, weighted by inverse document frequency over all learning
 documents and scaled to length 1. The regression is trained with
 follow-the-regularised-leader and elastic-net penalties on a bounded sample: the
-L1 part leaves most weights at exactly 0. A fifth of the sample sets the
-temperature of its probabilities.
+L1 part leaves most weights at exactly 0. A fifth of each language's sample sets
+the temperature of the probabilities.
+
+Every language of the learning rows is learned, however rare. The sample is
+filled evenly: rare languages give all their rows, common ones an equal number.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from .text import U64, give_back, mix, tidy
 
 BITS = 15
 LONGEST = 3
-#: Learning rows that the regression is trained on, at most, and their features that the driver gathers.
+#: Learning rows that the regression is trained on, at most, and their features that the driver gathers; more only where
+#: so many languages share them that each would have fewer than LEAST. All the rows of a language with fewer are taken.
 SAMPLE = 4000
+LEAST = 50
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -125,31 +130,50 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int
     return w[:-1], w[-1]
 
 
+def level(sizes: list[int], sample: int) -> int:
+    """Rows of each language at most, so that together they are the sample; LEAST at least."""
+    left, most = sample, 0
+    for i, n in enumerate(sorted(sizes)):
+        most = max(left, 0) // (len(sizes) - i)
+        if n > most:
+            return max(most, LEAST)
+        left -= n
+    return max(most, *sizes, LEAST)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the learning rows: text and lang of ids whose crc32 modulo 4 is not 2."""
     df, n = frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    kind = dict(docs.dtypes)["doc_id"]
 
     @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns], ["doc_id", "lang", "at", "n"])
-
-    own = docs.filter(learning())
-    ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample)
-    chosen = own.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-    rows = chosen.mapInArrow(features, f"doc_id {kind}, lang string, at binary, n binary")
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "lang", "at", "n").limit(sample).collect()
-    names = tuple(sorted({r.lang for r in rows}))
-    x = [(a := np.frombuffer(r.at, np.int32), weighted(a, np.frombuffer(r.n, np.int32), idf)) for r in rows]
-    y = np.array([names.index(r.lang) for r in rows], np.int64)
-    del rows
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("lang"), *columns], ["hash", "lang", "at", "n"])
+
+    own = docs.filter(learning()).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(10)).alias("hash"))
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.countDistinct("hash").alias("n")).collect()}  # a row a language
+    names = tuple(sorted(sizes))
     if not names:
         return Model((), idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 25 else np.zeros(len(y), bool)
+    most = level(list(sizes.values()), sample)
+    # a language's hashes below its share are most rows and four standard errors, of which the first are used
+    shares = docs.sparkSession.createDataFrame([(k, (most + 4 * most**0.5) / v) for k, v in sizes.items()], "lang string, share double")
+    below = F.shiftrightunsigned("hash", 11) / float(1 << 53) < F.col("share")
+    chosen = own.join(F.broadcast(shares), "lang").filter(below).select("hash", "lang", "text").dropDuplicates(["hash", "lang"])
+    rows = chosen.mapInArrow(features, "hash long, lang string, at binary, n binary").collect()
+    rows.sort(key=lambda r: (r.hash % (1 << 64), r.lang))
+    turn, seen = [], dict.fromkeys(names, 0)
+    for r in rows:
+        turn.append(seen[r.lang])
+        seen[r.lang] += 1
+    rows = [(r, t) for r, t in zip(rows, turn, strict=True) if t < most]
+    x = [(a := np.frombuffer(r.at, np.int32), weighted(a, np.frombuffer(r.n, np.int32), idf)) for r, _ in rows]
+    y = np.array([names.index(r.lang) for r, _ in rows], np.int64)
+    held = np.array([t % 5 == 4 for _, t in rows])
+    del rows
     weights, bias = train([r for r, h in zip(x, held, strict=True) if not h], y[~held], len(names))
     scored = np.array([v @ weights[a] + bias for a, v in x])
     use = held if held.any() else ~held

@@ -106,6 +106,26 @@ def test_language_learns_from_its_fold_alone(made):
     assert language.predict(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_are_learned_from_a_small_sample(made, spark):
+    docs, _, _, _ = made
+    rng = random.Random(5)
+    words = "ja on ei se että hän oli mutta kun niin kuin ovat joka sitä tämä vain olla myös jos".split()
+    rare = [(i, " ".join(rng.choices(words, k=30)), "fi", "s", 0, 0.5, 7) for i in range(2000, 2024)]
+    rare += [(None, "ja on ei se että hän", "xx", "s", 0, 0.5, 7)]
+    both = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    # about 600 learning rows in three languages, of which a uniform sample of 30 has about one in Finnish
+    assert set(language.fit(both, 30).names) == {"en", "de", "el", "fi", "xx"}
+    found = {r.doc_id: r for r in language.predict(both, 30).filter("doc_id >= 2000").collect()}
+    assert len(found) == 24 and any(r.held_out for r in found.values())
+    assert {r.lang_pred for r in found.values()} == {"fi"}
+
+
+def test_sample_is_filled_evenly():
+    assert language.level([10, 2000, 3000, 9000], 4000) == 1330
+    assert language.level([10, 20], 4000) >= 20
+    assert language.level([10**6] * 1000, 4000) == language.LEAST
+
+
 def test_ftrl_weights_are_sparse():
     rng = np.random.default_rng(0)
     rows, y = [], rng.integers(0, 2, 200)
