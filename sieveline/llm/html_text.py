@@ -9,6 +9,11 @@ links. The best container and those of its siblings that score near it, or are
 prose themselves, hold the article: all their blocks are kept in page order but
 those inside menus, headers, footers, sidebars, notices, adverts, forms and
 comments.
+
+Menus and the like are known by their element, or only named by a class, an id,
+a role or a form. A name is a hint: it removes no element that holds the page's
+main article or most of the points of its paragraphs, since wrappers of whole
+pages have such names too.
 """
 
 from __future__ import annotations
@@ -39,14 +44,19 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-#: Elements, roles and words of class and id that never hold the article.
-LEFT_OUT = frozenset("nav footer aside form dialog button select datalist svg math object canvas audio video fieldset menu".split())
+#: Elements that never hold the article; and elements, roles and words of class and id that seldom do.
+LEFT_OUT = frozenset("nav footer aside dialog button select datalist svg math object canvas audio video menu".split())
+FORMS = frozenset({"form", "fieldset"})
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 WORDS = re.compile(
     r"(?:ad|ads|adv|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|"
     r"navigation|newsletter|notice|notices|notification|outbrain|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|"
     r"sponsor\w*|subscribe|taboola|toolbar|widget)"
 )
+#: Words that don't name wrappers: what they name can be longer than the article.
+FIRM = re.compile(
+    r"comments?|commentlist|disqus|replies|respond|consent|cookies?|gdpr|disclaimer|notices?|notification|newsletter|popup|outbrain|taboola|advert\w*|sponsor\w*"
+)
 OWN = frozenset({"article", "post", "entry", "story"})
 KEPT = frozenset("html body main article".split())
 TAG = re.compile(
@@ -57,10 +67,13 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s
 LEAST = 25
 NEAR = 0.2
 PROSE = 80
+#: Points of a part of the article whose class is no more than such a word.
+PART = 4.0
 
 
-def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in LEFT_OUT or (tag == "header" and not inside_article):
+def left_out(tag: str, attributes: str) -> bool:
+    """Whether an element is hidden, or never holds the article."""
+    if tag in LEFT_OUT:
         return True
     if tag in KEPT or not attributes:
         return False
@@ -70,22 +83,33 @@ def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
+    return False
+
+
+def named(tag: str, attributes: str, inside_article: bool) -> str:
+    """The first name by which an element seldom holds the article: a part of class or id, a role or a tag; or none."""
+    if tag in FORMS:
+        return f"<{tag}>"
+    if tag == "header" and not inside_article:
+        return tag
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values).lower()
         if name == "role" and value in ROLES:
-            return True
+            return "<form>" if value == "form" else value
         if name in ("class", "id"):
             for part in value.split():
                 words = re.split(r"[^a-z0-9]+", part)
                 if any(WORDS.fullmatch(w) for w in words) and not (words[-1] in ("header", "banner") and OWN & set(words)):
-                    return True
-    return False
+                    return part
+    return ""
 
 
 class Tree:
     """Nodes as parallel lists, and the blocks of text with the node that holds each."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.out = ["#root"], [-1], [False]
-        self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
+        self.tag, self.parent, self.out, self.name = ["#root"], [-1], [False], [""]
+        self.blocks: list[tuple[int, str, int, int]] = []  # node, text, characters in links, innermost element
         self._stack, self._text, self._linked, self._links, self._articles = [0], [], 0, 0, 0
         self._read(html)
 
@@ -101,12 +125,12 @@ class Tree:
             if text:
                 at = next(n for n in reversed(self._stack) if self.tag[n] in BLOCK or n == 0)
                 if not self.out[self._stack[-1]]:
-                    self.blocks.append((at, text, self._linked))
+                    self.blocks.append((at, text, self._linked, self._stack[-1]))
             self._text, self._linked = [], 0
 
     def _pop(self, depth: int) -> None:
         """Close the elements from a place of the stack on."""
-        if any(self.tag[n] in BLOCK or self.out[n] != self.out[self.parent[n]] for n in self._stack[depth:]):
+        if any(self.tag[n] in BLOCK or self.name[n] or self.out[n] != self.out[self.parent[n]] for n in self._stack[depth:]):
             self._flush()
         for n in self._stack[depth:]:
             self._links -= self.tag[n] == "a"
@@ -131,8 +155,9 @@ class Tree:
         if tag == "a" and self._links:
             self._end({"a"}, {"td", "th"})
         top = self._stack[-1]
-        out = self.out[top] or left_out(tag, attributes, self._articles > 0)
-        if out != self.out[top]:
+        out = self.out[top] or left_out(tag, attributes)
+        name = "" if out else named(tag, attributes, self._articles > 0)
+        if out != self.out[top] or (name and tag not in KEPT):
             self._flush()
         if tag in VOID:
             if tag == "br":
@@ -141,6 +166,7 @@ class Tree:
         self.tag.append(tag)
         self.parent.append(top)
         self.out.append(out)
+        self.name.append(name)
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
         self._articles += tag in ("article", "main")
@@ -180,6 +206,58 @@ def points(text: str) -> float:
     return 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= LEAST else 0.0
 
 
+def dropped(tree: Tree) -> list[bool]:
+    """Whether an element is inside one that its name leaves out."""
+    n, tag, parent, name = len(tree.tag), tree.tag, tree.parent, tree.name
+    marked = [bool(name[i]) and tag[i] not in KEPT for i in range(n)]
+    if not any(marked):
+        return marked
+    own, size, plain = [0.0] * n, [0] * n, 0.0
+    under = marked[:]
+    for i in range(1, n):
+        under[i] |= under[parent[i]]
+    for _, text, links, at in tree.blocks:
+        long = len(text) - text.count(" ")
+        gain = points(text) * (1 - min(1.0, links / long))
+        own[at] += gain
+        size[at] += long
+        plain += 0.0 if under[at] else gain
+    for i in range(n - 1, 0, -1):
+        own[parent[i]] += own[i]
+        size[parent[i]] += size[i]
+    # the main element, and its longest article or the page's; one that only named elements hold must outweigh the rest
+    most = max((i for i in range(n) if tag[i] == "main" and size[i]), key=lambda i: (size[i], -i), default=0)
+    inside = [i == most for i in range(n)]
+    for i in range(1, n):
+        inside[i] |= inside[parent[i]]
+    articles = (i for i in range(n) if tag[i] == "article" and size[i] and inside[i] and not name[i] and (most or not under[i] or own[i] >= plain))
+    anchors = {i for i in (most, max(articles, key=lambda i: (size[i], -i), default=0)) if i}
+    holds, within = [i in anchors for i in range(n)], [i in anchors for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        holds[parent[i]] |= holds[i]
+    together: dict[str, float] = {}  # points of the outermost elements of each name
+    above: list[frozenset] = [frozenset()] * n
+    for i in range(1, n):
+        within[i] |= within[parent[i]]
+        above[i] = above[parent[i]]
+        if marked[i] and name[i] not in above[i]:
+            above[i] |= {name[i]}
+            together[name[i]] = together.get(name[i], 0.0) + own[i]
+    for i in range(1, n):
+        if marked[i]:
+            words = re.split(r"[^a-z0-9]+", name[i])
+            exact = WORDS.fullmatch(name[i]) or name[i] in ROLES
+            if any(FIRM.fullmatch(w) for w in words):
+                keep = not anchors and 0 < own[0] == own[i]
+            elif exact:
+                keep = own[i] > own[0] / 2 and (not anchors or (within[i] and own[i] >= PART))
+            else:
+                keep = together[name[i]] > own[0] / 2
+            marked[i] = not (keep or holds[i])
+        marked[i] |= marked[parent[i]]
+    return marked
+
+
 def extract(html: str | None) -> str:
     """The blocks of a page's article, joined by empty lines; empty without any."""
     if not html:
@@ -187,9 +265,13 @@ def extract(html: str | None) -> str:
     tree = Tree(html)
     if not tree.blocks:
         return ""
+    drop = dropped(tree)
+    blocks = [block[:3] for block in tree.blocks if not drop[block[3]]]
+    if not blocks:
+        return ""
     n = len(tree.tag)
     score, size, linked = [0.0] * n, [0] * n, [0] * n
-    for node, text, links in tree.blocks:
+    for node, text, links in blocks:
         gain = points(text)
         # a paragraph gives its points to its parent; text right in a container counts for the container
         holder = tree.parent[node] if tree.tag[node] not in ("div", "section", "article", "main", "body", "td", "#root") else node
@@ -218,7 +300,7 @@ def extract(html: str | None) -> str:
     chosen = {best}
     if best and tree.tag[best] not in ("article", "main"):
         own = {}
-        for node, text, _ in tree.blocks:
+        for node, text, _ in blocks:
             own[node] = own.get(node, 0.0) + points(text)
         for node in range(1, n):
             if tree.parent[node] == tree.parent[best] and size[node]:
@@ -230,7 +312,7 @@ def extract(html: str | None) -> str:
     inside = [False] * n
     for node in range(n):
         inside[node] = node in chosen or (node > 0 and inside[tree.parent[node]])
-    return "\n\n".join(text for node, text, _ in tree.blocks if inside[node])
+    return "\n\n".join(text for node, text, _ in blocks if inside[node])
 
 
 def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

@@ -24,6 +24,40 @@ def test_extract(html, want):
     assert html_text.extract(html) == want
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "page-header-wrapper", "elementor-widget", "sidebar", "modal", "ad"])
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_names_do_not_remove_the_article(name, kind):
+    want = f"T\n\n{LONG}\n\n{LONG}"
+    inner = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+    for tag in ("article", "main", "div"):
+        assert html_text.extract(f"<body><nav>x</nav><div {kind}='{name}'><{tag}>{inner}</{tag}></div><footer>{LONG}</footer></body>") == want
+    assert html_text.extract(f"<main><div {kind}='{name}'><article>{inner}</article></div><div class=sidebar>{LONG}</div></main>") == want
+    assert html_text.extract(f"<article><div {kind}='{name}'>{inner}</div></article>") == want
+    assert html_text.extract(f"<div {kind}='{name}'><article><p>Ok.</p></article></div>") == "Ok."
+
+
+def test_page_wide_forms_and_split_widgets():
+    assert html_text.extract(f"<body><form action=x><div><p>{LONG}</p><p>{LONG}</p></div></form></body>") == f"{LONG}\n\n{LONG}"
+    assert html_text.extract(f"<form><fieldset><article><p>{LONG}</p><form>q</form></article></fieldset></form>").startswith(LONG)
+    part = f"<div class='elementor-widget'><p>{LONG}</p></div>"
+    assert html_text.extract(f"<article>{part}{part}{part}</article>") == "\n\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "sidebar", "cookie-notice", "related", "share-box"])
+def test_names_still_remove_what_is_beside_the_article(name):
+    assert html_text.extract(f"<div class='has-sidebar'><article><p>{LONG}</p><p>{LONG}</p></article><div class='{name}'>{LONG}</div></div>") == f"{LONG}\n\n{LONG}"
+    assert html_text.extract(f"<div><p>{LONG}</p><p>{LONG}</p><div class='{name}'>{LONG}</div></div>") == f"{LONG}\n\n{LONG}"
+    if name != "share-box":
+        assert html_text.extract(f"<div class={name}>{LONG}</div><article><p>Ok.</p></article>") == "Ok."
+    assert html_text.extract(f"<p>{LONG} <span class='{name}'>x y</span></p>") == LONG
+
+
+def test_long_comments_are_left_out():
+    comments = f"<ol class='comments'>{'<li><article class=comment-body><p>' + LONG + '</p></article>'}</ol>" * 9
+    assert html_text.extract(f"<article><p>{LONG}</p>{comments}</article>") == LONG
+    assert html_text.extract(f"<div><p>{LONG}</p></div>{comments}") == LONG
+
+
 def test_link_density_discounts():
     links = "".join(f"<li><a href=x>{LONG}</a></li>" for _ in range(9))
     page = f"<div><ul>{links}</ul></div><div><p>{LONG}</p><p>{LONG}</p></div>"
