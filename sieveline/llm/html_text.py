@@ -5,9 +5,9 @@ begins, items end at the next item, a stray end tag is ignored, and what is open
 at the end is closed. Text between block boundaries makes one block. Each block
 gives points for its length and commas to its parent, and fewer to further
 ancestors; a container's sum is discounted by the share of its text that is in
-links. The best container and those of its siblings that score near it, or are
-prose themselves, hold the article: all their blocks are kept in page order but
-those inside menus, headers, footers, sidebars, notices, adverts, forms and
+links. The best container, and its siblings of any length and the text between
+them that are not links for the most part, hold the article: all their blocks
+are kept in page order but those inside menus, headers, footers, sidebars, notices, adverts, forms and
 comments.
 
 Menus and the like are known by their element, or only named by a class, an id,
@@ -65,8 +65,8 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Parameters of the scores.
 LEAST = 25
-NEAR = 0.2
-PROSE = 80
+#: From this share of links on, what stands beside the article is a menu.
+DENSE = 0.5
 #: Points of a part of the article whose class is no more than such a word.
 PART = 4.0
 
@@ -297,22 +297,16 @@ def extract(html: str | None) -> str:
                 best = up
                 break
             up = tree.parent[up]
-    chosen = {best}
-    if best and tree.tag[best] not in ("article", "main"):
-        own = {}
-        for node, text, _ in blocks:
-            own[node] = own.get(node, 0.0) + points(text)
-        for node in range(1, n):
-            if tree.parent[node] == tree.parent[best] and size[node]:
-                density = linked[node] / size[node]
-                heading = tree.tag[node] in ("h1", "h2", "h3")
-                prose = tree.tag[node] in ("p", "pre", "blockquote") and size[node] >= PROSE and density < 0.25
-                if heading or prose or score[node] >= max(NEAR * score[best], 1.0):
-                    chosen.add(node)
+    # beside it, all that is not links for the most part, and the text between
+    chosen, beside = {best}, tree.parent[best]
+    for node in range(1, n):
+        if best and tree.parent[node] == beside and size[node] and linked[node] < DENSE * size[node]:
+            chosen.add(node)
     inside = [False] * n
     for node in range(n):
         inside[node] = node in chosen or (node > 0 and inside[tree.parent[node]])
-    return "\n\n".join(text for node, text, _ in blocks if inside[node])
+    between = beside if best else -1
+    return "\n\n".join(text for node, text, links in blocks if inside[node] or (node == between and links < DENSE * (len(text) - text.count(" "))))
 
 
 def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

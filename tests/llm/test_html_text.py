@@ -69,6 +69,29 @@ def test_siblings_are_kept():
     assert html_text.extract(f"<body><h1>Title</h1>{part}{part}</body>").count(LONG) == 4
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "article", "main"])
+@pytest.mark.parametrize(
+    ("beside", "text"),
+    [
+        ("<p>Short last line.</p>", ["Short last line."]),
+        ("<ul><li>one</li><li>two</li></ul>", ["one", "two"]),
+        ("<table><tr><td>a</td><td>b</td></tr></table>", ["a", "b"]),
+        ("<h4>Four</h4><h5>Five</h5><h6>Six</h6>", ["Four", "Five", "Six"]),
+        ("<dl><dt>a</dt><dd>b</dd></dl><pre>x = 1</pre>", ["a", "b", "x = 1"]),
+        ("bare words", ["bare words"]),
+        (f"<div><p>{LONG}</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p></article><article><p>Short.</p></article>", [LONG, "Short."]),
+        ("<div><a href=x>Home</a> | <a href=y>About us</a></div>", []),
+        ("<a href=x>Next page</a>", []),
+        (f"<div class=comments>{LONG}</div><nav>Menu</nav>", []),
+    ],
+)
+def test_what_is_beside_the_best_container_is_kept(tag, beside, text):
+    article = f"<{tag}><p>{LONG}</p><p>{LONG}</p></{tag}>"
+    assert html_text.extract(f"<div>{article}{beside}</div>") == "\n\n".join([LONG, LONG, *text])
+    assert html_text.extract(f"<div>{beside}{article}</div>") == "\n\n".join([*text, LONG, LONG])
+
+
 def test_deep_and_broken_pages():
     assert html_text.extract("<div>" * 3000 + LONG) == LONG
     assert isinstance(html_text.extract("<p " + "a='" * 2001 + f"<p>{LONG}"), str)
