@@ -13,7 +13,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Each round hangs every node's larger neighbours on its least one, then every
     node on the least of its smaller neighbours, until nothing moves. Rounds grow
-    with the logarithm of the longest path. No node's neighbours are gathered:
+    with the logarithm of the longest path; if edges still move in the last of
+    ``most`` rounds, an error is raised. No node's neighbours are gathered:
     a round is two aggregations by minimum and two joins.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -30,6 +31,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components: edges still moved in round {most}")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -122,3 +122,10 @@ def test_components(spark):
     want = {i: root(i) for i in list(parent)}
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == want
+
+
+def test_components_that_are_not_finished_are_an_error(spark):
+    path = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError, match="round 1"):
+        components(path, most=1)
+    assert {r.component for r in components(path).collect()} == {0}
