@@ -65,7 +65,7 @@ def kr24_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kr37_pattern_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.pattern_windows(pictures(spark, sf_dir), ["vec_id"], window=32, rounds=10)
+    found = images.pattern_windows(pictures(spark, sf_dir), ["vec_id"], window=32)
     return found.select("vec_id", "y", "x", "status", *(F.round(c, 2).alias(c) for c in ("m_r", "m_g", "m_b")), F.round("texture", 6).alias("texture"))
 
 

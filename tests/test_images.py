@@ -178,3 +178,12 @@ def test_baseline_coefficients(spark, tmp_path):
     found = images.raw_blocks(spark.createDataFrame([(1, data), (2, b"no"), (3, data[: len(data) // 2])], "k int, content binary"), ["k"]).orderBy("k").collect()
     assert found[0].status == "completed" and found[0].quality == kernels.quality_of(tables[0])[0]
     assert found[1].status == "error"
+
+
+def test_pattern_query_runs_the_default_rounds(spark, monkeypatch):
+    from sieveline.plans import image_queries
+
+    given, real = [], image_queries.images.pattern_windows
+    monkeypatch.setattr(image_queries.images, "pattern_windows", lambda *a, **b: given.append(b) or real(*a, **b))
+    image_queries.kr37_pattern_windows(spark, "/root/testdata/sf0.001")
+    assert [b.get("rounds", 50) for b in given] == [50]
