@@ -3,44 +3,45 @@
 A document's set of word shingles becomes ``REGISTERS`` exponentially spaced,
 truncated minima: register i keeps floor(1 - log_b(least exponential hash)), so
 two sketches merge by their maxima and two registers agree about as often as the
-sets are alike. Documents with one and the same set form a class first, by
-aggregation, so that groups of exact copies cost one sketch.
+sets are alike. Documents with one and the same sequence of words form a class
+first, by aggregation over a digest of the words, so that groups of exact copies
+cost one sketch.
 
 Candidates come from bands of ``WIDTH`` registers. Every class meets only one
-representative of each of its buckets, in a few rounds, each with an order of
-its own in which the first member represents, so the pairs grow with the classes
-and not with the squares of buckets. Buckets whose members are then in one
-component are done. In those that are left, and only there, members of different
-components are compared with each other, in blocks of bounded size, so no link
-is lost to the choice of representatives. A pair is named by the first band that
-it shares alone.
+representative of each of its buckets, in rounds, each with an order of its own
+in which the first member represents, so the pairs grow with the classes and not
+with the squares of buckets. Buckets whose members are then in one component are
+done. Rounds go on while they close half of what is open. In the buckets that
+are left, and only there, members of different components are compared with each
+other, in blocks of bounded rows and bytes, so no link is lost to the choice of
+representatives. A pair is named by the first band that it shares alone.
 
 A pair's likeness is estimated by maximum likelihood from the counts of larger,
 smaller and equal registers and the two set sizes together; a pair well below the
-threshold goes no further. The rest are confirmed on the full sets. At the
-threshold, a pair shares no band with probability (1 - 0.8 ** 5) ** 48 < 1e-8,
+threshold goes no further. The rest are confirmed on the full sets of real words,
+numbered without hashes. At the threshold, a pair shares no band with probability (1 - 0.8 ** 5) ** 48 < 1e-8,
 and the margin of the estimate is more than four standard errors.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 from .components import components
-from .text import U64, blocks, mix, shingles, tidy
+from .skew import joined
+from .text import U64, Block, blocks, exact_sets, mix, shingles, tidy, word_digests
 
 REGISTERS = 320
 #: Ratio of neighbouring values: registers of sets of up to a thousand million shingles fit in a byte.
 SPACING = 1.1
-#: Rounds of representatives.
+#: Rounds of representatives, at least, if buckets stay open.
 ROUNDS = 3
 RATE = 20.0
 BANDS, WIDTH = 48, 5
@@ -48,8 +49,9 @@ SHINGLE = 4
 #: A link has MANY * shared >= OF * (all shingles of both).
 MANY, OF = 100, 80
 MARGIN = 0.1
-#: Members of a bucket that are compared at once.
+#: Members of a bucket, and bytes of their texts, in each of the two blocks that are compared at once, on average; a longer text is a block's worth.
 ROWS = 1024
+BYTES = 8 << 20
 
 _rng = np.random.default_rng(4)
 _FACTORS = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint64) * U64(2) + U64(1)).astype(np.uint32)
@@ -128,12 +130,8 @@ def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(alike.any(1), alike.argmax(1), BANDS)
 
 
-def _class_of(own: np.ndarray) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-
-
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set) and registers of every row."""
+    """doc_id, n_shingles, n_bytes, class (digest of the words in their order) and registers of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     @tidy
@@ -145,12 +143,13 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 columns = [
                     batch.column("doc_id")[block.first : block.first + len(block)],
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_class_of(s) for s in sets], pa.binary()),
-                    pa.array([r.tobytes() if len(r) else None for r in (registers(s) if len(s) else s for s in sets)], pa.binary()),
+                    pa.array(np.diff(block.offsets), pa.int64()),
+                    pa.array(word_digests(block), pa.binary()),
+                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "registers"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "n_bytes", "class", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, n_bytes long, class binary, registers binary")
 
 
 def _table(column: pa.Array) -> np.ndarray:
@@ -188,8 +187,18 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return MANY * shared >= OF * (len(x) + len(y) - shared)
+
+
+def together(*columns: pa.Array) -> Block:
+    """All texts of some columns, one column after the other, as one block."""
+    return next(blocks(pa.chunked_array([c.cast(pa.large_string()) for c in columns], pa.large_string()), 1 << 62))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+    """The pairs (a, b) whose full sets of words are alike enough."""
     left, right = (texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}")) for name in ("a", "b"))
 
     @tidy
@@ -197,34 +206,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame
         for batch in batches:
             keep = []
             for block in blocks(batch.column("ta")):
-                other = batch.column("tb")[block.first : block.first + len(block)]
-                x, at = shingles(block, k)
-                sets = [np.unique(x[at[i] : at[i + 1]]) for i in range(len(block))]
-                for more in blocks(other):
-                    y, to = shingles(more, k)
-                    for i in range(len(more)):
-                        own, its = sets[more.first + i], np.unique(y[to[i] : to[i + 1]])
-                        shared = len(np.intersect1d(own, its, assume_unique=True))
-                        keep.append(MANY * shared >= OF * (len(own) + len(its) - shared))
+                for other in blocks(batch.column("tb")[block.first : block.first + len(block)]):
+                    n, at = len(other), block.first + other.first
+                    sets = exact_sets(together(batch.column("ta")[at : at + n], batch.column("tb")[at : at + n]), k)
+                    keep += [linked(sets[i], sets[n + i]) for i in range(n)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node and text: one text with the set of each of the classes named."""
+def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text: one text with the words of each of the classes named."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", "class", F.col("least").alias("doc_id"))
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, "doc_id").select("node", "class", "text")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows that repeat an id may have other texts
-            keep = []
-            for block in blocks(batch.column("text")):
-                x, at = shingles(block, k)
-                keep += [_class_of(np.unique(x[at[i] : at[i + 1]])) for i in range(len(block))]
-            mask = pa.array([a == b for a, b in zip(keep, batch.column("class").to_pylist(), strict=True)], pa.bool_())
+            own = [digest for block in blocks(batch.column("text")) for digest in word_digests(block)]
+            mask = pa.array([a == b for a, b in zip(own, batch.column("class").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("text").filter(mask)], ["node", "text"])
 
     return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
@@ -233,17 +234,19 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int
 def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Links (a, b) between members of one bucket in different components, confirmed on the full sets.
 
-    Members are dealt in blocks of ROWS, and each two blocks of a bucket are
-    compared in a group of their own, so a large bucket is neither held nor
-    compared in one place. Pairs stay inside their group: what leaves the
-    comparison is a row for each member that the estimate leaves a partner, and
-    what leaves the confirmation are links that join what the group had not yet
-    joined. A pair that shares several buckets is compared in the first alone.
+    Members are dealt in blocks by a hash, as many as their rows and bytes ask
+    for, and each two blocks of a bucket are compared in a group of their own, so
+    a large bucket is neither held nor compared in one place. Pairs stay inside
+    their group: what leaves the comparison is a row for each member that the
+    estimate leaves a partner, and what leaves the confirmation are links that
+    join what the group had not yet joined. A pair that shares several buckets is
+    compared in the first alone.
     """
-    order = Window.partitionBy("key").orderBy("node")
-    blocked = open_members.withColumn("block", F.floor((F.row_number().over(order) - 1) / ROWS).cast("int"))
-    last = F.max("block").over(Window.partitionBy("key"))
-    dealt = blocked.withColumn("last", last).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    sized = open_members.join(classes.select("node", "n_bytes"), "node")
+    parts = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n_bytes") / BYTES)).cast("int")
+    buckets = sized.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"))
+    blocked = joined(sized, buckets, "key", "node", open_members.count()).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp")
     rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
     found = _grouped(rows, ["key", "i", "j", "band", "block", "node", "comp", "n_shingles", "registers"], _partners, "key long, i int, j int, node long, partners array<long>")
@@ -308,11 +311,7 @@ def _partners(group: list[tuple]) -> list[tuple]:
 def _confirmer(k: int):  # noqa: ANN202
     def confirm(group: list[tuple]) -> list[tuple]:
         """Links of a group on full sets, without those between members that it has joined already."""
-        sets: dict[int, np.ndarray] = {}
-        for block in blocks(pa.array([r[5] for r in group])):
-            hashes, at = shingles(block, k)
-            for i in range(len(block)):
-                sets[group[block.first + i][3]] = np.unique(hashes[at[i] : at[i + 1]])
+        sets = dict(zip((r[3] for r in group), exact_sets(together(pa.array([r[5] for r in group])), k), strict=True))
         parent = {p: p for p in sets}
 
         def root(p: int) -> int:
@@ -325,11 +324,7 @@ def _confirmer(k: int):  # noqa: ANN202
         for r in group:
             for q in r[4]:
                 x, y = root(r[3]), root(q)
-                if x == y:
-                    continue
-                own, its = sets[r[3]], sets[q]
-                shared = len(np.intersect1d(own, its, assume_unique=True))
-                if MANY * shared >= OF * (len(own) + len(its) - shared):
+                if x != y and linked(sets[r[3]], sets[q]):
                     parent[x] = y
                     out.append((min(r[3], q), max(r[3], q)))
         return out
@@ -337,11 +332,11 @@ def _confirmer(k: int):  # noqa: ANN202
     return confirm
 
 
-def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
+def still_open(members: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """key, band, node and comp of the buckets whose members are in several components."""
     own = members.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    return own.join(mixed, "key", "left_semi")
+    mixed = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most")
+    return joined(own, mixed.select("key", "n"), "key", "node", total).drop("n")
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -355,48 +350,55 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """
     rows = shared_checkpoint(sketches(docs, k))
     linkable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers"))
+    one = (F.any_value(c).alias(c) for c in ("n_shingles", "n_bytes", "registers"))
+    classes = linkable.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), *one)
     classes = shared_checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    bucket = Window.partitionBy("key")
-    members = banded(classes).withColumn("size", F.count("*").over(bucket)).filter("size > 1").select("key", "band", "node")
-    members = shared_checkpoint(members)
-    texts = shared_checkpoint(matched_texts(docs, classes, members.select("node").distinct(), k))
+    bands = banded(classes)
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = shared_checkpoint(joined(bands, shared, "key", "node", BANDS * classes.count()).select("key", "band", "node"))
+    texts = shared_checkpoint(matched_texts(docs, classes, members.select("node").distinct()))
 
-    links, left = None, members.withColumn("comp", F.col("node"))
-    for turn in range(ROUNDS):
+    links, left, turn = None, members.withColumn("comp", F.col("node")), 0
+    total = before = n = members.count()
+    while n and (turn < ROUNDS or n <= before / 2):
         first = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("head"))
-        pairs = left.join(heads, "key").filter("comp <> head.comp")
+        heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("head"), F.count("*").alias("n"))
+        pairs = joined(left, heads, "key", "node", n).filter("comp <> head.comp")
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-        links, found, left = _joined(links, confirmed(estimated(pairs, classes), texts, k), members)
+        links, found = _joined(links, confirmed(estimated(pairs, classes), texts, k))
+        left = shared_checkpoint(still_open(members, found, total))
         _let_go(docs)
-        if left.isEmpty():
-            break
-    links, found, left = _joined(links, crossed(left, classes, texts, k), None)
+        before, n, turn = n, left.count(), turn + 1
+    links, found = _joined(links, crossed(left, classes, texts, k))
     _let_go(docs)
 
-    own = classes.select("class", "node", "least").join(found, "node", "left")
-    own = own.select("class", "least", F.coalesce("component", "node").alias("comp"))
-    least = own.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "comp").select("class", "component_id")
-    out = rows.drop("registers").join(named, "class", "left")
-    linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    linked = F.when(F.col("doc_id").isNotNull(), linked)
-    return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
+    own = classes.select("class", "node", "least", "rows").join(found, "node", "left")
+    own = own.select("class", "node", "least", "rows", F.coalesce("component", "node").alias("comp"))
+    least = own.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = joined(own.drop("least"), least, "comp", "node", classes.count()).select("class", "component_id", F.col("rows").alias("n"))
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("class")).alias("class"))
+    in_class = joined(out.filter("class IS NOT NULL"), named, "class", "doc_id", rows.count()).select("doc_id", "n_shingles", "component_id")
+    alone = out.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return in_class.unionByName(alone).withColumn("kept", kept)
 
 
 def _let_go(df: DataFrame) -> None:
-    """Have the driver collect what is unreachable, on which Spark drops the shuffle files behind checkpoints."""
+    """Have the driver collect what is unreachable, on which Spark drops the shuffle files behind checkpoints.
+
+    Spark has no call that drops a query's shuffle files by name: they go when
+    the last reference to them in the driver does, which without this is half an
+    hour later.
+    """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _joined(links: DataFrame | None, new: DataFrame, members: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """All links as stars of their components, the components, and the buckets still open."""
+def _joined(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links as stars of their components, and the components."""
     found = shared_checkpoint(components(new if links is None else links.unionByName(new)))
-    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return stars, found, members and shared_checkpoint(still_open(members, found))
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")), found
 
 
 def sql() -> str:

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold, labelled
-from .text import BYTE_VALUE, U64, Block, blocks, give_back, mix, prefix_sums, span_hashes, spans, tidy
+from .text import U64, Block, blocks, give_back, mix, span_hashes, spans, tidy
 
 ROWS = 1 << 14
 WIDTH = 32
 #: Entries of an index vector that are not 0.
 MARKS = 4
+MARKS_SEED = 0x5DEECE66D
 #: Labelled rows that the network learns from, at most.
 SAMPLE = 8000
 THRESHOLD = 0.3
@@ -45,7 +46,7 @@ KIND[65:91] = KIND[97:123] = KIND[128:] = 1
 
 def marks() -> tuple[np.ndarray, np.ndarray]:
     """Place and sign of each row's marks."""
-    h = mix(np.arange(ROWS * MARKS, dtype=np.uint64) + BYTE_VALUE[7]).reshape(ROWS, MARKS)
+    h = mix(np.arange(ROWS * MARKS, dtype=np.uint64) + U64(MARKS_SEED)).reshape(ROWS, MARKS)
     return (h % U64(WIDTH)).astype(np.int64), ((h >> U64(40)) & U64(1)).astype(np.int64) * 2 - 1
 
 
@@ -57,7 +58,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     kind = KIND[block.data]
     w = spans(block, kind)
-    hashes = span_hashes(prefix_sums(block.data), w.start, w.end)
+    hashes = span_hashes(block.data, w.start, w.end)
     rows = (hashes >> U64(64 - ROWS.bit_length() + 1)).astype(np.int64)
     letters = kind[w.start] == 1
     for back in (1, 2):

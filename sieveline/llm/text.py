@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -24,11 +25,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 U64 = np.uint64
-_rng = np.random.default_rng(20240601)
-#: A random odd value for each byte, of which polynomial word hashes are made.
-BYTE_VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = int(_rng.integers(0, 1 << 63)) * 2 + 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+ODD = U64(0x9E3779B97F4A7C15)
+#: Longer spans are hashed one by one.
+LONG = 64
+#: What is left of eight bytes when only the first n count.
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def give_back() -> None:
@@ -92,22 +93,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers = {"n": 0}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
-    if _powers["n"] < n:
-        n = max(n, 2 * BLOCK)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-                steps = np.full(n, base & (2**64 - 1), np.uint64)
-                steps[0] = 1
-                _powers[name] = np.cumprod(steps)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
-
-
 class Words(NamedTuple):
     """Spans of words, the document of each, and the words before each document."""
 
@@ -140,17 +125,65 @@ def words(block: Block) -> Words:
     return spans(block, (~SPACE[block.data]).astype(np.uint8))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return sums
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, alike for equal bytes anywhere.
 
-
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, alike for equal bytes anywhere."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    Eight bytes at a time go through the finaliser, which has no sums or
+    products to cancel: spans of one length up to eight never share a hash.
+    """
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) + ODD)
+    live = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ (eight[start[live] + at] & FIRST[np.minimum(size[live] - at, 8)])) * ODD)
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def word_digests(block: Block) -> list[bytes]:
+    """128-bit digests of each document's A-Z lower-cased words, in their order."""
+    space = SPACE[block.data]
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]  # one blank after each word
+    first = block.offsets[:-1][np.diff(block.offsets) > 0]
+    keep[first] = ~space[first]
+    packed = np.where(space, np.uint8(32), LOWER[block.data])[keep]
+    at = np.concatenate([[0], np.cumsum(keep)])[block.offsets]
+    return [hashlib.blake2b(packed[a:b].tobytes().rstrip(b" "), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def exact_sets(block: Block, k: int) -> list[np.ndarray]:
+    """Each document's distinct k-word shingles as whole numbers that are equal for equal words alone, within this block.
+
+    Words are numbered by their bytes, without hashes. A document with fewer
+    words is one shingle, filled up with a number that no word has.
+    """
+    w = words(block)
+    keep = ~SPACE[block.data]
+    packed, at = LOWER[block.data][keep], np.concatenate([[0], np.cumsum(keep)])
+    ends = np.concatenate([at[w.start], at[w.end[-1:]]]).astype(np.int64)
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    number = spelled.dictionary_encode().indices.to_numpy().astype(np.uint64) + U64(1)
+    count = np.diff(w.before)
+    room = np.where(count > 0, np.maximum(count, k), 0)
+    first = np.concatenate([[0], np.cumsum(room)])
+    code = np.zeros(first[-1], np.uint64)
+    code[np.arange(len(number)) + np.repeat(first[:-1] - w.before[:-1], count)] = number
+    each, most = code, int(number.max(initial=0)) + 1
+    values = most
+    for i in range(1, k):
+        if values * most >= 1 << 63:
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+            values = int(code.max(initial=U64(0))) + 1
+        code = code[:-1] * U64(most) + each[i:]
+        values *= most
+    return [np.unique(code[a : max(a, b - k + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +194,7 @@ def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """
     data = LOWER[block.data]
     w = words(block)
-    h = span_hashes(prefix_sums(data), w.start, w.end)
+    h = span_hashes(data, w.start, w.end)
     count = np.diff(w.before)
     n = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     out = np.zeros(len(n) + 1, np.int64)
@@ -169,7 +202,7 @@ def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(h) >= k:
         total = np.zeros(len(h) - k + 1, np.uint64)
         for i in range(k):
-            total = total * U64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+            total = total * ODD + h[i : len(h) - k + 1 + i]
         inside = w.doc[: len(total)] == w.doc[k - 1 :]
         long = mix(total[inside] + U64(k))
     else:
@@ -182,6 +215,6 @@ def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
         total = U64(0)
         with np.errstate(over="ignore"):
             for x in h[w.before[i] : w.before[i + 1]]:
-                total = total * U64(0x9E3779B97F4A7C15) + x
+                total = total * ODD + x
             result[out[i]] = mix(np.array([total + U64(count[i])], np.uint64))[0]
     return result, out

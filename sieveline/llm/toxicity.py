@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import shared_checkpoint
 from .labels import fold, labelled
 from .quality import KIND, sigmoid
-from .text import LOWER, U64, Block, blocks, mix, prefix_sums, span_hashes, spans, tidy
+from .text import LOWER, U64, Block, blocks, mix, span_hashes, spans, tidy
 
 BITS = 18
 #: Bytes of the word beginnings that count beside whole words.
@@ -45,11 +45,11 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     w = spans(block, kind)
     word = kind[w.start] == 1
     start, end, doc = w.start[word], w.end[word], w.doc[word]
-    sums = prefix_sums(LOWER[block.data])
-    found, docs = [span_hashes(sums, start, end)], [doc]
+    data = LOWER[block.data]
+    found, docs = [span_hashes(data, start, end)], [doc]
     for k in BEGINNINGS:
         long = end - start > k
-        found.append(mix(span_hashes(sums, start[long], start[long] + k) + U64(k)))
+        found.append(mix(span_hashes(data, start[long], start[long] + k) + U64(k)))
         docs.append(doc[long])
     return (np.concatenate(found) >> U64(64 - BITS)).astype(np.int64), np.concatenate(docs)
 

@@ -2,11 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import neardup
 from sieveline.llm.components import components
-from sieveline.llm.text import blocks, shingles
+from sieveline.llm.skew import joined
+from sieveline.llm.text import blocks, exact_sets, shingles, word_digests
 
 
 def word_sets(text, k=4):
@@ -67,6 +69,37 @@ def corpus(seed=0, n=260):
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (8, "a b c d"), (9, "a b c d e"), (None, "a b c d"), (8, "a b c d"), (8, "x"), (11, "é É"), (12, "é é")]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_cancel_in_sums_are_not_linked(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, "a b c d e f")] + [(10 + i, f"{w} {w} x y z") for i, w in enumerate((one, other))]
+    for k in (4, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((tuple(r) for r in neardup.near_components(docs, k).collect()), key=repr) == brute(rows, k)
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+@pytest.mark.parametrize("k", [1, 4, 5])
+def test_exact_sets_and_digests_are_of_words(size, k):
+    texts = [t for _, t in corpus(5, 40)] + [None, "", " ", "One two", " one  TWO\t", "one two three four", "é É", thue_morse(300)]
+    for block in blocks(pa.array(texts), size):
+        found = exact_sets(block, k)
+        sets = [word_sets(texts[block.first + i], k) for i in range(len(block))]
+        for i in range(len(block)):
+            for j in range(i, min(i + 14, len(block))):
+                assert len(np.intersect1d(found[i], found[j])) == len(sets[i] & sets[j])
+    digests = [d for block in blocks(pa.array(texts), size) for d in word_digests(block)]
+    words = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for t in texts]
+    assert len(set(digests)) == len(set(words)) == len(set(zip(digests, words, strict=True)))
+
+
 @pytest.mark.parametrize("rows", [corpus() + ODD, corpus(7), ODD, [(5, "a b c d e f " * 9000), (3, "a b c d e f " * 9001)], []])
 def test_matches_all_pairs(spark, rows):
     docs = spark.createDataFrame([(i, t, "k", 0, b"") for i, t in rows], "doc_id long, text string, key string, node int, registers binary")
@@ -76,6 +109,7 @@ def test_matches_all_pairs(spark, rows):
 
 def test_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "ROWS", 3)
+    monkeypatch.setattr(neardup, "BYTES", 2000)
     monkeypatch.setattr(neardup, "ROUNDS", 1)
     rows = corpus(3, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -83,8 +117,6 @@ def test_buckets_are_compared_in_blocks(spark, monkeypatch):
 
 
 def test_shingles_match_words():
-    import pyarrow as pa
-
     texts = ["One two  three\tfour five", "a", "", "x y z", "tail of the last one here"]
     for block in blocks(pa.array(texts), 16):
         for k in (1, 4, 5):
@@ -129,3 +161,15 @@ def test_components_that_are_not_finished_are_an_error(spark):
     with pytest.raises(RuntimeError, match="round 1"):
         components(path, most=1)
     assert {r.component for r in components(path).collect()} == {0}
+
+
+def test_joins_on_hot_keys(spark, monkeypatch):
+    from sieveline.llm import skew
+
+    monkeypatch.setattr(skew, "SHARE", 5)
+    monkeypatch.setattr(skew, "SALTS", 4)
+    rows = spark.range(1000).selectExpr("id AS node", "CASE WHEN id < 600 THEN 1 WHEN id < 990 THEN id END AS key")
+    unique = rows.filter("key IS NOT NULL").groupBy("key").count().selectExpr("key", "count AS n", "key * 2 AS twice")
+    found = joined(rows, unique, "key", "node", 1000)
+    assert found.columns == ["key", "node", "n", "twice"]
+    assert sorted(map(tuple, found.collect())) == sorted((k, i, 600 if k == 1 else 1, 2 * k) for i in range(990) for k in [1 if i < 600 else i])
