@@ -14,9 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shuffle_partitions
 from .text import U64, mix, tidy
@@ -26,6 +26,10 @@ LENGTH = 12
 SCALE = 16
 #: Ranges of ids for each shuffle partition: several, so that tasks are even.
 RANGES = 4
+#: Bytes of text in a range, about; and how many ranges there are at most, and ids drawn for each.
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 1 << 16
+DRAWS = 16
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -102,37 +106,67 @@ def sketches(docs: DataFrame, text: str = "text", length: int = LENGTH, scale: i
     return wanted.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, sketch array<long>")
 
 
-def merged(parts: DataFrame, by: list[str]) -> DataFrame:
-    """One sketch for each group of sketches: distinct hashes, pre-aggregated before the shuffle.
+def merged(parts: DataFrame, by: list[str], scale: int = SCALE) -> DataFrame:
+    """One sketch for each group of sketches, as merge() makes it; pre-aggregated before the shuffle.
 
-    The group is gathered as its sketch alone, whose size is the group's shingles by the scale.
+    Hashes below the threshold stay, else the group's least one; a group of empty
+    sketches has an empty one. A group is gathered as its sketch alone, whose size
+    is the group's shingles by the scale: it is the row that is returned.
     """
-    return parts.select(*by, F.explode("sketch").alias("h")).distinct().groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
+    h = F.col("h")
+    low = F.when((h >= 0) & (h < (1 << 64) // scale), h)  # hashes are unsigned
+    found = parts.select(*by, F.explode_outer("sketch").alias("h")).distinct().groupBy(*by)
+    found = found.agg(F.sort_array(F.collect_list(low)).alias("low"), F.min(F.when(h.isNotNull(), F.struct(h < 0, h.alias("h")))).alias("least"))
+    empty = F.array().cast("array<bigint>")
+    return found.select(*by, F.when(F.size("low") > 0, F.col("low")).when(F.col("least").isNotNull(), F.array("least.h")).otherwise(empty).alias("sketch"))
+
+
+def _ranges(docs: DataFrame) -> int:
+    """Ranges of ids: several for each shuffle partition, and so many that each has about RANGE_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_RANGES, max(RANGES * shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES)))
 
 
 def ranged(docs: DataFrame) -> DataFrame:
     """bucket, guest, doc_id and text: documents in ranges of ids, each range with the next one's first as its guest.
 
-    The ranges come from approximate quantiles of the ids alone, as many as a
-    fixed multiple of the shuffle partitions; so are the heads that are joined
-    back. After the last range comes the first.
+    The ranges are cut at ids of a sample, which is bounded by the number of
+    ranges, and ids are compared as they are, whatever their type. The heads of
+    the ranges are a row a range. After the last range comes the first. Texts are
+    read once and shuffled once.
     """
     spark = docs.sparkSession
-    n = RANGES * shuffle_partitions(spark)
-    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("place")
-    ids = docs.select("doc_id", place)
-    cuts = ids.agg(F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    ranges = Bucketizer(splits=splits, inputCol="place", outputCol="bucket")
-    heads = ranges.transform(ids).groupBy("bucket").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("has_null"))
-    heads = sorted(heads.collect(), key=lambda r: r.bucket)
-    pairs = [(heads[i - 1].bucket, None if r.has_null else r.least) for i, r in enumerate(heads)]
-    inside = ranges.transform(docs.select("doc_id", "text", place)).select("bucket", F.lit(0).alias("guest"), "doc_id", "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    first = F.broadcast(spark.createDataFrame(pairs, f"bucket double, head {kind}"))
-    own = docs.select("doc_id", "text")
-    guests = own.join(first, own["doc_id"].eqNullSafe(first["head"])).select("bucket", F.lit(1).alias("guest"), "doc_id", "text")
-    return inside.unionByName(guests).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    n = _ranges(docs)
+    ids = docs.select("doc_id")
+    drawn = ids.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(DRAWS * n)
+    drawn = [r.doc_id for r in drawn.orderBy("doc_id").collect()]
+    cuts = list(dict.fromkeys(drawn[i * len(drawn) // n] for i in range(1, n))) if drawn else []
+    kind = ids.schema["doc_id"].dataType
+    step = max(1, round(len(cuts) ** 0.5))
+
+    def literal(values: list) -> Column:
+        return F.array(*(F.lit(v).cast(kind) for v in values)) if values else F.array().cast(T.ArrayType(kind))
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+
+    # the number of cuts up to an id: whole steps first, then within one step; a null id is in the first range
+    steps = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    whole = below(literal([s[-1] for s in steps]))
+    inside = F.element_at(F.array(*map(literal, steps), literal([])), whole + 1)
+    bucket = (whole * step + below(inside)).cast("int").alias("bucket")
+
+    rows = docs.select(bucket, "doc_id", "text")
+    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("has_null")).collect()
+    heads = sorted(heads, key=lambda r: r.bucket)
+    table = [(r.bucket, None if r.has_null else r.least, heads[i - 1].bucket) for i, r in enumerate(heads)]
+    first = F.broadcast(spark.createDataFrame(table, T.StructType().add("bucket", T.IntegerType()).add("head", kind).add("before", T.IntegerType())))
+    own = F.struct("bucket", F.lit(0).alias("guest"))
+    guest = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest"))
+    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, guest)).otherwise(F.array(own))
+    placed = rows.join(first, "bucket").select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.guest", "doc_id", "text")
+    parts = max(shuffle_partitions(spark), n // RANGES)
+    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, length: int = LENGTH, scale: int = SCALE, sketches: bool = False) -> DataFrame:

@@ -58,8 +58,38 @@ def test_sketches_merge_and_contain():
     assert set(S.merge([S.sketch(left), S.sketch(right)]).tolist()) == set(b.tolist())
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(30,0)", "timestamp", "int"])
+@pytest.mark.parametrize("span", [1 << 24, 200])
+def test_ids_of_any_type(spark, monkeypatch, kind, span):
+    monkeypatch.setattr(S, "RANGE_BYTES", span)
+    rng = np.random.default_rng(1)
+    rows = [(int(i), "".join(rng.choice(list("abcd "), 40))) for i in rng.permutation(90)] + [(None, "none"), (None, None), (17, "again")]
+    cast = {"string": "CASE WHEN i < 9 THEN 'd-' || i ELSE 'e' || i END", "timestamp": "timestamp_seconds(i)", "decimal(30,0)": "CAST(i AS decimal(30,0)) + 9007199254740992000", "int": "i"}[kind]
+    docs = spark.createDataFrame(rows, "i int, text string").selectExpr(f"{cast} AS doc_id", "text")
+    got = [tuple(r) for r in S.fingerprints(docs).select(*COLUMNS).collect()]
+    plain = [tuple(r) for r in docs.collect()]
+    least = min(i for i, _ in plain if i is not None)
+    rows = sorted(plain, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else least, r[1] or ""))
+    assert len(got) == len(rows)
+    for found in got:
+        at = [n for n, r in enumerate(rows) if r[0] == found[0]]
+        nexts = {brute_pair(rows[n][1], rows[(n + 1) % len(rows)][1]) for n in at}
+        assert tuple(found[1:]) in nexts
+
+
+def brute_pair(text, after):
+    t, after = text or "", after or ""
+    h = len(t) // 2
+    edited = t[: len(t) - h] + after[:h]
+    own, other, nxt = (S.sketch(x) for x in (t, edited, after))
+    return len(t), hashlib.sha256(edited.encode()).hexdigest(), S.digest(own), S.digest(other), S.likeness(own, other), S.likeness(own, nxt)
+
+
 def test_merged_by_group(spark):
-    docs = spark.createDataFrame([(1, "a" * 50 + "bcd" * 30), (2, "xyz" * 40), (3, None)], "doc_id long, text string")
-    parts = S.sketches(docs).withColumn("g", F.lit(1))
-    whole = S.merged(parts, ["g"]).first().sketch
-    assert sorted(whole) == sorted({h for r in parts.collect() for h in r.sketch})
+    rng = np.random.default_rng(2)
+    texts = [(g, "".join(rng.choice(list("abcdefgh"), n))) for g, n in [(1, 400), (1, 13), (2, 14), (2, 13), (3, 0), (3, 0), (4, 5), (5, 900), (5, 2000), (6, 12), (6, 12), (None, 13)]]
+    docs = spark.createDataFrame([(i, t or None, g) for i, (g, t) in enumerate(texts)], "doc_id long, text string, g int")
+    parts = S.sketches(docs).join(docs.select("doc_id", "g"), "doc_id")
+    found = {r.g: list(r.sketch) for r in S.merged(parts, ["g"]).collect()}
+    for g in {g for g, _ in texts}:
+        assert found[g] == S.merge([S.sketch(t) for h, t in texts if h == g]).view(np.int64).tolist()
