@@ -185,7 +185,15 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text: str
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
+        collecting = gc.isenabled()
         gc.disable()  # what is kept has no cycles; searching it for them costs more than the replay
+        try:
+            yield from encoded(coder, batches)
+        finally:  # the worker goes on to other tasks
+            if collecting:
+                gc.enable()
+
+    def encoded(coder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), SIZE):
                 texts = [block.bytes_of(i).decode() for i in range(len(block))]

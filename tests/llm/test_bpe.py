@@ -57,3 +57,17 @@ def test_query_rows(spark, reference):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert len(found) == len(texts)
     assert bpe.encode(docs.limit(0), PATH, known.PATTERN).count() == 0
+
+
+def test_workers_collect_garbage_again(spark):
+    import gc
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").repartition(4)
+    assert bpe.encode(docs, PATH, known.PATTERN).count() == 20
+
+    def collecting(batches):
+        for batch in batches:
+            batch["id"] = int(gc.isenabled())
+            yield batch
+
+    assert {r.id for r in spark.range(64, numPartitions=16).mapInPandas(collecting, "id long").collect()} == {1}
