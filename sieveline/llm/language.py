@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import fold
+from .labels import SUMS, fold, partial_sums, summed
 from .text import U64, give_back, mix, tidy
 
 BITS = 15
@@ -81,23 +81,11 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 df[counts(text.as_py())[0]] += 1
                 n += 1
         df[-1] = n
-        parts = np.array_split(df, TABLES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(TABLES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "df"])
+        yield partial_sums(list(enumerate(np.array_split(df, TABLES))))
 
-    @tidy
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch.column("part").to_pylist(), batch.column("df"), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "df"])
-
-    schema = "part int, df binary"
-    partial = docs.filter(learning()).select("text").mapInArrow(count, schema)
-    rows = partial.repartition(TABLES, "part").mapInArrow(add, schema).collect()  # TABLES rows of fixed size
     parts = np.array_split(np.zeros((1 << BITS) + 1, np.int64), TABLES)
-    for row in rows:
-        parts[row.part] = np.frombuffer(row.df, np.int64)
+    for part, sums in summed(docs.filter(learning()).select("text").mapInArrow(count, SUMS), TABLES).items():
+        parts[part] = sums
     df = np.concatenate(parts)
     return df[:-1], int(df[-1])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import fold, labelled
+from .labels import SUMS, fold, labelled, partial_sums, summed
 from .text import U64, Block, blocks, give_back, mix, span_hashes, spans, tidy
 
 ROWS = 1 << 14
@@ -85,21 +85,11 @@ def contexts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 total += np.bincount(rows * (WIDTH + 1) + WIDTH, minlength=len(total))
         table = total.reshape(-1, PART * (WIDTH + 1))
         full = [i for i in range(len(table)) if table[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([table[i].tobytes() for i in full], pa.binary())], ["part", "sums"])
+        yield partial_sums([(i, table[i]) for i in full])
 
-    @tidy
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
-
-    partial = docs.select("text").mapInArrow(count, "part int, sums binary")
-    summed = partial.repartition(ROWS // PART, "part").mapInArrow(add, "part int, sums binary")
     table = np.zeros((ROWS // PART, PART * (WIDTH + 1)), np.int64)
-    for row in summed.collect():  # ROWS / PART rows of fixed size
-        table[row.part] = np.frombuffer(row.sums, np.int64)
+    for part, sums in summed(docs.select("text").mapInArrow(count, SUMS), ROWS // PART).items():
+        table[part] = sums
     table = table.reshape(ROWS, WIDTH + 1)
     return table[:, :WIDTH], table[:, WIDTH]
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
-from .labels import fold, labelled
+from .labels import fold, labelled, once
 from .quality import KIND, sigmoid
 from .text import LOWER, U64, Block, blocks, mix, span_hashes, spans, tidy
 
@@ -133,9 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int
     prior = ((counted.k or 0) + 1) / (counted.n + 2)
     toxic = labelled(docs, labels, label, positive, only=1).select("doc_id", "text", F.lit(1).alias("is"))
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(unlabelled)
-    texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rest = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.lit(0).alias("is"))
-    # ordered, so that reruns train alike; the sample is bounded by the two parameters
+    rest = once(docs, ids).select("doc_id", "text", F.lit(0).alias("is"))
+    # ordered, so that reruns train alike; the sample has one row an id, and the ids are bounded by the two parameters
     sample = toxic.unionByName(rest).repartition(TASKS, F.xxhash64("doc_id")).sortWithinPartitions("is", "doc_id", "text")
     sample = shared_checkpoint(sample)
 

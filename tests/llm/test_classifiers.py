@@ -1,10 +1,15 @@
+import hashlib
+import math
 import random
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from sieveline.llm import language, quality, toxicity
+from sieveline.llm.labels import labelled, once
 
 WORDS = {"en": "the of and to in is that it was for on are with as his they be at one have this".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(), "el": "και το της του να με για από είναι στην που δεν θα στο την αυτό μας".split()}
 BAD = ["vrongle", "snorbit", "plugface"]
@@ -134,3 +139,131 @@ def test_ftrl_weights_are_sparse():
         rows.append((at, np.full(len(at), 1 / np.sqrt(len(at)))))
     w, _ = language.train(rows, y, 2)
     assert (w == 0).mean() > 0.9 and w[0, 0] > 0 > w[0, 1]
+
+
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def plain_hash(word):
+    odd, m = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    if len(word) > 64:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    h = plain_mix(len(word) + odd & m)
+    for i in range(0, len(word), 8):
+        h = plain_mix((h ^ int.from_bytes(word[i : i + 8], "little")) * odd & m)
+    return h
+
+
+def plain_tokens(text):
+    return re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z\x80-\xff0-9\x20\x09-\x0D]+", (text or "").encode())
+
+
+def plain_rows(text):
+    tokens = plain_tokens(text)
+    letters = [bool(re.match(rb"[A-Za-z\x80-\xff]", t)) for t in tokens]
+    out = [plain_hash(t) >> 50 for t in tokens]
+    return [0 if letters[i] and tokens[i] in tokens[max(0, i - 2) : i] else r for i, r in enumerate(out)]
+
+
+LONG_WORD = "é" * 900
+
+
+def test_quality_matches_a_plain_forward_pass(made, spark):
+    docs, labels, _, rows = made
+    extra = spark.createDataFrame([(5000, f"{LONG_WORD} a {LONG_WORD} 12,34 a", "en", "s", 0, 0.5, 7)], docs.schema)
+    docs = docs.unionByName(extra)
+    table, net = quality.fit(docs, labels)
+    place, sign = quality.marks()
+    context, counts = np.zeros((quality.ROWS, quality.WIDTH), np.int64), np.zeros(quality.ROWS, np.int64)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for text in [r[1] for r in rows] + [texts[5000]]:
+        own = plain_rows(text)
+        for i, row in enumerate(own):
+            counts[row] += 1
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(own):
+                    for m in range(quality.MARKS):
+                        context[row, place[own[j], m]] += sign[own[j], m]
+    assert (quality.vectors(context, counts) == table).all()
+    for r in quality.score(docs, labels).collect():
+        own = plain_rows(texts[r.doc_id])
+        x = [sum(int(table[row, d]) for row in own) / quality.UNIT / (len(own) + quality.SHRINK) for d in range(quality.WIDTH)]
+        x = [(v - m) / s for v, m, s in zip(x, net.mean, net.spread, strict=True)]
+        hidden = [math.tanh(sum(v * w for v, w in zip(x, net.w1[:, h], strict=True)) + net.b1[h]) for h in range(len(net.b1))]
+        z = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z / net.temperature)), abs=1e-9)
+        if r.doc_id == 903:
+            assert len(own) == 160_000
+
+
+def test_toxicity_matches_a_plain_sum(made):
+    docs, labels, _, _ = made
+    weights, bias = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, labels).collect():
+        found = set()
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", (texts[r.doc_id] or "").encode()):
+            word = word.lower()
+            found.add(plain_hash(word) >> 64 - toxicity.BITS)
+            for k in toxicity.BEGINNINGS:
+                if len(word) > k:
+                    found.add(plain_mix(plain_hash(word[:k]) + k & (1 << 64) - 1) >> 64 - toxicity.BITS)
+        z = sum(weights[f] for f in found) + bias
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_language_matches_plain_counts(made):
+    docs, _, _, rows = made
+    model = language.fit(docs)
+    m, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def plain_counts(text):
+        found = defaultdict(int)
+        points = [ord(c) + 1 for c in text.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for p in points[i : i + n]:
+                    h = h * odd + p & m
+                found[plain_mix(h + (n << 56) & m) >> 64 - language.BITS] += 1
+        return found
+
+    df, n = defaultdict(int), 0
+    for key, text, lang, *_ in rows:
+        if fold(key, 4) != 2 and lang is not None and text is not None:
+            n += 1
+            for f in plain_counts(text):
+                df[f] += 1
+    idf = np.log((n + 1) / (np.array([df[f] for f in range(1 << language.BITS)]) + 1)) + 0.1
+    assert np.allclose(model.idf, idf)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.predict(docs).collect():
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        if len(text) > 10_000 or (r.doc_id or 0) % 5:
+            continue
+        x = {f: (1 + math.log(c)) * idf[f] for f, c in plain_counts(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * model.weights[f, c] for f, v in x.items()) + model.bias[c]) / model.temperature for c in range(len(model.names))]
+        p = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(z)), key=lambda c: (z[c], -c))
+        assert r.lang_pred == model.names[best]
+        assert r.score == pytest.approx(p[best] / sum(p), abs=1e-9)
+
+
+def test_ids_that_repeat_count_once(made, spark):
+    """Samples are bounded by rows: an id of many rows is one example."""
+    docs, labels, _, _ = made
+    many = spark.range(3000).selectExpr("1L AS doc_id", "concat('vrongle ', id) AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars", "0.5D AS score", "7 AS predicted")
+    both = docs.unionByName(many)
+    toxic = labels.filter("doc_id <> 1").unionByName(spark.createDataFrame([(1, 1, 1)] * 5, labels.schema))
+    found = labelled(both, toxic, "toxic", 10_000).groupBy("doc_id").count().filter("count > 1").collect()
+    assert not found
+    assert once(both, both.select("doc_id").filter("doc_id IS NOT NULL").distinct()).count() == docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().count()
+    assert toxicity.score(both, toxic).count() == both.count() and quality.score(both, toxic).count() == both.count()
