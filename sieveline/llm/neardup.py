@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint
+from ..session import Tables, shared_checkpoint
 from .components import components
 from .skew import joined
 from .text import U64, Block, blocks, exact_sets, mix, shingles, tidy, word_digests
@@ -231,7 +231,7 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> Data
     return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, total: int, k: int = SHINGLE) -> DataFrame:
     """Links (a, b) between members of one bucket in different components, confirmed on the full sets.
 
     Members are dealt in blocks by a hash, as many as their rows and bytes ask
@@ -244,8 +244,8 @@ def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, k: in
     """
     sized = open_members.join(classes.select("node", "n_bytes"), "node")
     parts = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n_bytes") / BYTES)).cast("int")
-    buckets = sized.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"))
-    blocked = joined(sized, buckets, "key", "node", open_members.count()).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    buckets = sized.groupBy("key").agg(F.any_value("n").alias("n"), parts.alias("parts"))
+    blocked = joined(sized, buckets, "key", "node", total, counted=True).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp")
     rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
@@ -333,10 +333,10 @@ def _confirmer(k: int):  # noqa: ANN202
 
 
 def still_open(members: DataFrame, found: DataFrame, total: int) -> DataFrame:
-    """key, band, node and comp of the buckets whose members are in several components."""
-    own = members.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most")
-    return joined(own, mixed.select("key", "n"), "key", "node", total).drop("n")
+    """key, band, node, n and comp of the buckets whose members are in several components."""
+    own = members.join(found, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("comp"))
+    mixed = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.any_value("n").alias("n")).filter("least < most")
+    return joined(own, mixed.select("key", "n"), "key", "node", total, counted=True)
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -348,30 +348,41 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     own; those that share a component share its least id, and every row with that
     id is kept. Extra columns are left out; an empty table gives no rows.
     """
-    rows = shared_checkpoint(sketches(docs, k))
+    tables = Tables(docs.sparkSession)
+    rows = tables.keep("rows", sketches(docs, k))
     linkable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     one = (F.any_value(c).alias(c) for c in ("n_shingles", "n_bytes", "registers"))
     classes = linkable.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), *one)
-    classes = shared_checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = tables.keep("classes", classes.withColumn("node", F.monotonically_increasing_id()))
 
     bands = banded(classes)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = shared_checkpoint(joined(bands, shared, "key", "node", BANDS * classes.count()).select("key", "band", "node"))
-    texts = shared_checkpoint(matched_texts(docs, classes, members.select("node").distinct()))
+    total = BANDS * classes.count()
+    heads = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
+    members = tables.keep("members", joined(bands, heads, "key", "node", total))
+    texts = tables.keep("texts", matched_texts(docs, classes, members.select("node").distinct()))
+    _let_go(docs)
 
     links, left, turn = None, members.withColumn("comp", F.col("node")), 0
-    total = before = n = members.count()
+    before = n = members.count()
     while n and (turn < ROUNDS or n <= before / 2):
-        first = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("head"), F.count("*").alias("n"))
-        pairs = joined(left, heads, "key", "node", n).filter("comp <> head.comp")
-        pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+        if turn:
+            first = F.xxhash64("node", F.lit(turn))
+            heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("other"), F.any_value("n").alias("n"))
+            pairs = joined(left, heads, "key", "node", total, counted=True).filter("comp <> other.comp").select("node", F.col("other.node").alias("head"))
+        else:
+            pairs = members.filter("node <> head").select("node", "head")
+        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         links, found = _joined(links, confirmed(estimated(pairs, classes), texts, k))
-        left = shared_checkpoint(still_open(members, found, total))
+        left = tables.keep(f"open{turn}", still_open(members, found, total))
+        if turn:
+            tables.drop(f"open{turn - 1}")
         _let_go(docs)
         before, n, turn = n, left.count(), turn + 1
-    links, found = _joined(links, crossed(left, classes, texts, k))
-    _let_go(docs)
+    if n:
+        links, found = _joined(links, crossed(left, classes, texts, total, k))
+        _let_go(docs)
+    elif not turn:
+        found = links = docs.sparkSession.createDataFrame([], "node long, component long")
 
     own = classes.select("class", "node", "least", "rows").join(found, "node", "left")
     own = own.select("class", "node", "least", "rows", F.coalesce("component", "node").alias("comp"))

@@ -171,5 +171,6 @@ def test_joins_on_hot_keys(spark, monkeypatch):
     rows = spark.range(1000).selectExpr("id AS node", "CASE WHEN id < 600 THEN 1 WHEN id < 990 THEN id END AS key")
     unique = rows.filter("key IS NOT NULL").groupBy("key").count().selectExpr("key", "count AS n", "key * 2 AS twice")
     found = joined(rows, unique, "key", "node", 1000)
-    assert found.columns == ["key", "node", "n", "twice"]
-    assert sorted(map(tuple, found.collect())) == sorted((k, i, 600 if k == 1 else 1, 2 * k) for i in range(990) for k in [1 if i < 600 else i])
+    counted = joined(rows.join(unique.select("key", "n"), "key"), unique, "key", "node", 1000, counted=True)
+    assert found.columns == counted.columns == ["key", "node", "n", "twice"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, counted.collect())) == sorted((k, i, 600 if k == 1 else 1, 2 * k) for i in range(990) for k in [1 if i < 600 else i])
