@@ -13,12 +13,16 @@ comments.
 Menus and the like are known by their element, or only named by a class, an id,
 a role or a form. A name is a hint: it removes no element that holds the page's
 main article or most of the points of its paragraphs, since wrappers of whole
-pages have such names too.
+pages have such names too, and no heading, paragraph, item or cell, unless it is
+named an advert, a comment or the like or is links for the most part. A page is
+read in time that grows with its length alone, however broken it is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -59,9 +63,12 @@ FIRM = re.compile(
 )
 OWN = frozenset({"article", "post", "entry", "story"})
 KEPT = frozenset("html body main article".split())
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
-)
+#: Elements of prose, which a name alone does not remove, and the names that do.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th caption".split())
+SHARP = re.compile(r"ad|ads|adv|adbox|advert\w*|sponsor\w*|comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|newsletter|outbrain|taboola")
+#: A comment, a declaration, or a tag with its attributes and end, if no quoted value holds a bracket; other ends are found from the quotes of the page.
+START = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^'"<>]++|"[^"<>]*+"|'[^'<>]*+')*+)>)?""")
+MARK = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Parameters of the scores.
 LEAST = 25
@@ -104,13 +111,40 @@ def named(tag: str, attributes: str, inside_article: bool) -> str:
     return ""
 
 
+class TagEnds:
+    """Where tags end on one page, quotes minded: found once for all of its quotes and brackets."""
+
+    def __init__(self, html: str) -> None:
+        self.at = [m.start() for m in MARK.finditer(html)]
+        self.ends, self.brackets = [-1] * len(self.at), [-1] * len(self.at)
+        # read backwards: where a tag ends if read on from here outside quotes, or inside double or single ones
+        outside = double = single = bracket = -1
+        for i in range(len(self.at) - 1, -1, -1):
+            c = html[self.at[i]]
+            if c == ">":
+                outside = bracket = self.at[i]
+            elif c == '"':
+                outside, double = double, outside
+            else:
+                outside, single = single, outside
+            self.ends[i], self.brackets[i] = outside, bracket
+
+    def after(self, place: int) -> int:
+        """The bracket that ends a tag read on from a place; if quotes never close, the next one; -1 without any."""
+        i = bisect_left(self.at, place)
+        if i == len(self.at):
+            return -1
+        return self.ends[i] if self.ends[i] >= 0 else self.brackets[i]
+
+
 class Tree:
     """Nodes as parallel lists, and the blocks of text with the node that holds each."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.out, self.name = ["#root"], [-1], [False], [""]
+        self.tag, self.parent, self.out, self.name, self.holder = ["#root"], [-1], [False], [""], [0]
         self.blocks: list[tuple[int, str, int, int]] = []  # node, text, characters in links, innermost element
         self._stack, self._text, self._linked, self._links, self._articles = [0], [], 0, 0, 0
+        self._depths: dict[str, list[int]] = {}  # places on the stack of the open elements of each tag
         self._read(html)
 
     def _add(self, raw: str) -> None:
@@ -123,37 +157,39 @@ class Tree:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                at = next(n for n in reversed(self._stack) if self.tag[n] in BLOCK or n == 0)
-                if not self.out[self._stack[-1]]:
-                    self.blocks.append((at, text, self._linked, self._stack[-1]))
+                top = self._stack[-1]
+                if not self.out[top]:
+                    self.blocks.append((self.holder[top], text, self._linked, top))
             self._text, self._linked = [], 0
 
+    def _last(self, tags) -> int:
+        """The place on the stack of the innermost open element of some tags; 0 without one."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
+
     def _pop(self, depth: int) -> None:
         """Close the elements from a place of the stack on."""
         if any(self.tag[n] in BLOCK or self.name[n] or self.out[n] != self.out[self.parent[n]] for n in self._stack[depth:]):
             self._flush()
         for n in self._stack[depth:]:
+            self._depths[self.tag[n]].pop()
             self._links -= self.tag[n] == "a"
             self._articles -= self.tag[n] in ("article", "main")
         del self._stack[depth:]
 
     def _end(self, names, until) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[depth]]
-            if tag in names:
-                return self._pop(depth)
-            if tag in until:
-                return None
-        return None
+        """Close the innermost element of some names, unless it holds an open one of others."""
+        depth = self._last(names)
+        if depth > self._last(until):
+            self._pop(depth)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._flush()
-            self._end({"p"}, {"table", "td", "th", "button", "caption", "object", "svg"})
+            self._end(("p",), ("table", "td", "th", "button", "caption", "object", "svg"))
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag == "a" and self._links:
-            self._end({"a"}, {"td", "th"})
+            self._end(("a",), ("td", "th"))
         top = self._stack[-1]
         out = self.out[top] or left_out(tag, attributes)
         name = "" if out else named(tag, attributes, self._articles > 0)
@@ -167,35 +203,46 @@ class Tree:
         self.parent.append(top)
         self.out.append(out)
         self.name.append(name)
+        self.holder.append(len(self.tag) - 1 if tag in BLOCK else self.holder[top])
+        self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
         self._articles += tag in ("article", "main")
 
     def _read(self, html: str) -> None:
-        at = 0
-        while (m := TAG.search(html, at)) is not None:
+        at, ends = 0, None
+        while (m := START.search(html, at)) is not None:
             if m.start() > at:
                 self._add(html[at : m.start()])
-            at = m.end()
-            end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag:
+            at, tag = m.end(), m[2]
+            if not tag:  # a comment or declaration; one that never ends hides the rest
+                mark = "-->" if m[0] == "<!--" else ">"
+                found = html.find(mark, at)
+                at = found + len(mark) if found >= 0 else len(html)
                 continue
+            attributes = m[3]
+            if attributes is None:
+                ends = ends or TagEnds(html)
+                close = ends.after(m.end(2))
+                if close < 0:  # no tag ends any more: what looks like one is text
+                    hidden = re.compile("<[!?]").search(html, m.start() + 1)
+                    self._add(html[m.start() : hidden.start() if hidden else len(html)])
+                    at = len(html)
+                    break
+                attributes, at = html[m.end(2) : close], close + 1
             tag = tag.lower()
-            if end:
+            if m[1]:
                 if tag == "br":
                     self._text.append(" ")
-                for depth in range(len(self._stack) - 1, 0, -1):
-                    if self.tag[self._stack[depth]] == tag:
-                        self._pop(depth)
-                        break
-                    if self.tag[self._stack[depth]] in ("td", "th", "table") and tag not in BLOCK:
-                        break
+                depth = self._last((tag,))
+                if depth > (0 if tag in BLOCK else self._last(("td", "th", "table"))):
+                    self._pop(depth)
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, m.start() + 1)
                 at = close.end() if close else len(html)
                 continue
-            self._open(tag, attributes or "")
+            self._open(tag, attributes)
         if at < len(html):
             self._add(html[at:])
         self._pop(1)
@@ -212,7 +259,7 @@ def dropped(tree: Tree) -> list[bool]:
     marked = [bool(name[i]) and tag[i] not in KEPT for i in range(n)]
     if not any(marked):
         return marked
-    own, size, plain = [0.0] * n, [0] * n, 0.0
+    own, size, linked, plain = [0.0] * n, [0] * n, [0] * n, 0.0
     under = marked[:]
     for i in range(1, n):
         under[i] |= under[parent[i]]
@@ -221,10 +268,12 @@ def dropped(tree: Tree) -> list[bool]:
         gain = points(text) * (1 - min(1.0, links / long))
         own[at] += gain
         size[at] += long
+        linked[at] += links
         plain += 0.0 if under[at] else gain
     for i in range(n - 1, 0, -1):
         own[parent[i]] += own[i]
         size[parent[i]] += size[i]
+        linked[parent[i]] += linked[i]
     # the main element, and its longest article or the page's; one that only named elements hold must outweigh the rest
     most = max((i for i in range(n) if tag[i] == "main" and size[i]), key=lambda i: (size[i], -i), default=0)
     inside = [i == most for i in range(n)]
@@ -236,23 +285,27 @@ def dropped(tree: Tree) -> list[bool]:
     for i in range(n - 1, 0, -1):
         holds[parent[i]] |= holds[i]
     together: dict[str, float] = {}  # points of the outermost elements of each name
-    above: list[frozenset] = [frozenset()] * n
+    path, names = [0], Counter()  # the elements that hold the next one, and their names
     for i in range(1, n):
         within[i] |= within[parent[i]]
-        above[i] = above[parent[i]]
-        if marked[i] and name[i] not in above[i]:
-            above[i] |= {name[i]}
+        while path[-1] != parent[i]:
+            names[name[path.pop()]] -= 1
+        if marked[i] and not names[name[i]]:
             together[name[i]] = together.get(name[i], 0.0) + own[i]
+        path.append(i)
+        names[name[i]] += 1
     for i in range(1, n):
         if marked[i]:
             words = re.split(r"[^a-z0-9]+", name[i])
             exact = WORDS.fullmatch(name[i]) or name[i] in ROLES
-            if any(FIRM.fullmatch(w) for w in words):
+            if tag[i] in PROSE and not any(SHARP.fullmatch(w) for w in words):
+                keep = linked[i] < DENSE * size[i]
+            elif any(FIRM.fullmatch(w) for w in words):
                 keep = not anchors and 0 < own[0] == own[i]
             elif exact:
                 keep = own[i] > own[0] / 2 and (not anchors or (within[i] and own[i] >= PART))
             else:
-                keep = together[name[i]] > own[0] / 2
+                keep = together.get(name[i], 0.0) > own[0] / 2 or (within[i] and own[i] >= PART)
             marked[i] = not (keep or holds[i])
         marked[i] |= marked[parent[i]]
     return marked
@@ -275,16 +328,13 @@ def extract(html: str | None) -> str:
         gain = points(text)
         # a paragraph gives its points to its parent; text right in a container counts for the container
         holder = tree.parent[node] if tree.tag[node] not in ("div", "section", "article", "main", "body", "td", "#root") else node
-        share = 1.0
-        while gain and holder >= 0:
-            score[holder] += gain * share
-            share /= 2
-            holder = tree.parent[holder]
+        score[max(holder, 0)] += gain
         size[node] += len(text) - text.count(" ")  # links are measured without blanks too
         linked[node] += links
     for node in range(n - 1, 0, -1):  # children come after their parents
         size[tree.parent[node]] += size[node]
         linked[tree.parent[node]] += linked[node]
+        score[tree.parent[node]] += score[node] / 2  # further ancestors get half as much each
     for node in range(n):
         score[node] *= 1 - min(1.0, linked[node] / size[node]) if size[node] else 0.0
     best = max(range(n), key=lambda i: (score[i], -i))

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from sieveline.llm import html_text
@@ -92,6 +95,106 @@ def test_what_is_beside_the_best_container_is_kept(tag, beside, text):
     assert html_text.extract(f"<div>{beside}{article}</div>") == "\n\n".join([*text, LONG, LONG])
 
 
+@pytest.mark.parametrize("name", ["page-header", "share", "related", "notice", "promo-text", "header", "disclaimer", "widget-title", "nav-target"])
+def test_names_remove_no_heading_or_paragraph(name):
+    page = f"<article><h1 class='{name}'>Title</h1><p>{LONG}</p><p class='{name}'>A short line.</p><ul><li class='{name}'>item</li></ul><p>{LONG}</p></article>"
+    assert html_text.extract(page) == "\n\n".join(["Title", LONG, "A short line.", "item", LONG])
+    links = f"<p class='{name}'><a href=x>Share</a> <a href=y>Print</a></p>"
+    assert html_text.extract(f"<article><p>{LONG}</p>{links}<p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}"
+    prose = f"<div class='text-{name}-box'><p>{LONG}</p><p>{LONG}</p></div>"
+    if name not in ("notice", "disclaimer"):
+        assert html_text.extract(f"<article><p>{LONG}</p><p>{LONG}</p>{prose}</article>") == "\n\n".join([LONG] * 4)
+
+
+@pytest.mark.parametrize("name", ["ad", "comment", "cookie-consent", "sponsored"])
+def test_adverts_and_comments_go_whatever_their_element(name):
+    assert html_text.extract(f"<article><p>{LONG}</p><p class='{name}'>Buy this now.</p><p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}"
+
+
+def prose(rng, n):
+    words = [rng.choice("one two three, four five six, seven eight nine ten eleven twelve".split()) for _ in range(n)]
+    return " ".join(words) + "."
+
+
+def known_page(rng):
+    """A page made around an article, and the blocks of that article."""
+    blocks, body = [], []
+    for _ in range(rng.randrange(3, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "table", "quote", "br", "bare"])
+        if kind in ("p", "br"):
+            text = prose(rng, rng.randrange(20, 60))
+            blocks.append(text)
+            body.append(f"<p>{text}" if rng.random() < 0.4 else f"<p class=x>\n {text.replace(' ', '<br>' if kind == 'br' else ' ', 1)}</p>")
+        elif kind == "h2":
+            blocks.append(prose(rng, 4))
+            body.append(f"<h2 id='part-{rng.randrange(9)}'>{blocks[-1]}</h2>")
+        elif kind in ("ul", "table"):
+            items = [prose(rng, rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))]
+            blocks += items
+            body.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>" if kind == "ul" else "<table><tr>" + "".join(f"<td>{i}</td>" for i in items) + "</tr></table>")
+        elif kind == "quote":
+            blocks.append(f"“{prose(rng, 12)}” & more")
+            body.append(f"<blockquote>{blocks[-1].replace('&', '&amp;').replace('“', '&ldquo;').replace('”', '&#8221;')}</blockquote>")
+        else:
+            blocks.append(prose(rng, 25))
+            body.append(f"<div>{blocks[-1]}</div>")
+        if rng.random() < 0.3:
+            body.append(rng.choice([f"<div class=ad>{prose(rng, 15)}</div>", "<script>if (a < b) { c('</p>') }</script>", f"<!-- {prose(rng, 9)} -->", f"<aside>{prose(rng, 30)}</aside>", "<figure><svg><text>x</text></svg></figure>"]))
+    for _ in range(3):
+        blocks.append(prose(rng, 40))
+        body.append(f"<p>{blocks[-1]}</p>")
+    inner = "".join(body)
+    article = rng.choice(["<article>{}</article>", "<main><article>{}</article></main>", "<div class='has-sidebar'><div id=content>{}</div></div>", "<div><section>{}</section></div>", "<main>{}</main>"]).format(inner)
+    menu = "".join(f"<li><a href=/{i}>{prose(rng, 3)}</a>" for i in range(rng.randrange(2, 30)))
+    top = rng.choice([f"<nav><ul>{menu}</ul></nav>", f"<div class=menu><ul>{menu}</ul></div>", f"<header><p>{prose(rng, 12)}</p><ul>{menu}</ul></header>", f"<ul>{menu}</ul>"])
+    below = rng.choice([f"<footer>&copy; {prose(rng, 20)}</footer>", f"<div id=footer>{prose(rng, 20)}</div>", f"<div class=comments>{'<p>' + prose(rng, 50) + '</p>'}</div>" * 2, f"<form><p>{prose(rng, 12)}</p><input name=q></form>", f"<div class='sidebar'><p>{prose(rng, 15)}</p></div>"])
+    return f"<!DOCTYPE html><html><head><title>{prose(rng, 5)}</title><style>p{{}}</style></head><body><div>{top}</div>{article}<div>{below}</div></body></html>", "\n\n".join(blocks)
+
+
+def test_pages_made_around_a_known_article():
+    rng = random.Random(9)
+    for _ in range(400):
+        page, want = known_page(rng)
+        assert html_text.extract(page) == want, page
+
+
+def slow_tag_end(html, at):
+    """The bracket that ends a tag, character by character; the next one if quotes never close."""
+    quote = ""
+    for i in range(at, len(html)):
+        if html[i] == quote:
+            quote = ""
+        elif not quote and html[i] in "'\"":
+            quote = html[i]
+        elif not quote and html[i] == ">":
+            return i
+    return html.find(">", at)
+
+
+def test_tag_ends_match_a_slow_search():
+    rng = random.Random(4)
+    for _ in range(500):
+        html = "".join(rng.choices("ab'\"> <", k=rng.randrange(40)))
+        ends = html_text.TagEnds(html)
+        for at in range(len(html) + 1):
+            assert ends.after(at) == slow_tag_end(html, at)
+        m = html_text.START.match("<a " + html)
+        assert m[3] is None or m.end() - 4 == slow_tag_end(html, 0)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 200_000, "<a " * 200_000, "<a" * 200_000, "<div>x" * 100_000, "<a '>' " * 100_000, "<span class=ad>x" * 50_000, "</b>" * 200_000, "<div>" * 50_000 + "</b>" * 50_000,
+        "<p><table>" * 30_000 + "<div>" * 30_000, "".join(f"<div class='promo-{i}'>x" for i in range(30_000)), "<ul><li>" * 50_000, "<script>" * 50_000, "<!--" * 100_000, "<p " + "class=' " * 100_000,
+    ],
+)
+def test_time_grows_with_length_alone(html):
+    began = time.process_time()
+    html_text.extract(html)
+    assert time.process_time() - began < 5
+
+
 def test_deep_and_broken_pages():
     assert html_text.extract("<div>" * 3000 + LONG) == LONG
     assert isinstance(html_text.extract("<p " + "a='" * 2001 + f"<p>{LONG}"), str)
