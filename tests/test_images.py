@@ -114,6 +114,55 @@ def test_filter_pattern_is_found():
         kernels.interpolation_map(np.ones((2, 2)))
 
 
+def test_mixed_pixels_are_told_from_others():
+    """The mix, the spread and the shares are a rest point of the likelihood, and every round raises it."""
+    rng = np.random.default_rng(6)
+    plane = rng.random((40, 40)) * 255
+    truth = np.array([0.05, 0.2, 0.05, 0.2, 0.2, 0.05, 0.2, 0.05])
+    noisy = plane.copy()
+    spots = [(y, x) for y in range(1, 39, 2) for x in range(1, 39, 2)]
+    for y, x in spots:
+        noisy[y, x] = np.delete(plane[y - 1 : y + 2, x - 1 : x + 2].ravel(), 4) @ truth + rng.normal(0, 0.5)
+    share, mix = kernels.interpolation_map(noisy, spread=2.0)
+    assert np.abs(mix - truth).max() < 0.02
+    mixed = np.array([share[y, x] for y, x in spots])
+    others = share[2:-2:2, 2:-2:2]
+    assert np.median(mixed) > 0.9 and others.mean() < 0.2
+    assert not share[0].any() and not share[:, -1].any()
+
+    def likelihood(rounds):
+        _, found = kernels.interpolation_map(noisy, spread=2.0, rounds=rounds)
+        around = np.lib.stride_tricks.sliding_window_view(noisy, (3, 3)).reshape(-1, 9)
+        residual = around[:, 4] - np.delete(around, 4, 1) @ found
+        return max(kernels.mixed_share(residual, s, 1 / 256)[1] for s in np.geomspace(0.1, 200, 2000))
+
+    values = [likelihood(n) for n in (0, 1, 3, 10, 50)]
+    assert all(b >= a - 1e-3 for a, b in zip(values, values[1:]))
+    assert likelihood(500) == pytest.approx(values[-1], abs=0.05)
+
+
+@pytest.mark.parametrize("step", [2, 3, 5, 8])
+def test_teeth_and_changed_blocks(step):
+    rng = np.random.default_rng(step)
+    values = np.rint(rng.laplace(0, 30, 4000)).astype(int) * step
+    values -= values.min() - 1
+    assert kernels.period(np.bincount(values, minlength=values.max() + 2)) == step
+    assert kernels.period(np.bincount(rng.poisson(40, 4000))) == 1 and kernels.period(np.zeros(9, int)) == 1
+    dct = np.rint(rng.laplace(0, 30, (20, 30, 8, 8))) * step
+    dct[5:9, 5:9] += rng.integers(1, step, (4, 4, 8, 8))
+    likely, periods = kernels.tamper_map(dct)
+    assert periods == [step] * 15
+    assert likely[5:9, 5:9].mean() > 0.9 and np.delete(likely, np.s_[5:9], 0).mean() < 0.1
+    # a slow version, block by block
+    counts = np.bincount(values, minlength=values.max() + 2)
+    odds, top, n = kernels.value_odds(counts, step), int(counts.argmax()), len(counts)
+    for v in range(n):
+        start = v - (v - top) % step
+        around = sum(int(counts[(start + j) % n]) for j in range(step))
+        chance = np.clip((1 / step) / (counts[v] / max(around, 1e-9) + 1 / step), 1e-9, 1 - 1e-9)
+        assert odds[v] == pytest.approx(np.log(chance / (1 - chance)), abs=1e-6)
+
+
 def test_residuals_are_deterministic():
     g = kernels.grey(picture())
     a, b = kernels.residual_stats(g), kernels.residual_stats(g)
