@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,16 +92,32 @@ def scaled_table(quality: Column) -> Column:
 
 
 def estimated_quality(df: DataFrame, key: list[str], table: str) -> DataFrame:
-    """The quality whose table is nearest to each row's, and the mean difference; the first of equals.
+    """The quality whose table is nearest to each row's, and the mean difference; the first of equals. Keys must tell rows apart.
 
-    The hundred candidate tables are one small constant frame; the difference is
-    spelled out term by term, which the engine compiles.
+    A row is compared with the hundred tables where it is, one matrix difference
+    for a run of rows: nothing is crossed or shuffled. A table that is null or
+    has not 64 entries has no quality.
     """
-    tries = df.sparkSession.range(1, 101).select(F.col("id").cast("int").alias("_q"), scaled_table(F.col("id").cast("int")).alias("_t"))
-    both = df.crossJoin(F.broadcast(tries))  # a hundred rows
-    error = sum((F.abs(F.col(table)[i] - F.col("_t")[i]) for i in range(64)), F.lit(0)).cast("double") / 64
-    best = both.withColumn("_error", error).groupBy(*key).agg(F.min(F.struct(F.col("_error").alias("error"), F.col("_q").alias("q"))).alias("best"))
-    return best.select(*key, F.col("best.q").alias("quality"), F.col("best.error").alias("error"), (F.col("best.error") == 0).alias("exact"))
+    qualities = np.arange(1, 101)
+    scale = np.where(qualities < 50, 5000.0 / qualities, 200.0 - qualities * 2)
+    tables = np.clip(np.floor((np.array(LUMA)[None] * scale[:, None] + 50) / 100), 1, 255)
+
+    @F.pandas_udf("quality int, error double")
+    def nearest(rows: pd.Series) -> pd.DataFrame:
+        fit = np.array([r is not None and len(r) == 64 for r in rows], bool)
+        own = np.array([rows.iloc[i] for i in np.flatnonzero(fit)], np.float64).reshape(-1, 64)
+        best, error = np.zeros(len(own), np.int32), np.full(len(own), np.inf)
+        for q, candidate in zip(qualities, tables, strict=True):
+            now = np.abs(own - candidate).sum(1) / 64
+            best[now < error] = q
+            np.minimum(error, now, out=error)
+        out = pd.DataFrame({"quality": pd.array([None] * len(rows), "Int32"), "error": np.full(len(rows), np.nan)})
+        out.loc[fit, "quality"], out.loc[fit, "error"] = best, error
+        return out
+
+    found = df.select(*key, nearest(F.col(table).cast("array<double>")).alias("best"))
+    error = F.when(F.col("best.quality").isNotNull(), F.col("best.error"))
+    return found.select(*key, "best.quality", error.alias("error"), (error == 0).alias("exact"))
 
 
 def factor_histogram(df: DataFrame, by: list[str], value: str, longest: int = 100) -> DataFrame:
