@@ -37,33 +37,31 @@ def final_verdict(parsed: Column, analysis: Column) -> Column:
     return F.coalesce(F.nullif(parsed, F.lit("uncertain")), analysis)
 
 
-def _weight(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Matches of the patterns, those that start after LATE of the text twice."""
+def _searches(patterns: tuple[str, ...]) -> list[tuple[str, re.Pattern]]:
+    """Each pattern with its longest plain word, whose search spares most texts the pattern."""
+    return [(max(re.split(r"\\b|\[[^\]]*\]\??", p), key=len), re.compile(p, re.ASCII)) for p in patterns]
 
-    def counted(pattern: str) -> Column:
-        # cutting the text at each match gives the match starts without leaving the engine
-        pieces = F.split(text, pattern)
-        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
-        def step(state: Column, match: Column) -> Column:
-            at = state["at"] + F.length(F.get(pieces, state["i"]))
-            weight = F.when(at / F.length(text) > LATE, 2.0).otherwise(1.0)
-            return F.struct((at + F.length(match)).alias("at"), (state["w"] + weight).alias("w"), (state["i"] + 1).alias("i"))
+def _weight(text: str, searches: list[tuple[str, re.Pattern]]) -> float:
+    """Matches of the patterns, those that start after LATE of the text twice."""
+    return sum(2.0 if m.start() / len(text) > LATE else 1.0 for word, found in searches if word in text for m in found.finditer(text))
 
-        weight = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("w"), F.lit(0).alias("i")), step, lambda s: s["w"])
-        # a plain search for the pattern's longest word spares most texts the expressions
-        word = max(re.split(r"\\b|\[[^\]]*\]\??", pattern), key=len)
-        return F.when(F.contains(text, F.lit(word)), weight).otherwise(0.0)
 
-    return sum((counted(pattern) for pattern in patterns), F.lit(0.0))
+def extract_verdict(c: Column) -> Column:
+    """A stated ``verdict: x``, else the side whose phrases weigh more; a tie is uncertain. Seventeen patterns, so in Arrow batches."""
+    stated, fake, real = re.compile(r"verdict\s*:\s*(fake|real|uncertain)", re.ASCII), _searches(FAKE_PATTERNS), _searches(REAL_PATTERNS)
 
+    def one(text: str) -> str:
+        if "verdict" in text and (found := stated.search(text)):
+            return found[1]
+        difference = _weight(text, fake) - _weight(text, real)
+        return "fake" if difference > 0 else "real" if difference < 0 else "uncertain"
 
-def extract_verdict(c: Column) -> Column:
-    """A stated ``verdict: x``, else the side whose phrases weigh more; a tie is uncertain."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    stated = F.regexp_extract(text, r"verdict\s*:\s*(fake|real|uncertain)", 1)
-    fake, real = _weight(text, FAKE_PATTERNS), _weight(text, REAL_PATTERNS)
-    return F.when(stated != "", stated).when(fake > real, "fake").when(real > fake, "real").otherwise("uncertain")
+    @F.pandas_udf(T.StringType())
+    def said(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return said(F.lower(F.coalesce(c, F.lit(""))))
 
 
 def extract_confidence(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.inference import ratio
 from .metrics import CONFIG, abstained, failed
+from .ranking import placed
 
 #: Ten equal bins as their edges are in floating point (the 4th, 7th and 8th are not the decimal ones).
 ECE_EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
@@ -62,13 +63,12 @@ def brier_and_logloss(records: DataFrame, by: tuple[str, ...] = CONFIG) -> DataF
 def risk_coverage(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "event_id") -> DataFrame:
     """The risk-coverage curve: m most confident rows of n, and the share of them that is wrong.
 
-    Ties of confidence are ordered by the key, so the curve is defined.
+    Ties of confidence are ordered by the key, so the curve is defined. A
+    configuration is ordered in many ranges.
     """
-    order = Window.partitionBy(*by).orderBy(F.col("conf").desc(), F.col(key))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = scored(records).select(*by, key, "conf", "ok").withColumns({"m": F.row_number().over(order), "n": n, "right": F.sum("ok").over(upto)})
-    return rows.withColumn("risk", 1 - F.col("right") / F.col("m"))
+    rows = scored(records).select(*by, key, "conf", "ok").withColumn("one", F.lit(1))
+    rows = placed(rows, list(by), [F.col("conf").desc(), F.col(key)], {"m": "one", "right": "ok"}, "m")
+    return rows.withColumnRenamed("all_m", "n").drop("one").withColumn("risk", 1 - F.col("right") / F.col("m"))
 
 
 def aurc(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "event_id") -> DataFrame:
@@ -77,32 +77,58 @@ def aurc(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "event_id"
     return risk_coverage(records, by, key).groupBy(*by).agg((F.sum(F.col("risk") * weight) / F.max("n")).alias("aurc"))
 
 
+def exact_percentiles(values: DataFrame, by: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
+    """by, p and the exact percentile of each p with linear interpolation; null values are left out.
+
+    Equal values are counted first, and ranks run over ranges of values, so no
+    group's values meet in one task or one buffer.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    ranks = placed(counted, by, [F.col(value)], {"upto": "k"}, "upto")
+    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("all_upto") - 1)).alias("at")) for p in ps))).alias("w")
+    hit = ranks.select(*by, value, "upto", "k", wanted).select(*by, value, "upto", "k", "w.p", "w.at")
+    low = (F.col("upto") - F.col("k") <= F.floor("at")) & (F.floor("at") < F.col("upto"))
+    high = (F.col("upto") - F.col("k") <= F.ceil("at")) & (F.ceil("at") < F.col("upto"))
+    ends = hit.filter(low | high).groupBy(*by, "p").agg(F.max(F.when(low, F.col(value))).alias("low"), F.max(F.when(high, F.col(value))).alias("high"), F.any_value(F.col("at") - F.floor("at")).alias("part"))
+    return ends.select(*by, "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
+
+
 def percentiles(df: DataFrame, column: str, ps: tuple[float, ...], by: tuple[str, ...] = CONFIG) -> DataFrame:
     """Exact percentiles with linear interpolation, mean and median; nulls are left out."""
-    found = F.percentile(column, F.array(*map(F.lit, ps)))
-    rows = df.groupBy(*by).agg(found.alias("ps"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.count(column).alias("n"))
-    return rows.select(*by, *(F.col("ps")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(ps)), "mean", "median", "n")
+    points = tuple(dict.fromkeys((*ps, 0.5)))
+    found = exact_percentiles(df.select(*by, F.col(column).cast("double").alias("_v")), list(by), "_v", points)
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(100 * p)}" if p in ps else "_median") for p in points))
+    rows = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.count(column).alias("n"))
+    median = F.col("p50" if 0.5 in ps else "_median").alias("median")
+    return _joined(rows, wide, by).select(*by, *(f"p{round(100 * p)}" for p in ps), "mean", median, "n")
+
+
+def _joined(rows: DataFrame, more: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Two tables of a row a group, null being a group too."""
+    named = more.select(*(F.col(c).alias(f"{c}__") for c in by), *(c for c in more.columns if c not in by))
+    same = F.lit(True)
+    for c in by:
+        same &= rows[c].eqNullSafe(named[f"{c}__"])
+    return rows.join(named, same, "left").drop(*(f"{c}__" for c in by))
 
 
 def timing(records: DataFrame, by: tuple[str, ...] = CONFIG, fast: float = 0.25) -> DataFrame:
     """Latency percentiles, tool seconds and counts by row, and the share of fast vision calls."""
     seconds = F.filter(F.transform("tool_details", lambda d: d["seconds"]), lambda s: s.isNotNull())
-    rows = records.withColumns(
-        {
-            "vision": F.col("latency_seconds") / 4,
-            "tool_n": F.when(F.size(seconds) > 0, F.size(seconds)),
-            "tool_s": F.when(F.size(seconds) > 0, F.aggregate(seconds, F.lit(0.0), lambda a, s: a + s)),
-        }
-    )
-
-    def ps(column: str, *points: float) -> list[Column]:
-        found = F.percentile(column, F.array(*map(F.lit, points)))
-        return [F.round(found[i], 8).alias(f"{column}_p{round(100 * p)}") for i, p in enumerate(points)]
-
-    return rows.groupBy(*by).agg(
-        *ps("latency_seconds", 0.5, 0.9, 0.95, 0.99), *ps("vision", 0.5, 0.9, 0.95), *ps("tool_s", 0.5, 0.9, 0.95), *ps("tool_n", 0.5, 0.9, 0.95),
-        F.round(ratio(F.count_if(F.col("vision") < fast), F.count("vision")), 8).alias("vision_fast"), F.count("vision").alias("vision_samples"),
+    used = F.size(seconds) > 0
+    rows = records.select(
+        *by, F.col("latency_seconds").cast("double").alias("latency_seconds"), (F.col("latency_seconds") / 4).alias("vision"),
+        F.when(used, F.aggregate(seconds, F.lit(0.0), lambda a, s: a + s)).alias("tool_s"), F.when(used, F.size(seconds).cast("double")).alias("tool_n"),
     )
+    points = {"latency_seconds": (0.5, 0.9, 0.95, 0.99), "vision": (0.5, 0.9, 0.95), "tool_s": (0.5, 0.9, 0.95), "tool_n": (0.5, 0.9, 0.95)}
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in points))).alias("x")).select(*by, "x.*")
+    found = exact_percentiles(long, [*by, "_c"], "_v", (0.5, 0.9, 0.95, 0.99))
+    one = [F.round(F.max(F.when((F.col("_c") == c) & (F.col("p") == p), F.col("value"))), 8).alias(f"{c}_p{round(100 * p)}") for c, ps in points.items() for p in ps]
+    vision = rows.groupBy(*by).agg(
+        F.round(ratio(F.count_if(F.col("vision") < fast), F.count("vision")), 8).alias("vision_fast"), F.count("vision").alias("vision_samples")
+    )
+    wide = found.groupBy(*by).agg(*one)
+    return _joined(vision, wide, by).select(*by, *(c for c in wide.columns if c not in by), "vision_fast", "vision_samples")
 
 
 def tool_usage(records: DataFrame, by: tuple[str, ...] = CONFIG) -> DataFrame:

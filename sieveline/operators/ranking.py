@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
+
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Rows numbered from 1 in each group; the order must tell all rows apart."""
@@ -22,23 +24,80 @@ def last_write(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return ranked(df, keys, order, "_turn").filter("_turn = 1").drop("_turn")
 
 
+def chunked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Rows with the _chunk that holds them: ranges of group and order, each sorted apart, so a group may lie in many.
+
+    The chunks are written down, as ranges of a rerun may be cut elsewhere.
+    """
+    ranged = df.repartitionByRange(*map(F.col, by), *order).withColumn("_chunk", F.spark_partition_id())
+    return shared_checkpoint(ranged)
+
+
+def beside(rows: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group and chunk (named with a _ behind), nulls being groups too."""
+    named = chunks.select(*(F.col(c).alias(f"{c}__") for c in [*by, "_chunk"]), *(c for c in chunks.columns if c not in by and c != "_chunk"))
+    same = F.lit(True)
+    for c in [*by, "_chunk"]:
+        same &= rows[c].eqNullSafe(named[f"{c}__"])
+    return rows.join(named, same).drop(*(f"{c}__" for c in [*by, "_chunk"]))
+
+
+def placed(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], total: str) -> DataFrame:
+    """Rows with running sums in the order of their group, and the group's sum of one of them.
+
+    ``sums`` names the columns that are summed up; the order must tell rows
+    apart. Sums run in ranges that tasks share out whatever the number of groups;
+    what comes before a range is a sum of a row a range.
+    """
+    rows = chunked(df, by, order)
+    chunks = rows.groupBy(*by, "_chunk").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = (F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums)
+    chunks = chunks.select(*by, "_chunk", *before, F.sum(f"_{total}").over(Window.partitionBy(*by)).alias("_total"))
+    within = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = beside(rows, chunks, by)
+    running = {name: F.col(f"_{name}") + F.sum(c).over(within) for name, c in sums.items()}
+    return found.withColumns(running).withColumnRenamed("_total", f"all_{total}").drop("_chunk", *(f"_{name}" for name in sums))
+
+
 def top_and_bottom(df: DataFrame, by: list[str], value: str, key: str, k: int) -> DataFrame:
-    """The k largest and the k smallest rows of each group, with their places; ties by key."""
-    up = Window.partitionBy(*by).orderBy(F.desc(value), key)
-    down = Window.partitionBy(*by).orderBy(value, key)
-    placed = df.withColumns({"from_top": F.row_number().over(up), "from_bottom": F.row_number().over(down)})
-    return placed.filter((F.col("from_top") <= k) | (F.col("from_bottom") <= k))
+    """The k largest and the k smallest rows of each group, with their places; ties by key.
+
+    Two limits by group, each of which leaves k rows a task before its shuffle. A
+    row's place from the other end follows from its place, the rows of its group
+    and those that tie with it. The keys must tell a group's rows apart.
+    """
+    tied = df.groupBy(*by, value).agg(F.count("*").alias("_t"))
+    tied = tied.select(*(F.col(c).alias(f"{c}__") for c in [*by, value]), "_t", F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+    ends = []
+    for name, other, order in (("from_top", "from_bottom", F.desc(value)), ("from_bottom", "from_top", F.asc(value))):
+        first = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, key))).filter(F.col(name) <= k)
+        # those that tie with a row and come before it are among the first as well
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*by, value).orderBy(key)))
+        same = F.lit(True)
+        for c in [*by, value]:
+            same &= first[c].eqNullSafe(tied[f"{c}__"])
+        placed_ = first.join(tied, same).withColumn(other, (F.col("_n") - F.col(name) - F.col("_t") + 2 * F.col("_r")).cast("int"))
+        ends.append(placed_.select(*df.columns, "from_top", "from_bottom"))
+    return ends[0].unionByName(ends[1].filter(F.col("from_top") > k))
 
 
 def next_open(df: DataFrame, by: list[str], index: str, done: str) -> DataFrame:
     """For each row the next one after it that is not done, wrapping to the group's first; null if all are done.
 
-    One descending window and one aggregate a group: no row meets another.
+    The first open row of each range is carried back over the ranges before it,
+    so rows are ordered in their range alone.
     """
     open_ = F.when(~F.col(done), F.col(index))
+    rows = chunked(df, by, [F.col(index)])
+    chunks = rows.groupBy(*by, "_chunk").agg(F.min(open_).alias("_first"))
+    later = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    carried = F.coalesce(F.min("_first").over(later), F.min("_first").over(Window.partitionBy(*by))).alias("_carried")
+    chunks = chunks.select(*by, "_chunk", carried)
     # seen from the last row, those after are those before: a frame that grows row by row
-    after = Window.partitionBy(*by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("next_open", F.coalesce(F.min(open_).over(after), F.min(open_).over(Window.partitionBy(*by))))
+    after = Window.partitionBy(*by, "_chunk").orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, -1)
+    found = beside(rows, chunks, by).withColumn("next_open", F.coalesce(F.min(open_).over(after), "_carried"))
+    return found.select(*df.columns, "next_open")
 
 
 def sliding_windows(df: DataFrame, height: str, width: str, window: int) -> DataFrame:
@@ -68,8 +127,6 @@ def numbered(df: DataFrame, order: list[Column], form: str = "ffpp-%05d", name:
     Ranges are sorted apart and their sizes added up, so no task sees all rows.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    from ..session import shared_checkpoint
-
     parts = shared_checkpoint(parts)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")

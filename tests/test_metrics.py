@@ -122,3 +122,39 @@ def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
     new = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], "k int, v string, at int")
     assert {(r.k, r.v) for r in comparison.upserted(old, new, ["k"], "at").collect()} == {(1, "a"), (2, "d"), (3, "e")}
+
+
+def test_orders_of_a_group_run_over_many_ranges(spark):
+    """Running sums, percentiles and next open rows of one group that lies in several ranges, with ties and a null group."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else "b", i, rng.choice([0.1, 0.5, 0.9, rng.random(), None]), rng.random() < 0.9, rng.randrange(5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, i long, v double, done boolean, w int")
+    found = ranking.placed(df, ["g"], [F.col("v").desc(), F.col("i")], {"m": "w"}, "m").collect()
+    assert len(found) == 900
+    nexts = {r.i: r.next_open for r in ranking.next_open(df, ["g"], "i", "done").collect()}
+    ps = {(r.g, r.p): r.value for r in distribution.exact_percentiles(df, ["g"], "v", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    ends = {(r.g, r.i): (r.from_top, r.from_bottom) for r in ranking.top_and_bottom(df.filter("v IS NOT NULL AND g IS NOT NULL"), ["g"], "v", "i", 4).collect()}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        total, upto = sum(r[4] for r in own), {}
+        for r in sorted(own, key=lambda r: (r[2] is None, -(r[2] or 0), r[1])):
+            upto[r[1]] = sum(upto.values() and [max(upto.values())]) + r[4]
+        assert {r.i: (r.m, r.all_m) for r in found if r.g == g} == {i: (m, total) for i, m in upto.items()}
+        left = [r[1] for r in own if not r[3]]
+        for r in own:
+            assert nexts[r[1]] == min([i for i in left if i > r[1]], default=min(left, default=None))
+        values = sorted(r[2] for r in own if r[2] is not None)
+        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert ps[g, p] == pytest.approx(float(np.quantile(values, p)))
+        if g is not None:
+            up = sorted((r for r in own if r[2] is not None), key=lambda r: (-r[2], r[1]))
+            down = sorted((r for r in own if r[2] is not None), key=lambda r: (r[2], r[1]))
+            for place, r in enumerate(up[:4]):
+                assert ends[g, r[1]][0] == place + 1
+            for place, r in enumerate(down[:4]):
+                assert ends[g, r[1]][1] == place + 1
+            place = {r[1]: (up.index(r) + 1, down.index(r) + 1) for r in own if r[2] is not None}
+            assert all(v == place[i] for (h, i), v in ends.items() if h == g)
+            assert sum(1 for k in ends if k[0] == g) == len({r[1] for r in up[:4]} | {r[1] for r in down[:4]})
