@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 import re
@@ -8,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from plain import plain_counts, plain_hash, plain_language, plain_mix, plain_quality, plain_rows
+
 from sieveline.llm import language, quality, toxicity
 from sieveline.llm.labels import labelled, once
 
@@ -141,34 +142,6 @@ def test_ftrl_weights_are_sparse():
     assert (w == 0).mean() > 0.9 and w[0, 0] > 0 > w[0, 1]
 
 
-def plain_mix(x):
-    m = (1 << 64) - 1
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
-    return x ^ x >> 31
-
-
-def plain_hash(word):
-    odd, m = 0x9E3779B97F4A7C15, (1 << 64) - 1
-    if len(word) > 64:
-        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    h = plain_mix(len(word) + odd & m)
-    for i in range(0, len(word), 8):
-        h = plain_mix((h ^ int.from_bytes(word[i : i + 8], "little")) * odd & m)
-    return h
-
-
-def plain_tokens(text):
-    return re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z\x80-\xff0-9\x20\x09-\x0D]+", (text or "").encode())
-
-
-def plain_rows(text):
-    tokens = plain_tokens(text)
-    letters = [bool(re.match(rb"[A-Za-z\x80-\xff]", t)) for t in tokens]
-    out = [plain_hash(t) >> 50 for t in tokens]
-    return [0 if letters[i] and tokens[i] in tokens[max(0, i - 2) : i] else r for i, r in enumerate(out)]
-
-
 LONG_WORD = "é" * 900
 
 
@@ -191,11 +164,7 @@ def test_quality_matches_a_plain_forward_pass(made, spark):
     assert (quality.vectors(context, counts) == table).all()
     for r in quality.score(docs, labels).collect():
         own = plain_rows(texts[r.doc_id])
-        x = [sum(int(table[row, d]) for row in own) / quality.UNIT / (len(own) + quality.SHRINK) for d in range(quality.WIDTH)]
-        x = [(v - m) / s for v, m, s in zip(x, net.mean, net.spread, strict=True)]
-        hidden = [math.tanh(sum(v * w for v, w in zip(x, net.w1[:, h], strict=True)) + net.b1[h]) for h in range(len(net.b1))]
-        z = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
-        assert r.score == pytest.approx(1 / (1 + math.exp(-z / net.temperature)), abs=1e-9)
+        assert r.score == pytest.approx(plain_quality(texts[r.doc_id], table, net), abs=1e-9)
         if r.doc_id == 903:
             assert len(own) == 160_000
 
@@ -219,19 +188,6 @@ def test_toxicity_matches_a_plain_sum(made):
 def test_language_matches_plain_counts(made):
     docs, _, _, rows = made
     model = language.fit(docs)
-    m, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
-
-    def plain_counts(text):
-        found = defaultdict(int)
-        points = [ord(c) + 1 for c in text.lower()]
-        for n in (1, 2, 3):
-            for i in range(len(points) - n + 1):
-                h = 0
-                for p in points[i : i + n]:
-                    h = h * odd + p & m
-                found[plain_mix(h + (n << 56) & m) >> 64 - language.BITS] += 1
-        return found
-
     df, n = defaultdict(int), 0
     for key, text, lang, *_ in rows:
         if fold(key, 4) != 2 and lang is not None and text is not None:
@@ -248,13 +204,8 @@ def test_language_matches_plain_counts(made):
             continue
         if len(text) > 10_000 or (r.doc_id or 0) % 5:
             continue
-        x = {f: (1 + math.log(c)) * idf[f] for f, c in plain_counts(text).items()}
-        norm = math.sqrt(sum(v * v for v in x.values()))
-        z = [(sum(v / norm * model.weights[f, c] for f, v in x.items()) + model.bias[c]) / model.temperature for c in range(len(model.names))]
-        p = [math.exp(v - max(z)) for v in z]
-        best = max(range(len(z)), key=lambda c: (z[c], -c))
-        assert r.lang_pred == model.names[best]
-        assert r.score == pytest.approx(p[best] / sum(p), abs=1e-9)
+        name, score = plain_language(text, model._replace(idf=idf))
+        assert r.lang_pred == name and r.score == pytest.approx(score, abs=1e-9)
 
 
 def test_ids_that_repeat_count_once(made, spark):

@@ -1,33 +1,13 @@
-import hashlib
-import math
 import random
-import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import mixing
-
-
-def size(text):
-    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-
+from plain import number, plain_draw, size, water
 
-def water(sizes, weights=(1, 2, 3), most=3.0):
-    """Targets by sharing the excess again and again."""
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    total, stopped = sum(sizes.values()), set()
-    while True:
-        rest = total - sum(most * sizes[s] for s in stopped)
-        open_ = [s for s in names if s not in stopped]
-        share = {s: rest * weight[s] / sum(weight[t] for t in open_) for s in open_} if open_ else {}
-        over = {s for s in open_ if share[s] > most * sizes[s]}
-        if not over:
-            return {s: most * sizes[s] if s in stopped else share[s] for s in names}
-        stopped |= over
+from sieveline.llm import mixing
 
 
 def rows(n=400):
@@ -56,45 +36,6 @@ def test_targets_and_sizes(mixed):
     assert {r["doc_id"]: r["size"] for r in found} == {i: size(t) for i, t, *_ in rows()}
 
 
-def plain_draw(sizes, target, u):
-    """Ids drawn beyond whole copies, and their inclusion probabilities, with plain lists; sizes and u by id."""
-    total = sum(sizes.values())
-    whole = math.floor(target / total + 1e-12) if total else 0
-    rest, drawn, slack = max(target - whole * total, 0.0), [], mixing.SLACK * target
-
-    def fitting():
-        below = min(2 * rest, math.floor(rest + slack) + 1)
-        return [i for i in sizes if i not in drawn and 0 < sizes[i] < below]
-
-    first, slope = fitting(), None
-    for i in sorted(first, key=lambda i: -sizes[i]):
-        squares = sum(sizes[j] ** 2 for j in first if sizes[j] <= sizes[i])
-        larger = sum(sizes[j] for j in first if sizes[j] > sizes[i])
-        if (rest - larger) / squares * sizes[i] <= 1:
-            slope = (rest - larger) / squares
-            break
-    p = {i: 1.0 if slope is None else min(1.0, slope * sizes[i]) for i in sizes}
-    rank = {i: 0.0 if p[i] >= 1 else u[i] / (1 - u[i]) / (p[i] / (1 - p[i])) for i in sizes if p[i] > 0}
-    while True:
-        before, so_far, limit = len(drawn), 0, rest
-        for i in sorted(fitting(), key=lambda i: (rank[i], i, sizes[i])):
-            so_far += sizes[i]
-            over = so_far - limit
-            if over <= 0 or (over <= slack and over < sizes[i] - over):
-                drawn.append(i)
-                rest -= sizes[i]
-        if len(drawn) == before:
-            break
-    left = [i for i in sizes if i not in drawn and 0 < sizes[i] < 2 * rest]
-    if rest > slack and left:
-        drawn.append(min(left, key=lambda i: (sizes[i], rank[i], i)))
-    return whole, set(drawn), {i: p[i] if i in first else 0.0 for i in sizes}
-
-
-def number(seed, i):
-    return (int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
-
-
 def test_takes_come_near_and_never_pass_three_times(mixed):
     _, found = mixed
     taken, target, least = defaultdict(int), {}, defaultdict(lambda: 10**9)

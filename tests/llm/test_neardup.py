@@ -5,45 +5,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from plain import brute, word_sets
+
 from sieveline.llm import neardup
 from sieveline.llm.components import components
 from sieveline.llm.skew import joined
 from sieveline.llm.text import blocks, exact_sets, shingles, word_digests
 
 
-def word_sets(text, k=4):
-    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
-
-
-def brute(rows, k=4):
-    sets = [word_sets(t, k) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
-                continue
-            both = len(sets[i] & sets[j])
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                parent[root(i)] = root(j)
-    least = {}
-    for i, (key, _) in enumerate(rows):
-        if key is not None:
-            r = root(i)
-            least[r] = min(least.get(r, key), key)
-    out = []
-    for i, (key, _) in enumerate(rows):
-        own = least[root(i)] if key is not None else None
-        out.append((key, len(sets[i]), own, key is None or own == key))
-    return sorted(out, key=repr)
-
-
 def corpus(seed=0, n=260):
     """Copies edited more and more, chains, shared passages, short and odd texts."""
     rng = random.Random(seed)
