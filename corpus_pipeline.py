@@ -8,14 +8,11 @@ costs its own tasks alone.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import bpe, language, mixing, neardup, quality
-from sieveline.session import table
+from sieveline.session import Tables, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is und, or less sure than this, is rejected.
@@ -42,9 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     once for each text. Whole texts are shuffled once, by id.
     """
     kept = neardup.near_components(docs, k=5).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars"))
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay.withColumn("_turn", turn).filter("_turn = 1").select(docs.columns)
+    one = stay.groupBy("doc_id", "text").agg(F.min(F.struct("source", "lang", "n_chars")).alias("one"))
+    return one.select("doc_id", "text", "one.*").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +66,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, over all documents."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveline-pipeline-")
+    """The last stage's rows, over all documents; a stage's table goes when the next one's is written."""
+    tables = Tables(spark)
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for at, (_, stage) in enumerate(STAGES):
-        out = f"{folder}/pipeline-{uuid.uuid4().hex}-{at}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs = tables.keep(f"stage{at}", stage(spark, docs, sf_dir))
+        if at:
+            tables.drop(f"stage{at - 1}")
     return docs
