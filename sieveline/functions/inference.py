@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import fixed
+
 #: The 97.5 % point of the normal distribution as usually rounded, and the bounds of effect sizes.
 Z95 = 1.96
 EFFECTS = ((0.2, "Small"), (0.5, "Small-Medium"), (0.8, "Medium"))
@@ -35,6 +37,46 @@ def mcc_explained(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
     return F.format_string("MCC = (%d*%d - %d*%d) / sqrt(%d*%d*%d*%d) = %.4f", tp, tn, fp, fn, tp + fp, tp + fn, tn + fp, tn + fn, mcc(tp, tn, fp, fn))
 
 
+def mcc_trace(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
+    """The correlation step by step; undefined when a margin is empty."""
+    a, b, c, d = tp + fp, tp + fn, tn + fp, tn + fn
+    top, under = tp * tn - fp * fn, a.cast("double") * b * c * d
+    steps = F.concat_ws(
+        "\n",
+        F.format_string("MCC = (%d*%d - %d*%d) / sqrt[(%d+%d)(%d+%d)(%d+%d)(%d+%d)]", tp, tn, fp, fn, tp, fp, tp, fn, tn, fp, tn, fn),
+        F.format_string("    = (%d - %d) / sqrt[%d*%d*%d*%d]", tp * tn, fp * fn, a, b, c, d),
+        F.concat(F.lit("    = "), top.cast("string"), F.lit(" / sqrt["), under.cast("decimal(38,0)").cast("string"), F.lit("]")),
+        F.concat(F.lit("    = "), top.cast("string"), F.lit(" / "), fixed(F.sqrt(under), 2)),
+        F.concat(F.lit("    = "), fixed(top / F.sqrt(under), 4)),
+    )
+    return F.when(F.least(a, b, c, d) == 0, "undefined (zero in denominator)").otherwise(steps)
+
+
+def wilson_trace(p: Column, n: Column, z: float = Z95) -> Column:
+    """The Wilson interval step by step; null for n <= 0, which has none."""
+    m, zz = n.cast("double"), F.lit(z * z)
+    spread, small = p * (1 - p) / m, zz / (4 * m * m)
+    term, denominator = F.sqrt(spread + small), 1 + zz / m
+    margin, half = term * z, zz / (2 * m)
+    low, high = (p + half - margin) / denominator, (p + half + margin) / denominator
+
+    def line(said: str, *values: tuple[Column, int]) -> Column:
+        parts = said.split("{}")
+        out = [F.lit(parts[0])]
+        for (value, digits), rest in zip(values, parts[1:], strict=True):
+            out += [fixed(value, digits), F.lit(rest)]
+        return F.concat(*out)
+
+    steps = F.concat_ws(
+        "\n", F.lit(f"Wilson CI (95%, z={z}):"), F.concat(line("  p = {}, n = ", (p, 4)), n.cast("string")), line("  z^2/n = {}", (zz / m, 6)), line("  z^2/2n = {}", (half, 6)),
+        line("  p(1-p)/n = {}", (spread, 6)), line("  z^2/4n^2 = {}", (small, 8)), line("  SE term = sqrt({} + {}) = {}", (spread, 6), (small, 8), (term, 6)),
+        line(f"  Margin = {z} * {{}} = {{}}", (term, 6), (margin, 6)), line("  Denominator = 1 + {} = {}", (zz / m, 6), (denominator, 6)),
+        line("  Lower = ({} + {} - {}) / {} = {}", (p, 4), (half, 6), (margin, 6), (denominator, 6), (low, 4)),
+        line("  Upper = ({} + {} + {}) / {} = {}", (p, 4), (half, 6), (margin, 6), (denominator, 6), (high, 4)), line("  95% CI = [{}, {}]", (low, 3), (high, 3)),
+    )
+    return F.when(n > 0, steps)
+
+
 def wilson(p: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Wilson score interval of a proportion; (0, 0) for n <= 0. Not clipped to [0, 1]."""
     n = n.cast("double")

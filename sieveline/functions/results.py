@@ -12,18 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import fixed, json_objects, normalize_verdict, tolerant_json
-
-# Tools, their names in summaries with the fields that a summary shows.
-SUMMARY_FIELDS = {
-    "perform_trufor": (("manipulation_probability", "manipulation_probability"), ("detection_score", "detection_score")),
-    "perform_ela": (("anomaly_score", "ela_anomaly_score"),),
-    "detect_jpeg_quantization": (("sac_score", "sac_score.score"),),
-    "analyze_jpeg_compression": (("sac_score", "sac_score.score"),),
-    "analyze_frequency_domain": (("fft_radial_decay", "fft_radial_decay"), ("fft_peakiness", "fft_peakiness"), ("dct_mean", "dct_mean")),
-    "extract_residuals": (("residual_energy_p95", "residual_energy_p95"), ("residual_std", "residual_std"), ("residual_kurtosis", "residual_kurtosis")),
-    "perform_cfa_detection": (("cfa_consistency_score", "cfa_consistency_score"),),
+from .text import fixed, json_objects, normalize_verdict, strict_json, tolerant_json
+
+# The fields of each tool's evidence with where its answer has them, and those that its summary shows:
+# with three digits, or as they are with what stands for none.
+EVIDENCE = {
+    "perform_trufor": {"manipulation_probability": "manipulation_probability", "detection_score": "detection_score"},
+    "perform_ela": {"ela_anomaly_score": "ela_anomaly_score", "quality": "quality"},
+    "detect_jpeg_quantization": {"is_jpeg": "is_jpeg", "quality_estimate_primary": "quality_estimates['0']", "sac_score": "sac_score", "coefficient_source": "coefficient_source"},
+    "analyze_jpeg_compression": {"format": "format", "is_jpeg": "is_jpeg", "sac_score": "sac_score"},
+    "analyze_frequency_domain": {"fft_radial_decay": "fft_radial_decay", "fft_peakiness": "fft_peakiness", "dct_mean": "dct_mean"},
+    "extract_residuals": {"residual_energy_p95": "residual_energy_p95", "residual_std": "residual_std", "residual_kurtosis": "residual_kurtosis"},
+    "perform_cfa_detection": {"cfa_consistency_score": "cfa_consistency_score", "distribution": "distribution"},
 }
+SHOWN = {
+    "perform_trufor": (("manipulation_probability", None), ("detection_score", None)),
+    "perform_ela": (("ela_anomaly_score", None), ("quality", "n/a")),
+    "detect_jpeg_quantization": (("is_jpeg", "None"), ("quality_estimate_primary", "None"), ("sac_score", None)),
+    "analyze_jpeg_compression": (("format", "None"), ("is_jpeg", "None"), ("sac_score", None)),
+    "analyze_frequency_domain": (("fft_radial_decay", None), ("fft_peakiness", None), ("dct_mean", None)),
+    "extract_residuals": (("residual_energy_p95", None), ("residual_std", None), ("residual_kurtosis", None)),
+    "perform_cfa_detection": (("cfa_consistency_score", None),),
+}
+RENAMED = {"ela_anomaly_score": "anomaly_score"}
+#: Tools that an answer may name itself; the others go by the name under which they ran.
+SELF_NAMED = tuple(t for t in EVIDENCE if t != "perform_cfa_detection")
+#: Characters of an answer without known fields that are kept.
+PREVIEW = 200
 #: What each tool's reading is limited by; parameters, shown once each.
 CAVEATS = {
     "perform_trufor": "A low manipulation probability does not rule out a fully synthetic image.",
@@ -32,6 +47,7 @@ CAVEATS = {
     "extract_residuals": "Residuals follow the denoiser, content and compression; auxiliary evidence only.",
     "perform_cfa_detection": "Filter patterns are of use for demosaiced photos; others may lack them.",
 }
+NOT_JPEG = "Quantisation tables say nothing about files that are no JPEG."
 #: Key field of each tool's display, and from where it is alarming.
 DISPLAY = {"perform_trufor": ("manipulation_probability", 0.5), "perform_ela": ("ela_anomaly_score", 2.0)}
 
@@ -128,15 +144,73 @@ def answer_payload(text: Column, spans: Column) -> Column:
     return F.coalesce(whole, last("verdict"), last("confidence"), words)
 
 
+def _kind(tool: Column, v: Column) -> Column:
+    """The tool whose fields an answer has: the first that ran under its name, or that the answer names."""
+    said = F.try_variant_get(v, "$.tool", "string")
+    kind = F.lit(None).cast("string")
+    for name in reversed(EVIDENCE):
+        kind = F.when((tool == name) | (said == name) if name in SELF_NAMED else tool == name, name).otherwise(kind)
+    return kind
+
+
 def summary_line(tool: Column, raw: Column) -> Column:
-    """A tool's output in one line: its status and key numbers; unparsed if it is no JSON."""
-    v = tolerant_json(raw)
+    """A tool's output in one line: its status and key fields; unparsed if it is no JSON object."""
+    v = _answer(raw)
+    kind = _kind(tool, v)
     status = F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("unknown"))
-    numbers = F.lit("")
-    for name, fields in SUMMARY_FIELDS.items():
-        shown = [F.concat(F.lit(f", {label}="), F.coalesce(fixed(F.try_variant_get(v, f"$.{path}", "double"), 3), F.lit("n/a"))) for label, path in fields]
-        numbers = F.when(tool == name, F.concat(*shown)).otherwise(numbers)
-    return F.concat(F.lit("- "), tool, F.lit(": status="), F.when(v.isNull(), "unparsed").otherwise(F.concat(status, numbers)))
+    shown = F.lit("")
+    for name, fields in SHOWN.items():
+        parts = []
+        for field, none in fields:
+            path = f"$.{EVIDENCE[name][field]}"
+            plain = F.try_variant_get(v, path, "string")
+            if field == "is_jpeg":
+                plain = F.initcap(plain)
+            value = fixed(F.try_variant_get(v, path, "double"), 3) if none is None else plain
+            parts.append(F.concat(F.lit(f", {RENAMED.get(field, field)}="), F.coalesce(value, F.lit(none or "n/a"))))
+        shown = F.when(kind == name, F.concat(*parts)).otherwise(shown)
+    return F.concat(F.lit("- "), F.when(v.isNull(), tool).otherwise(F.coalesce(kind, tool)), F.lit(": status="), F.when(v.isNull(), "unparsed").otherwise(F.concat(status, shown)))
+
+
+def _answer(raw: Column) -> Column:
+    """An answer as a JSON object; null for anything else."""
+    v = tolerant_json(raw)
+    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+
+
+def evidence(tool: Column, raw: Column) -> Column:
+    """The stable fields of a tool's output as JSON, with status and error; a preview for what has none."""
+    v = _answer(raw)
+    kind = _kind(tool, v)
+    status = F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("unknown")).alias("status")
+    error = F.try_variant_get(v, "$.error", "variant").alias("error")
+    preview = F.substring(raw, 1, PREVIEW).alias("raw_preview")
+    whole = {"ignoreNullFields": "false"}
+    out = F.to_json(F.struct(status, error, preview), whole)
+    for name, fields in EVIDENCE.items():
+        own = F.struct(status, *(F.try_variant_get(v, f"$.{path}", "variant").alias(field) for field, path in fields.items()), error)
+        out = F.when(kind == name, F.to_json(own, whole)).otherwise(out)
+    return F.when(v.isNull(), F.to_json(F.struct(F.lit("unparsed").alias("status"), preview), whole)).otherwise(out)
+
+
+def normalised(df: DataFrame, keys: list[str], outputs: str) -> DataFrame:
+    """Keys, evidence by tool, summary_lines, caveats and parse_errors of a map of raw outputs by tool.
+
+    Lists are in the order of the map, caveats once each. A null or empty map
+    has empty lists. Keys must tell rows apart.
+    """
+    long = df.select(*keys, F.posexplode_outer(F.map_entries(outputs)).alias("at", "e")).select(*keys, "at", F.col("e.key").alias("tool"), F.col("e.value").alias("raw"))
+    v = _answer(F.col("raw"))
+    kind = _kind(F.col("tool"), v)
+    other = F.when(F.try_variant_get(v, "$.is_jpeg", "boolean") == False, NOT_JPEG)  # noqa: E712
+    caveat = F.when(kind == "detect_jpeg_quantization", other).otherwise(F.element_at(F.create_map(*(F.lit(x) for pair in CAVEATS.items() for x in pair)), kind))
+    found = long.withColumns({"line": summary_line(F.col("tool"), F.col("raw")), "fields": evidence(F.col("tool"), F.col("raw")), "caveat": caveat, "bad": v.isNull()})
+    rows = F.sort_array(F.collect_list(F.when(F.col("tool").isNotNull(), F.struct("at", "tool", "line", "fields", "caveat", "bad"))))
+    found = found.groupBy(*keys).agg(rows.alias("r"))
+    return found.select(
+        *keys, F.map_from_entries(F.transform("r", lambda x: F.struct(x["tool"], x["fields"]))).alias("evidence"), F.col("r.line").alias("summary_lines"),
+        F.array_distinct(F.array_compact("r.caveat")).alias("caveats"), F.transform(F.filter("r", lambda x: x["bad"]), lambda x: x["tool"]).alias("parse_errors"),
+    )
 
 
 def caveats(tools: Column) -> Column:
@@ -145,6 +219,43 @@ def caveats(tools: Column) -> Column:
     return F.array_distinct(F.array_compact(found))
 
 
+def pattern_request(raw: Column) -> Column:
+    """What a request of the filter-pattern tool asks for, with defaults; anything but a JSON object is the path of an image.
+
+    Older names of the mode mean analyze; an unknown mode, and a calibration
+    without a folder, are errors of the request.
+    """
+    v = strict_json(raw)
+    kind = F.schema_of_variant(v)
+    object_ = F.startswith(kind, F.lit("OBJECT"))
+
+    def said(name: str, type_: str) -> Column:
+        return F.when(object_, F.try_variant_get(v, f"$.{name}", type_))
+
+    mode = F.lower(F.coalesce(said("mode", "string"), F.lit("analyze")))
+    mode = F.when(mode.isin("detect", "visualize"), "analyze").otherwise(mode)
+    path = F.when(object_, said("image_path", "string")).when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(raw)
+    folder = F.coalesce(F.nullif(said("neg_dir", "string"), F.lit("")), F.nullif(said("ref_dir", "string"), F.lit("")))
+    error = F.when(~mode.isin("analyze", "calibrate"), "mode must be analyze or calibrate").when((mode == "calibrate") & folder.isNull(), "a folder of reference images is needed to calibrate")
+    return F.struct(
+        mode.alias("mode"), path.alias("image_path"), folder.alias("folder"), F.coalesce(said("window", "int"), F.lit(256)).alias("window"), F.coalesce(said("pattern", "string"), F.lit("RGGB")).alias("pattern"),
+        F.coalesce(said("channel", "string"), F.lit("G")).alias("channel"), F.coalesce(said("top_k", "int"), F.lit(5)).alias("top_k"), F.coalesce(said("outlier_zscore", "double"), F.lit(2.0)).alias("outlier_zscore"), error.alias("error"),
+    )
+
+
+def header_map(referer: Column, title: Column) -> Column:
+    """The optional headers of a client as a map; null without any."""
+    pairs = F.array(F.struct(F.lit("HTTP-Referer").alias("k"), referer.alias("v")), F.struct(F.lit("X-Title").alias("k"), title.alias("v")))
+    kept = F.filter(pairs, lambda p: F.coalesce(p["v"], F.lit("")) != "")
+    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+
+
+def cache_tag(named: Column, prompts: Column) -> Column:
+    """What tells cached vision outputs apart: a given tag, else 16 hex digits of the prompts, else unknown."""
+    made = F.concat(F.lit("baml:"), F.substring(F.sha2(prompts, 256), 1, 16))
+    return F.coalesce(F.nullif(named, F.lit("")), made, F.lit("unknown"))
+
+
 def credential_report(raw: Column) -> Column:
     """Counts and the first claim generators of a content-credentials report in JSON."""
     manifests = F.from_json(F.get_json_object(raw, "$.manifests"), "map<string,struct<claim_generator:string>>")

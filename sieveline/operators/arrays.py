@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.inference import ratio
+from .distribution import exact_percentiles
 
 #: What scales a median deviation to a normal one, and the least deviation.
 MAD_SCALE, LEAST_MAD = 1.4826, 1e-12
@@ -31,6 +32,19 @@ def window_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.coalesce(v, F.lit(0.0)).alias(f"{k}_value") for k, v in parts.items()), F.count(x).alias("n"))
 
 
+def calibration(windows: DataFrame, image: str, measures: list[str]) -> DataFrame:
+    """Reference statistics of each measure over all windows of all images: a row a measure, with the images and windows behind it.
+
+    Medians are exact by ranks, so no measure's values meet in one task.
+    """
+    long = windows.select(image, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in measures))).alias("x")).select(image, "x.*")
+    long = long.withColumn("v", F.when(finite("v"), F.col("v").cast("double")))
+    parts = {"min": F.min("v"), "max": F.max("v"), "mean": F.avg("v"), "std": F.stddev_pop("v")}
+    found = long.groupBy("measure").agg(*(F.coalesce(v, F.lit(0.0)).alias(f"{k}_value") for k, v in parts.items()), F.count_distinct(image).alias("num_images"), F.count("*").alias("num_windows"))
+    middle = exact_percentiles(long, ["measure"], "v", (0.5,)).select("measure", F.col("value").alias("median_value"))
+    return found.join(middle, "measure", "left").withColumn("median_value", F.coalesce("median_value", F.lit(0.0)))
+
+
 def bimodality(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Bimodality coefficient, coefficient of variation and class of each group's finite values."""
     x = F.when(finite(value), F.col(value).cast("double"))

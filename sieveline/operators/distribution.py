@@ -162,10 +162,33 @@ def provenance(records: DataFrame, by: tuple[str, ...] = CONFIG, k: int = 5) ->
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).join(share, list(by))
 
 
-def inferred_vision_model(records: DataFrame, by: tuple[str, ...] = CONFIG, default: str = "unknown") -> DataFrame:
-    """Each group's vision model: the most named one (ties by name), else the default, and which rule said so."""
+# Where no row names a vision model, what a run's file or its agent says of it: rule, column, test, what it looks for, model.
+VISION_RULES = (
+    ("filename_glm46_vision", "file", "contains", "glm46v-vision_agent_glm46", "z-ai/glm-4.6:nitro"),
+    ("filename_g3_prefix", "file", "startswith", "g3", "google/gemini-3-flash-preview"),
+    ("filename_g3_prefix", "file", "contains", "g3vision", "google/gemini-3-flash-preview"),
+    ("filename_b_or_g3", "file", "equals", "b_or_g3flashprev.jsonl", "google/gemini-3-flash-preview"),
+    ("agent_rule_sonnet", "agent", "contains", "claude-sonnet-4.5", "anthropic/claude-sonnet-4.5"),
+    ("agent_rule_openai", "agent", "contains", "gpt-5", "gpt-5.2"),
+)
+VISION_DEFAULT = ("default_gemini", "google/gemini-3-flash-preview")
+
+
+def inferred_vision_model(
+    records: DataFrame, by: tuple[str, ...] = CONFIG, file: str | None = None, agent: str = "model", rules: tuple = VISION_RULES, default: tuple[str, str] = VISION_DEFAULT
+) -> DataFrame:
+    """Each group's vision model, and which rule said so.
+
+    The model that most rows name (ties by name), else the first rule that fits
+    the group's file (any case, if its column is given) or its agent, else the default.
+    """
     counted = records.filter("coalesce(vision_model, '') <> ''").groupBy(*by, "vision_model").agg(F.count("*").alias("n"))
     best = counted.groupBy(*by).agg(F.min_by("vision_model", F.struct(-F.col("n"), F.col("vision_model"))).alias("named"))
-    groups = records.select(*by).distinct().join(best, list(by), "left")
-    source = F.when(F.col("named").isNotNull(), "models_field").otherwise("default")
-    return groups.select(*by, F.coalesce("named", F.lit(default)).alias("vision_model"), source.alias("source"))
+    seen = {"file": F.lower(F.min(file)) if file else F.lit(None).cast("string"), "agent": F.min(agent)}
+    groups = records.groupBy(*by).agg(*(c.alias(f"_{k}") for k, c in seen.items()))
+    tests = {"contains": lambda c, v: F.contains(c, F.lit(v)), "startswith": lambda c, v: F.startswith(c, F.lit(v)), "equals": lambda c, v: c == v}
+    said = F.struct(F.lit(default[0]).alias("source"), F.lit(default[1]).alias("vision_model"))
+    for source, column, test, value, model in reversed(rules):
+        said = F.when(tests[test](F.col(f"_{column}"), value), F.struct(F.lit(source).alias("source"), F.lit(model).alias("vision_model"))).otherwise(said)
+    found = _joined(groups, best, by).withColumn("said", F.when(F.col("named").isNotNull(), F.struct(F.lit("models_field").alias("source"), F.col("named").alias("vision_model"))).otherwise(said))
+    return found.select(*by, "said.vision_model", "said.source")

@@ -67,11 +67,3 @@ def kr24_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kr37_pattern_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = images.pattern_windows(pictures(spark, sf_dir), ["vec_id"], window=32)
     return found.select("vec_id", "y", "x", "status", *(F.round(c, 2).alias(c) for c in ("m_r", "m_g", "m_b")), F.round("texture", 6).alias("texture"))
-
-
-@query
-def kr01_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages stand in for files: none is an image, so each says what it is not."""
-    files = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
-    found = images.metadata(files, ["page_id"])
-    return found.select("page_id", "status", "format", "bytes", "tag_count", "icc_bytes", F.size("credential_hints").alias("hints"))

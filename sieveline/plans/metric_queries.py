@@ -179,7 +179,16 @@ def st05_ztest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.best_against_rest(metrics.compute_metrics(records(spark, sf_dir))).select("model", "use_tools", "best_model", F.round("z", 8).alias("z"))
 
 
-@query()
+# the normal distribution function as its series around 0: density times the sum of z ^ (2k + 1) / (1 * 3 * ... * (2k + 1))
+_series = "list_sum(list_transform(range(0, 400), lambda k: exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+
+
+@query(
+    oracle(
+        f"SELECT model, use_tools, round(z, 8) AS z, round(2 * (0.5 - CASE WHEN z = 0 THEN 0 ELSE exp(-z * z / 2) / sqrt(2 * pi()) * {_series} END), 8) AS p FROM q",
+        *metric_ctes(), _best, f"q AS (SELECT model, use_tools, coalesce({_z}, 0) AS z FROM b WHERE model <> best_model AND total = best_n)",
+    )
+)
 def st06_normal_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.best_against_rest(metrics.compute_metrics(records(spark, sf_dir))).select("model", "use_tools", F.round("z", 8).alias("z"), F.round("p", 8).alias("p"))
 
@@ -352,7 +361,7 @@ def ag23_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        "SELECT model, use_tools, coalesce(arg_max(vision_model, (n, -vision_no)), 'unknown') AS vision_model, CASE WHEN count(vision_model) > 0 THEN 'models_field' ELSE 'default' END AS source FROM v GROUP BY model, use_tools",
+        "SELECT model, use_tools, coalesce(arg_max(vision_model, (n, -vision_no)), 'google/gemini-3-flash-preview') AS vision_model, CASE WHEN count(vision_model) > 0 THEN 'models_field' ELSE 'default_gemini' END AS source FROM v GROUP BY model, use_tools",
         "v AS (SELECT model, use_tools, vision_model, count(*) AS n, ascii(substr(vision_model, 2)) AS vision_no FROM records WHERE coalesce(vision_model, '') <> '' GROUP BY ALL)",
     )
 )

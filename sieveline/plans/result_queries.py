@@ -90,21 +90,13 @@ def fn20_answer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.get_json_object(results.answer_payload(F.col("said"), F.col("spans")), "$.verdict").alias("verdict"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('- perform_ela: status=completed, anomaly_score=', printf('%.3f', value)) WHEN 1 THEN '- other: status=unknown' ELSE '- perform_ela: status=unparsed' END AS line FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('- perform_ela: status=completed, anomaly_score=', printf('%.3f', value), ', quality=', (event_id % 100)::VARCHAR) WHEN 1 THEN '- other: status=unknown' ELSE '- perform_ela: status=unparsed' END AS line FROM events")
 def fn22_summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("event_id") % 3
-    raw = F.when(turn == 0, F.concat(F.lit('{"status": "completed", "ela_anomaly_score": '), F.col("value").cast("string"), F.lit("}"))).when(turn == 1, "{}").otherwise("broken")
+    raw = F.when(turn == 0, F.concat(F.lit('{"status": "completed", "ela_anomaly_score": '), F.col("value").cast("string"), F.lit(', "quality": '), (F.col("event_id") % 100).cast("string"), F.lit("}"))).when(turn == 1, "{}").otherwise("broken")
     return table(spark, sf_dir, "events").select("event_id", results.summary_line(F.when(turn == 1, "other").otherwise("perform_ela"), raw).alias("line"))
 
 
-@query("SELECT p_partkey, 2 AS manifests, ['maker ' || p_brand] AS generators, 1 AS failure, 0 AS success FROM part")
-def ag28_credential_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maker = F.concat(F.lit('{"claim_generator": "maker '), "p_brand", F.lit('"}'))
-    raw = F.concat(F.lit('{"active_manifest": "a", "manifests": {"a": '), maker, F.lit(', "b": '), maker, F.lit('}, "validation_results": {"failure": [1]}}'))
-    rows = table(spark, sf_dir, "part").select("p_partkey", results.credential_report(raw).alias("r"))
-    return rows.select("p_partkey", "r.manifests", "r.generators", "r.failure", "r.success")
-
-
 @query(oracle("SELECT event_id, (list_contains(tool_usage, 'ela')::INT + list_contains(tool_usage, 'detector')::INT)::INT AS caveats FROM records"))
 def se05_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.transform("tool_usage", lambda t: F.when(t == "ela", "perform_ela").when(t == "detector", "perform_trufor").otherwise(t))
@@ -114,17 +106,3 @@ def se05_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ud09_structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external.pluggable_verdicts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-
-
-@query()
-def ud02_timed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def factory():  # noqa: ANN202
-        def client(name: str, size: int) -> str:
-            if size % 7 == 0:
-                raise ValueError("seven")
-            return name.upper()
-
-        return client
-
-    found = external.called(table(spark, sf_dir, "part"), ["p_partkey"], ["p_name", "p_size"], factory)
-    return found.select("p_partkey", "output", "status", "error")

@@ -303,10 +303,11 @@ def sh02_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.sampled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, "seed7")
 
 
-@query()
+@query(
+    "SELECT event_id, unnest([6, 12 + length(props)])::INT AS start, unnest([6 + length(props), 12 + length(props) + 17 + length(event_type)])::INT AS \"end\", "
+    "unnest([props, '{\"a\": {\"b\": \"' || event_type || '}\"}}']) AS json FROM events"
+)
 def fn18_json_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dressed = F.concat(F.lit("first "), "props", F.lit(' then {"a": {"b": "}"}} and {broken'))
+    dressed = F.concat(F.lit("first "), "props", F.lit(' then {"a": {"b": "'), "event_type", F.lit('}"}} and {broken'))
     rows = table(spark, sf_dir, "events").select("event_id", F.explode(text.json_spans(dressed)).alias("s"))
     return rows.select("event_id", "s.*")
-
-
