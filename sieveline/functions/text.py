@@ -79,6 +79,22 @@ def text_hash(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")), 256)
 
 
+def content_hash(content: Column) -> Column:
+    """The hash of a file's bytes; empty where it can't be read."""
+    return F.coalesce(F.sha2(content, 256), F.lit(""))
+
+
+def nested(c: Column, *names: str) -> Column:
+    """A value inside nested objects of a JSON text, as text; null if any step is missing."""
+    path = "$" + "".join(f"['{name}']" for name in names)
+    return F.try_variant_get(F.try_parse_json(c), path, "string")
+
+
+def ordered_distinct(c: Column) -> Column:
+    """The values of an array that are neither null nor empty, once each, in order of first appearance."""
+    return F.array_distinct(F.filter(c, lambda v: F.coalesce(v, F.lit("")) != ""))
+
+
 def map_hashes(c: Column) -> Column:
     """The hash of each value of a map."""
     return F.transform_values(c, lambda _, v: F.sha2(v, 256))

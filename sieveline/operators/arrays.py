@@ -61,6 +61,11 @@ def bimodality(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return m.withColumn("distribution", name)
 
 
+def texture(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The population variance of each window's values; 0 for a window without any."""
+    return df.groupBy(*by).agg(F.coalesce(F.var_pop(value), F.lit(0.0)).alias("texture"))
+
+
 def median_mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows with their group's median and scaled median deviation."""
     group = Window.partitionBy(*by)

@@ -95,6 +95,32 @@ def filter_results(
     return records.filter(wanted)
 
 
+def mismatches(checked: DataFrame, keys: list[str], k: int = 25) -> DataFrame:
+    """The first k mismatching values of a validation, by key and column: what a report shows."""
+    return checked.select(*keys, F.explode("mismatches").alias("column")).orderBy(*keys, "column").limit(k)
+
+
+def first_config_file(results: DataFrame, keys: list[str], file: str = "file_name") -> DataFrame:
+    """The file that holds each configuration's records: the first by name."""
+    return results.groupBy(*keys).agg(F.min(file).alias(file))
+
+
+def clamped_index(wanted: Column, n: Column) -> Column:
+    """A place in a list of n, or the nearest to it; 0 for an empty list."""
+    return F.greatest(F.lit(0), F.least(wanted, n - 1))
+
+
+def review_summary(reviews: DataFrame) -> DataFrame:
+    """Reviews with a mean quality, and how many call the reasoning valid, suspect fabrication, agree, or found tools read rightly."""
+    flags = {"valid": "reasoning_valid", "fabricated": "fabrication_suspected", "agree": "verdict_agree", "tools_right": "tool_interpretation_correct"}
+    return reviews.agg(F.count("*").alias("reviews"), F.round(F.avg("reasoning_quality"), 8).alias("mean_quality"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+
+
+def unique_values(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in the order of their text."""
+    return df.select(column).distinct().orderBy(F.col(column).cast("string"))
+
+
 def progress(samples: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     """How many samples have a review, how many have not, and the percentage."""
     marked = samples.select(key).distinct().join(reviews.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")

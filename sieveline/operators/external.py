@@ -39,7 +39,7 @@ def called(df: DataFrame, keys: list[str], inputs: list[str], factory: Callable[
                 try:
                     out, failure = client(*values), None
                 except Exception as e:  # noqa: BLE001  a tool's failure is data
-                    out, failure = None, str(e)[:500]
+                    out, failure = None, str(e)
                 rows.append((out, time.monotonic() - began, "error" if failure is not None else "completed", failure))
             found = pd.DataFrame(rows, columns=["output", "seconds", "status", "error"], index=batch.index, dtype=object)
             yield pd.concat([batch[keys], found], axis=1)
@@ -65,6 +65,25 @@ def register(spark: SparkSession) -> list[str]:
     return ["json_spans", "json_objects", *made]
 
 
+# The tools that an agent may call, with their arguments.
+TOOLS = {
+    "metadata": ("What a file's bytes say: tags, packets, profile, content credentials.", {"image_path": "string"}),
+    "analyze_jpeg_compression": ("Format and traces of compression.", {"image_path": "string"}),
+    "detect_jpeg_quantization": ("Quantisation tables and the quality nearest to them.", {"image_path": "string"}),
+    "perform_ela": ("Error levels after recompression.", {"image_path": "string", "quality": "int"}),
+    "analyze_frequency_domain": ("Spectra of a whole image.", {"image_path": "string"}),
+    "extract_residuals": ("Statistics of what a denoiser takes away.", {"image_path": "string"}),
+    "perform_trufor": ("A manipulation detector, plugged in as a client.", {"image_path": "string"}),
+    "perform_cfa_detection": ("Traces of a colour filter in windows of an image.", {"mode": "string", "image_path": "string", "window": "int", "pattern": "string"}),
+}
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """name, description and arguments (name to type) of every tool."""
+    rows = [(name, said, arguments) for name, (said, arguments) in TOOLS.items()]
+    return spark.createDataFrame(rows, "name string, description string, arguments map<string,string>")
+
+
 def pluggable_verdicts(df: DataFrame, keys: list[str], answer: str) -> DataFrame:
     """Verdict and confidence of free answers without a model: the fallback of a structuring client."""
     return df.select(*keys, text.extract_verdict(F.col(answer)).alias("verdict"), text.extract_confidence(F.col(answer)).alias("confidence"))

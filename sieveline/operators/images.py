@@ -34,7 +34,9 @@ RESIDUALS = "status string, error string, mean double, std double, skew double,
 def rgb_bytes(channels: pd.Series, data: pd.Series) -> pd.Series:
     """RGB bytes of the image source's pixels, which are blue first, with or without alpha, or grey."""
 
-    def one(n: int, raw: bytes) -> bytes:
+    def one(n: int, raw: bytes) -> bytes | None:
+        if n < 1:
+            return None
         x = np.frombuffer(raw, np.uint8).reshape(-1, n)
         return (np.repeat(x, 3, axis=1) if n == 1 else x[:, 2::-1]).tobytes()
 
@@ -53,7 +55,7 @@ def _mapped(df: DataFrame, keys: list[str], inputs: list[str], schema: str, kern
                 try:
                     rows.append({"status": "completed", "error": None, **kernel(*values)})
                 except (ValueError, TypeError, IndexError, KeyError, ArithmeticError, struct.error) as failure:
-                    rows.append({"status": "error", "error": str(failure)[:200]})
+                    rows.append({"status": "error", "error": str(failure)})
             found = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], index=batch.index, dtype=object) for n in names})
             yield pd.concat([batch[keys], found], axis=1)
 
@@ -72,6 +74,8 @@ def _fields(schema: str) -> list[str]:
 
 
 def _plane(height: int, width: int, rgb: bytes) -> np.ndarray:
+    if rgb is None:
+        raise ValueError("the image has no pixels")
     return np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
 
 

@@ -111,6 +111,19 @@ def sliding_windows(df: DataFrame, height: str, width: str, window: int) -> Data
     return df.withColumn("y", F.explode(starts(height))).withColumn("x", F.explode(starts(width)))
 
 
+def flattened(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
+    """Files of many folders under names of one: the first of a name keeps it, the others are named after their folder as well."""
+    placed_ = ranked(df, [name], [F.col(order)], "_turn")
+    return placed_.withColumn("flat_name", F.when(F.col("_turn") > 1, F.concat(folder, F.lit("_"), name)).otherwise(F.col(name))).drop("_turn")
+
+
+def outliers(df: DataFrame, by: list[str], z: str, bound: float, key: str) -> DataFrame:
+    """Rows whose z passes the bound, with the side and their place on it: the lowest and the highest first."""
+    side = F.when(F.col(z) < -bound, "low").when(F.col(z) > bound, "high")
+    order = Window.partitionBy(*by, "side").orderBy(F.desc(F.abs(z)), key)
+    return df.withColumn("side", side).filter("side IS NOT NULL").withColumn("place", F.row_number().over(order))
+
+
 def seeded_order(key: str, seed: str) -> Column:
     """A shuffled order that any run repeats: a hash of seed and key."""
     return F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)

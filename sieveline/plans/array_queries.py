@@ -185,7 +185,7 @@ def kr35_bayer_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LONG} SELECT vec_id, round(var_pop(v), 8) AS texture FROM l GROUP BY vec_id")
 def kr38_texture_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(long_form(spark, sf_dir).groupBy("vec_id").agg(F.var_pop("v").alias("texture")))
+    return rounded(arrays.texture(long_form(spark, sf_dir), ["vec_id"], "v"))
 
 
 @query("SELECT o_orderstatus, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 25 ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inference
 from ..operators import comparison, distribution, metrics, ranking
+from . import report
 from .bridge import oracle, records
 
 QUERIES: dict = {}
@@ -453,3 +454,29 @@ def jn06_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("z")["tool_usage"].alias("tool"), F.round(F.col("z")["seconds"], 8).alias("seconds"), F.col("position").cast("long").alias("position"))
 
 
+
+
+def _interval(p: str, n: str) -> tuple[str, str]:
+    centre, half = f"({p} + 1.96*1.96/(2*{n})) / (1 + 1.96*1.96/{n})", f"1.96 * sqrt({p}*(1-{p})/{n} + 1.96*1.96/(4.0*{n}*{n})) / (1 + 1.96*1.96/{n})"
+    return f"CASE WHEN {n} > 0 THEN {centre} - {half} ELSE 0 END", f"CASE WHEN {n} > 0 THEN {centre} + {half} ELSE 0 END"
+
+
+_ends = {f"{p}_{side}": sql for p, n in (("accuracy", "total"), ("coverage", "total"), ("accuracy_answered", "answered")) for side, sql in zip(("low", "high"), _interval(p, n), strict=True)}
+_conf = {"confidence_p5": 0.05, "confidence_p25": 0.25, "confidence_p95": 0.95}
+
+
+@query(
+    oracle(
+        f"SELECT model, use_tools, total, answered, round(accuracy, 8) AS accuracy, round({_mcc}, 8) AS mcc, " + ", ".join(f"round({sql}, 8) AS {name}" for name, sql in _ends.items()) + ", "
+        + ", ".join(f"round({c}, 8) AS {c}" for c in (*_conf, "brier", "aurc", "latency_seconds_p95")) + ", n_ids, coalesce(v.vision_model, 'google/gemini-3-flash-preview') AS vision_model "
+        "FROM m JOIN q USING (model, use_tools) JOIN r USING (model, use_tools) JOIN t USING (model, use_tools) LEFT JOIN v USING (model, use_tools)",
+        *metric_ctes(), _answered, _curve,
+        "q AS (SELECT model, use_tools, " + ", ".join(f"quantile_cont(conf, {p}) AS {c}" for c, p in _conf.items()) + f", avg(({_p} - y_fake) * ({_p} - y_fake)) AS brier FROM s GROUP BY ALL)",
+        "r AS (SELECT model, use_tools, sum(risk * CASE WHEN m = n THEN 0.5 ELSE 1 END) / max(n) AS aurc FROM c GROUP BY ALL)",
+        "t AS (SELECT model, use_tools, quantile_cont(latency_seconds, 0.95) AS latency_seconds_p95, count(DISTINCT sample_id) AS n_ids FROM records GROUP BY ALL)",
+        "v AS (SELECT model, use_tools, vision_model FROM (SELECT model, use_tools, vision_model, count(*) AS n FROM records WHERE coalesce(vision_model, '') <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model, use_tools ORDER BY n DESC, vision_model) = 1)",
+    )
+)
+def ag13_config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = report.config_summary(records(spark, sf_dir))
+    return rounded(found.select("model", "use_tools", "total", "answered", "accuracy", "mcc", *_ends, *_conf, "brier", "aurc", "latency_seconds_p95", "n_ids", "vision_model"))

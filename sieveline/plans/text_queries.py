@@ -185,8 +185,7 @@ def fn46_letter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 THEN concat(p_brand, '_', p_name) ELSE p_name END AS name FROM part")
 def fn47_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.ranked(table(spark, sf_dir, "part"), ["p_name"], [F.col("p_partkey")], "turn")
-    return rows.select("p_partkey", F.when(F.col("turn") > 1, F.concat("p_brand", F.lit("_"), "p_name")).otherwise(F.col("p_name")).alias("name"))
+    return ranking.flattened(table(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", F.col("flat_name").alias("name"))
 
 
 @query("SELECT page_id, trim(CASE WHEN a > 0 AND b > 0 THEN substr(rest, 1, b - 1) ELSE '' END) AS title FROM (SELECT *, strpos(rest, '</title>') AS b FROM (SELECT page_id, strpos(html, '<title>') AS a, substr(html, strpos(html, '<title>') + 7) AS rest FROM pages))")
@@ -224,17 +223,21 @@ def ag26_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.progress(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT round(avg(quality), 8) AS mean_quality, count(*) FILTER (quality = 1) AS valid, count(*) FILTER (toxic = 1) AS fabricated, count(*) FILTER (quality = 1 AND toxic = 0) AS agree FROM labels")
+@query(
+    "SELECT count(*) AS reviews, round(avg(quality), 8) AS mean_quality, count(*) FILTER (quality = 1) AS valid, count(*) FILTER (toxic = 1) AS fabricated, count(*) FILTER (quality = 1 AND toxic = 0) AS agree, "
+    "count(*) FILTER (doc_id % 2 = 0) AS tools_right FROM labels"
+)
 def ag25_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").agg(
-        F.round(F.avg("quality"), 8).alias("mean_quality"), F.count_if(F.col("quality") == 1).alias("valid"), F.count_if(F.col("toxic") == 1).alias("fabricated"),
-        F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("agree"),
-    )
+    good, bad = F.col("quality") == 1, F.col("toxic") == 1
+    reviews = table(spark, sf_dir, "labels").select(
+        F.col("quality").alias("reasoning_quality"), good.alias("reasoning_valid"), bad.alias("fabrication_suspected"), (good & ~bad).alias("verdict_agree"), (F.col("doc_id") % 2 == 0).alias("tool_interpretation_correct")
+    )
+    return comparison.review_summary(reviews)
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source")
 def ag27_unique_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("source").distinct().orderBy("source")
+    return comparison.unique_values(table(spark, sf_dir, "documents"), "source")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 7 <> 3")
@@ -311,3 +314,57 @@ def fn18_json_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     dressed = F.concat(F.lit("first "), "props", F.lit(' then {"a": {"b": "'), "event_type", F.lit('}"}} and {broken'))
     rows = table(spark, sf_dir, "events").select("event_id", F.explode(text.json_spans(dressed)).alias("s"))
     return rows.select("event_id", "s.*")
+
+
+@query(
+    "SELECT event_id, sha256(props) AS hash, json_extract_string(props, '$.k') AS inner_k, (event_id % 3)::INT AS n, least(event_id % 9, greatest(event_id % 5 - 1, 0))::BIGINT AS place FROM events"
+)
+def fn08_small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes, nested values, values once each, and places in lists."""
+    wrapped = F.concat(F.lit('{"a": {"b c": '), "props", F.lit("}}"))
+    many = F.slice(F.array(F.lit("x"), F.lit("y")), F.lit(1), (F.col("event_id") % 3).cast("int"))
+    rows = table(spark, sf_dir, "events").withColumn("event_no", F.col("event_id"))
+    return rows.select(
+        "event_id", text.content_hash(F.encode("props", "UTF-8")).alias("hash"), text.nested(wrapped, "a", "b c", "k").alias("inner_k"),
+        F.size(text.ordered_distinct(F.concat(many, F.array(F.lit(""), F.lit(None).cast("string")), many))).alias("n"),
+        comparison.clamped_index(F.col("event_id") % 9, F.col("event_id") % 5).alias("place"),
+    )
+
+
+@query(
+    "WITH held AS (SELECT p_partkey, 'sample-' || lpad(p_partkey::VARCHAR, 6, '0') AS id, p_partkey || '/' || p_name AS image FROM part WHERE p_partkey % 3 = 1) "
+    "SELECT 'sample-' || lpad(((SELECT max(p_partkey) FROM held) + row_number() OVER (ORDER BY image))::VARCHAR, 6, '0') AS id, image, p_type AS label FROM (SELECT p_partkey || '/' || p_name AS image, p_type FROM part WHERE p_partkey % 3 <> 1)"
+)
+def snk15_appended_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.col("p_partkey").cast("string"), F.lit("/"), "p_name")
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit("\\"), "p_name").alias("path"), F.col("p_type").alias("label"), path.alias("image"))
+    manifest = files.filter("p_partkey % 3 = 1").select(F.format_string("sample-%06d", "p_partkey").alias("id"), "image")
+    return writers.appended_manifest(manifest, files)
+
+
+@query("SELECT p_brand, min(p_type || '.jsonl') AS file_name FROM part GROUP BY p_brand")
+def src08_first_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_brand", F.concat("p_type", F.lit(".jsonl")).alias("file_name"))
+    return comparison.first_config_file(rows, ["p_brand"])
+
+
+@query(
+    "SELECT s_suppkey, col AS \"column\" FROM (SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 3 = 0 THEN ['s_acctbal', 's_nationkey'] WHEN s_suppkey % 3 = 1 THEN ['s_acctbal'] ELSE [] END) AS col FROM supplier) ORDER BY s_suppkey, col LIMIT 25"
+)
+def tk04_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    computed = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.col("s_nationkey").cast("double").alias("s_nationkey"))
+    shift = F.when(F.col("s_suppkey") % 3 != 2, 1.0).otherwise(0.0)
+    published = computed.withColumns({"s_acctbal": F.col("s_acctbal") + shift, "s_nationkey": F.col("s_nationkey") + F.when(F.col("s_suppkey") % 3 == 0, 1.0).otherwise(0.0)})
+    return comparison.mismatches(comparison.validated(computed, published, ["s_suppkey"], ["s_acctbal", "s_nationkey"]), ["s_suppkey"])
+
+
+@query(
+    "WITH z AS (SELECT o_orderstatus, o_orderkey, (o_totalprice - avg(o_totalprice) OVER w) / stddev_pop(o_totalprice) OVER w AS z FROM orders WINDOW w AS (PARTITION BY o_orderstatus)), "
+    "s AS (SELECT *, CASE WHEN z < -1.5 THEN 'low' WHEN z > 1.5 THEN 'high' END AS side FROM z) "
+    "SELECT o_orderstatus, o_orderkey, side, row_number() OVER (PARTITION BY o_orderstatus, side ORDER BY abs(z) DESC, o_orderkey) AS place FROM s WHERE side IS NOT NULL"
+)
+def so06_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    level = orders.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
+    rows = orders.join(level, "o_orderstatus").select("o_orderstatus", "o_orderkey", ((F.col("o_totalprice") - F.col("m")) / F.col("s")).alias("z"))
+    return ranking.outliers(rows, ["o_orderstatus"], "z", 1.5, "o_orderkey").select("o_orderstatus", "o_orderkey", "side", "place")

@@ -123,11 +123,16 @@ def labelled_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """path, height, width and rgb (bytes, by rows) of images that the JVM decodes; others are left out."""
+    """path, height, width, rgb (bytes, by rows) and status of images that the JVM decodes.
+
+    A file that it can't decode keeps its row, with status error and no pixels.
+    """
     from ..operators.images import rgb_bytes
 
-    rows = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
-    return rows.select(F.col("origin").alias("path"), "height", "width", rgb_bytes("nChannels", "data").alias("rgb"))
+    rows = spark.read.format("image").option("dropInvalid", "false").load(folder).select("image.*")
+    good = F.col("height") > 0
+    sizes = (F.when(good, F.col(c)).alias(c) for c in ("height", "width"))
+    return rows.select(F.col("origin").alias("path"), *sizes, rgb_bytes("nChannels", "data").alias("rgb"), F.when(good, "completed").otherwise("error").alias("status"))
 
 
 def byte_prefix(content, n: int):  # noqa: ANN001, ANN201

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed, markdown_cell
@@ -51,6 +53,25 @@ def write_cache(rows: DataFrame, path: str) -> None:
     rows.filter("status <> 'error'").write.mode("append").json(path)
 
 
+def clear_cache(spark: SparkSession, path: str) -> int:
+    """Take all entries of a cache away; how many there were."""
+    held = spark.read.schema("tool string").json(path)
+    n = held.count()
+    held.limit(0).write.mode("overwrite").json(path)
+    return n
+
+
+def save_whole(df: DataFrame, path: str) -> None:
+    """A document written beside its place and then moved there, so readers see the old or the new one whole."""
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    target, beside = folder(path), folder(f"{path}.{uuid.uuid4().hex}")
+    files = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    df.write.json(beside.toString())
+    files.delete(target, True)
+    if not files.rename(beside, target):
+        raise OSError(f"{beside} could not be moved to {path}")
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """Entries, bytes and MB of a cache."""
     counted = cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("output")), F.lit(0)).alias("bytes"))
@@ -65,6 +86,17 @@ def manifest_rows(files: DataFrame, form: str = "ffpp-%05d") -> DataFrame:
     return numbered(clean, [F.col("image"), F.col("label")], form).select("id", "image", "label")
 
 
+def appended_manifest(manifest: DataFrame, files: DataFrame, prefix: str = "sample-", width: int = 6) -> DataFrame:
+    """Rows for files that a manifest lacks, numbered on from its largest number, by path."""
+    from ..operators.ranking import numbered
+
+    fresh = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("image"), "label").join(manifest.select("image"), "image", "left_anti")
+    placed = numbered(fresh, [F.col("image"), F.col("label")], "%d", "_number")
+    number = F.col("_number").cast("long") + F.col("next") - 1
+    found = placed.crossJoin(F.broadcast(next_number(manifest, prefix)))  # one row
+    return found.select(F.format_string(f"{prefix}%0{width}d", number).alias("id"), "image", "label")
+
+
 def next_number(manifest: DataFrame, prefix: str = "sample-") -> DataFrame:
     """One more than the largest number of ids with a prefix; 1 without any."""
     number = F.regexp_extract("id", f"^{prefix}(\\d+)$", 1).try_cast("long")

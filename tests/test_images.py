@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.functions import image_bytes as files
 from sieveline.functions import image_kernels as kernels
@@ -189,6 +190,10 @@ def test_files_through_spark(spark, tmp_path):
     (tmp_path / "fake").mkdir()
     (tmp_path / "fake" / "a.png").write_bytes(files.png(x))
     (tmp_path / "b.png").write_bytes(b"not an image")
+    every = {r.path.rsplit("/", 1)[1]: r for r in readers.read_pixels(spark, str(tmp_path)).collect()}
+    assert every["b.png"].status == "error" and every["b.png"].rgb is None
+    broken = images.frequency(readers.read_pixels(spark, str(tmp_path)), ["path"]).collect()
+    assert [r.status for r in broken] == ["error"]
     pixels = readers.read_pixels(spark, str(tmp_path / "fake"))
     r = pixels.first()
     assert (np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) == x).all()
@@ -251,3 +256,143 @@ def test_pattern_query_runs_the_default_rounds(spark, monkeypatch):
     monkeypatch.setattr(image_queries.images, "pattern_windows", lambda *a, **b: given.append(b) or real(*a, **b))
     image_queries.kr37_pattern_windows(spark, "/root/testdata/sf0.001")
     assert [b.get("rounds", 50) for b in given] == [50]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    from sieveline.plans import image_queries
+
+    rows = image_queries.pictures(spark, SF).orderBy("vec_id").limit(3).collect()
+    return {r.vec_id: np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for r in rows}
+
+
+def found_by(spark, name, keys):
+    from sieveline import catalog
+
+    rows = catalog.queries()[name](spark, SF).filter(F.col("vec_id").isin(list(keys))).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r.vec_id, []).append(r)
+    return out
+
+
+def test_frequency_query_against_sums(spark, drawn):
+    """Every cosine and Fourier coefficient by its defining sum."""
+    rows = found_by(spark, "kr23_frequency", drawn)
+    for key, rgb in drawn.items():
+        g = np.rint(rgb @ np.array([0.299, 0.587, 0.114]))
+        h, w = g.shape
+        cosine = np.zeros((h, w))
+        level = np.zeros((h, w))
+        y, x = np.mgrid[0:h, 0:w]
+        for u in range(h):
+            for v in range(w):
+                a = np.sqrt((1 if u == 0 else 2) / h) * np.sqrt((1 if v == 0 else 2) / w)
+                cosine[u, v] = abs(a * (g * np.cos((2 * y + 1) * u * np.pi / (2 * h)) * np.cos((2 * x + 1) * v * np.pi / (2 * w))).sum())
+                wave = (g * np.exp(-2j * np.pi * (u * y / h + v * x / w))).sum()
+                level[(u + h // 2) % h, (v + w // 2) % w] = 20 * np.log10(abs(wave) + 1e-10)
+        r = rows[key][0]
+        rest = np.delete(cosine.ravel(), 0)
+        assert r.dct_mean == pytest.approx(rest.mean(), abs=1e-4) and r.dct_std == pytest.approx(rest.std(), abs=1e-4)
+        rings = {}
+        for i in range(h):
+            for j in range(w):
+                rings.setdefault(int(np.hypot(i - h // 2, j - w // 2)), []).append(level[i, j])
+        profile = [sum(rings[k]) / len(rings[k]) for k in sorted(rings)][1:]
+        slope = np.polyfit(np.log(np.arange(1, len(profile) + 1) + 1e-10), profile, 1)[0]
+        # magnitudes of 0 are rounding noise, of which the logarithm is no number to compare
+        if min(level.ravel()) > -150:
+            assert r.radial_mean == pytest.approx(np.mean(profile), abs=1e-3) and r.decay == pytest.approx(slope, abs=1e-3)
+
+
+def test_residual_query_against_a_slow_blur(spark, drawn):
+    rows = found_by(spark, "kr24_residuals", drawn)
+    kernel = [np.exp(-0.5 * k * k) for k in range(-3, 4)]
+    for key, rgb in drawn.items():
+        g = np.rint(rgb @ np.array([0.299, 0.587, 0.114]))
+        h, w = g.shape
+        r = np.zeros((h, w))
+        for y in range(h):
+            for x in range(w):
+                total = sum(kernel[a + 3] * kernel[b + 3] * g[min(max(y + a, 0), h - 1), min(max(x + b, 0), w - 1)] for a in range(-3, 4) for b in range(-3, 4))
+                r[y, x] = g[y, x] - total / sum(kernel) ** 2
+        got = rows[key][0]
+        values = r.ravel()
+        assert got.mean == pytest.approx(values.mean(), abs=1e-5) and got.std == pytest.approx(values.std(), abs=1e-5)
+        assert got.energy == pytest.approx((values**2).mean(), abs=1e-4) and got.abs_p95 == pytest.approx(np.percentile(abs(values), 95), abs=1e-5)
+        z = (values - values.mean()) / values.std()
+        assert got.skew == pytest.approx((z**3).mean(), abs=1e-4) and got.kurtosis == pytest.approx((z**4).mean() - 3, abs=1e-4)
+
+
+def slow_dct(block):
+    out = np.zeros((8, 8))
+    for u in range(8):
+        for v in range(8):
+            a = np.sqrt((1 if u == 0 else 2) / 8) * np.sqrt((1 if v == 0 else 2) / 8)
+            out[u, v] = a * sum(block[y, x] * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for y in range(8) for x in range(8))
+    return out
+
+
+def slow_shares(values):
+    size = [abs(int(np.rint(v))) for v in values]
+    size = [s for s in size if s > 1]
+    hits = [sum(s % q == 0 for s in size) for q in range(1, min(100, max(size, default=0)) + 1)]
+    return [n / hits[0] for n in hits] if size else []
+
+
+def test_block_query_against_slow_blocks(spark, drawn):
+    rows = found_by(spark, "kr11_block_analysis", drawn)
+    for key, rgb in drawn.items():
+        g = np.rint(rgb @ np.array([0.299, 0.587, 0.114]))
+        blocks = [(y, x, g[y : y + 8, x : x + 8]) for y in range(0, 48, 8) for x in range(0, 48, 8)]
+        dct = [slow_dct(b - 128) for _, _, b in blocks]
+        r = rows[key][0]
+        assert (r.block_rows, r.block_columns) == (6, 6)
+        assert list(r.unclipped) == [bool(b.max() < 255 and b.min() > 0) for _, _, b in blocks]
+        shares = slow_shares([0 if i == 0 else v for d in dct for i, v in enumerate(d.ravel())])
+        assert r.sac == pytest.approx(max(b - a for a, b in zip(shares, shares[1:])) if len(shares) > 1 else 0.0, abs=1e-6)
+        kept = [d for d, ok in zip(dct, r.unclipped) if ok]
+        for i in range(64):
+            steps = [q + 1 for q, s in enumerate(slow_shares([d.ravel()[i] for d in kept])) if s >= 0.7]
+            assert r.primary[i] == (max(steps) if steps else 0)
+
+
+def test_error_level_query_against_slow_pixels(spark, drawn):
+    rows = found_by(spark, "kr18_error_level", drawn)
+    for key, rgb in drawn.items():
+        again = kernels.recompressed(rgb, 75)
+        means = []
+        for a, b in zip(rgb.reshape(-1, 3), again.reshape(-1, 3)):
+            shown = []
+            for p, q in zip(a, b):
+                change = np.float32(np.sqrt(np.abs(np.float32(p) / np.float32(255) - np.float32(q) / np.float32(255)))) * np.float32(255) * np.float32(50 / 20)
+                level = int(min(max(change, 0), 255))
+                line = 255.0 * (level - 25) / (255 - 2 * 25)
+                shown.append(int(min(max(line, 0), 255)))
+            means.append(sum(shown) / 3)
+        got = rows[key][0]
+        assert got.ela_mean == pytest.approx(np.mean(means), abs=1e-2) and got.ela_std == pytest.approx(np.std(means), abs=1e-2)
+
+
+def test_pattern_query_against_windows(spark, drawn):
+    """Each window by itself: the mixture's shares, then the product of both spectra by their sums."""
+    rows = found_by(spark, "kr37_pattern_windows", drawn)
+    for key, rgb in list(drawn.items())[:1]:
+        assert sorted((r.y, r.x) for r in rows[key]) == [(0, 0), (0, 16), (16, 0), (16, 16)]
+        for r in rows[key]:
+            part = rgb[r.y : r.y + 32, r.x : r.x + 32] / 255.0
+            assert r.texture == pytest.approx(part[..., 1].var(), abs=1e-5)
+            for c, channel in enumerate("RGB"):
+                share, _ = kernels.interpolation_map(part[..., c])
+                pattern = np.ones((32, 32))
+                for i, name in enumerate("RGGB"):
+                    if name == channel:
+                        pattern[i // 2 :: 2, i % 2 :: 2] = 0
+                y, x = np.mgrid[0:32, 0:32]
+                # the pattern's spectrum is not 0 at four places alone
+                want = sum(abs((share * np.exp(-1j * np.pi * (u * y + v * x))).sum()) * abs((pattern * np.exp(-1j * np.pi * (u * y + v * x))).sum()) for u, v in ((0, 1), (1, 0), (1, 1)))
+                got = r[f"m_{channel.lower()}"]
+                assert np.isnan(got) if np.isnan(want) else got == pytest.approx(want, abs=0.05, rel=1e-4)

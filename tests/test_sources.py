@@ -97,3 +97,80 @@ def test_cancelled(spark):
     done = spark.createDataFrame([(1, "a", None, "fake")], "id int, model string, error string, prediction string")
     found = {(r.id, r.model): r.error_type for r in monitor.cancelled(grid, done, ["id", "model"]).collect()}
     assert found == {(1, "a"): None, (2, "a"): "cancelled", (1, "b"): "cancelled"}
+
+
+def test_caches_are_cleared_and_documents_saved_whole(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    rows = spark.createDataFrame([("a", "h", "p", "out", "completed", 1.0), ("b", "h", "p", "no", "error", 2.0)], "tool string, image_hash string, params string, output string, status string, written double")
+    writers.write_cache(rows, path)
+    writers.write_cache(rows, path)
+    assert writers.clear_cache(spark, path) == 2
+    assert readers.read_cache(spark, path).count() == 0
+    for n in (3, 1):
+        writers.save_whole(spark.range(n), f"{tmp_path}/doc")
+        assert spark.read.schema("id long").json(f"{tmp_path}/doc").count() == n
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["cache", "doc"]
+
+
+def test_appended_manifest(spark):
+    files = spark.createDataFrame([("b\\1.png", "fake"), ("a/2.png", "real"), ("c/3.png", "real")], "path string, label string")
+    held = spark.createDataFrame([("sample-000007", "a/2.png"), ("other", "x")], "id string, image string")
+    assert [tuple(r) for r in writers.appended_manifest(held, files).orderBy("id").collect()] == [("sample-000008", "b/1.png", "fake"), ("sample-000009", "c/3.png", "real")]
+    assert [r.id for r in writers.appended_manifest(held.limit(0), files.limit(1)).collect()] == ["sample-000001"]
+    assert writers.appended_manifest(held, files.limit(0)).count() == 0
+
+
+def test_evidence_of_odd_answers(spark):
+    from sieveline.functions import results
+
+    rows = [(1, {}), (2, None), (3, {"perform_ela": None, "x": "[1]", "y": '"text"', "z": ""}), (4, {"mine": 'see {"tool": "perform_trufor", "status": "completed", "manipulation_probability": "0.5"} end'})]
+    rows.append((5, {"detect_jpeg_quantization": '{"is_jpeg": false, "sac_score": null}', "perform_ela": '{"ela_anomaly_score": 1, "quality": 90}', "perform_ela2": '{"tool": "perform_ela", "error": "no"}'}))
+    df = spark.createDataFrame(rows, "k int, outputs map<string,string>")
+    found = {r.k: r for r in results.normalised(df, ["k"], "outputs").collect()}
+    assert all(found[k].summary_lines == found[k].caveats == found[k].parse_errors == [] and found[k].evidence == {} for k in (1, 2))
+    assert sorted(found[3].parse_errors) == ["perform_ela", "x", "y", "z"]
+    assert json.loads(found[3].evidence["x"]) == {"status": "unparsed", "raw_preview": "[1]"}
+    assert found[4].summary_lines == ["- perform_trufor: status=completed, manipulation_probability=0.500, detection_score=n/a"]
+    assert json.loads(found[4].evidence["mine"]) == {"status": "completed", "manipulation_probability": "0.5", "detection_score": None, "error": None}
+    assert "- detect_jpeg_quantization: status=unknown, is_jpeg=False, quality_estimate_primary=None, sac_score=n/a" in found[5].summary_lines
+    assert "- perform_ela: status=unknown, anomaly_score=1.000, quality=90" in found[5].summary_lines
+    assert set(found[5].caveats) == {results.NOT_JPEG, results.CAVEATS["perform_ela"]}
+
+
+def test_report_frames(spark, tmp_path):
+    from sieveline.plans import report
+
+    rows = records(spark, "/root/testdata/sf0.001")
+    frames = report.summary_frames(rows)
+    assert set(frames) == {"inventory", "configs", "paired_tests", "against_best", "tools", "tool_usage", "provenance"}
+    assert frames["configs"].count() == 10 and frames["provenance"].count() > 0
+    assert {"mcc", "accuracy_low", "coverage_high", "confidence_p95", "aurc", "latency_seconds_p99", "fingerprint", "vision_model"} <= set(frames["configs"].columns)
+    assert max(r["rank"] for r in frames["tool_usage"].collect()) <= report.TOP_TOOLS
+    report.write_summary(rows, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 7
+    assert report.markdown_report(rows).startswith("# Summary")
+
+
+def test_clients_errors_are_kept_whole_and_made_once(spark):
+    from sieveline.operators import external
+
+    def factory():
+        made = [0]
+
+        def client(x):
+            made[0] += 1
+            if x % 2:
+                raise ValueError("long " * 300 + str(x))
+            return f"{x}"
+
+        return client
+
+    df = spark.range(6).select(F.col("id").alias("k"))
+    found = {r.k: r for r in external.called(df, ["k"], ["k"], factory).collect()}
+    assert found[3].error == "long " * 300 + "3" and found[3].status == "error" and found[2].output == "2" and found[2].seconds >= 0
+    cached = spark.createDataFrame([(0, "kept", 0.5, "completed", None), (1, None, 0.1, "error", "old")], "k long, output string, seconds double, status string, error string")
+    again = {r.k: r.output for r in external.called_once(df, cached, ["k"], ["k"], factory).collect()}
+    assert again == {0: "kept", 1: None, 2: "2", 3: None, 4: "4", 5: None}
+    tools = {r.name: r.arguments for r in external.registry(spark).collect()}
+    assert len(tools) == 8 and tools["perform_ela"] == {"image_path": "string", "quality": "int"}
+    assert "json_spans" in external.register(spark)
