@@ -152,6 +152,25 @@ def error_level(pixels: DataFrame, keys: list[str], quality: int = 75, scale: fl
     return _mapped(pixels, keys, ["height", "width", "rgb"], LEVELS, kernel)
 
 
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def network_input(height: pd.Series, width: pd.Series, rgb: pd.Series) -> pd.Series:
+    """Pixels as a network reads them: values over 256, channel by channel; null for an image without pixels."""
+    return pd.Series([None if raw is None else (_plane(h, w, raw).transpose(2, 0, 1).ravel() / np.float32(256)).astype(np.float32) for h, w, raw in zip(height, width, rgb, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def map_png(height: pd.Series, width: pd.Series, values: pd.Series) -> pd.Series:
+    """A map of values from 0 to 1, by rows, as a grey PNG in base64; values beyond are clipped, null for a map of another size."""
+
+    def one(h: int, w: int, x) -> str | None:  # noqa: ANN001
+        if x is None or len(x) != h * w:
+            return None
+        grey = (np.clip(np.nan_to_num(np.asarray(x, np.float64)), 0, 1) * 255).astype(np.uint8).reshape(h, w)
+        return base64.b64encode(files.png(np.repeat(grey[..., None], 3, axis=2))).decode()
+
+    return pd.Series([one(h, w, x) for h, w, x in zip(height, width, values, strict=True)])
+
+
 def residuals(pixels: DataFrame, keys: list[str], denoise=kernels.smoothed) -> DataFrame:  # noqa: ANN001
     """Moments of the denoising residual; the denoiser is a function of a grey plane."""
     return _mapped(pixels, keys, ["height", "width", "rgb"], RESIDUALS, lambda h, w, rgb: kernels.residual_stats(kernels.grey(_plane(h, w, rgb)), denoise))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import inference, results
+from ..functions import inference, prompts, results
 from ..operators import arrays, distribution, external, images, metrics
 from ..session import table
 from .array_queries import LONG, WINDOWS, windows
@@ -228,3 +228,13 @@ def ud02_timed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = external.called(table(spark, sf_dir, "part"), ["p_partkey"], ["p_name", "p_size"], factory)
     return found.filter("seconds >= 0").select("p_partkey", "output", "status", "error")
+
+
+@query(
+    "SELECT conv_id, turn, replace(replace('" + prompts.AGENT.replace("'", "''") + "', '{path}', '/' || conv_id || '.png'), '{summary}', coalesce(text, '')) AS prompt, "
+    "replace('" + prompts.RETRY.replace("'", "''").replace("{summary}", "") + "', '{previous}', coalesce(text, '')) AS again FROM conversations"
+)
+def fn49_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit(".png"))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", prompts.agent_prompt(F.col("text"), path).alias("prompt"), prompts.retry_prompt(F.lit(None), F.col("text")).alias("again"))

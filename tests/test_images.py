@@ -396,3 +396,19 @@ def test_pattern_query_against_windows(spark, drawn):
                 want = sum(abs((share * np.exp(-1j * np.pi * (u * y + v * x))).sum()) * abs((pattern * np.exp(-1j * np.pi * (u * y + v * x))).sum()) for u, v in ((0, 1), (1, 0), (1, 1)))
                 got = r[f"m_{channel.lower()}"]
                 assert np.isnan(got) if np.isnan(want) else got == pytest.approx(want, abs=0.05, rel=1e-4)
+
+
+def test_network_input_and_map_png(spark, tmp_path):
+    import base64
+
+    x = picture(16, 24)
+    df = spark.createDataFrame([(1, 16, 24, x.tobytes()), (2, 16, 24, None)], "k int, height int, width int, rgb binary")
+    found = {r.k: r.v for r in df.select("k", images.network_input("height", "width", "rgb").alias("v")).collect()}
+    assert found[2] is None and np.allclose(np.array(found[1]).reshape(3, 16, 24), x.transpose(2, 0, 1) / 256)
+    values = [i / 383 for i in range(384)]
+    maps = spark.createDataFrame([(16, 24, values), (16, 24, values[:5]), (16, 24, None)], "height int, width int, v array<double>")
+    shown = [r.p for r in maps.select(images.map_png("height", "width", "v").alias("p")).collect()]
+    assert shown[1:] == [None, None]
+    (tmp_path / "m.png").write_bytes(base64.b64decode(shown[0]))
+    r = readers.read_pixels(spark, str(tmp_path)).first()
+    assert np.frombuffer(r.rgb, np.uint8).reshape(16, 24, 3)[..., 0].ravel().tolist() == [int(v * 255) for v in values]
