@@ -177,7 +177,9 @@ def draw(rows: DataFrame, weights: tuple[float, ...], most: float, share: float)
     state = _kept(state, few)
     while not state.filter("went AND below > 1").isEmpty():
         state = _kept(_round(rows, state, few), few)
-    return _kept(_nearest(rows, state, few), few), few
+    if not state.filter(F.col("rest") > SLACK * F.col("target")).isEmpty():
+        state = _kept(_nearest(rows, state, few), few)
+    return state, few
 
 
 def _joined(sources: DataFrame, more: DataFrame) -> DataFrame:
