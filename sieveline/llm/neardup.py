@@ -11,10 +11,11 @@ Candidates come from bands of ``WIDTH`` registers. Every class meets only one
 representative of each of its buckets, in rounds, each with an order of its own
 in which the first member represents, so the pairs grow with the classes and not
 with the squares of buckets. Buckets whose members are then in one component are
-done. Rounds go on while they close half of what is open. In the buckets that
-are left, and only there, members of different components are compared with each
-other, in blocks of bounded rows and bytes, so no link is lost to the choice of
-representatives. A pair is named by the first band that it shares alone.
+done. Rounds go on while a bucket is larger than a block and they close half of
+what is open. In the buckets that are left, and only there, members of different
+components are compared with each other, in blocks of bounded rows and bytes, so
+no link is lost to the choice of representatives. A pair is named by the first
+band that it shares alone.
 
 A pair's likeness is estimated by maximum likelihood from the counts of larger,
 smaller and equal registers and the two set sizes together; a pair well below the
@@ -363,8 +364,8 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     _let_go(docs)
 
     links, left, turn = None, members.withColumn("comp", F.col("node")), 0
-    before = n = members.count()
-    while n and (turn < ROUNDS or n <= before / 2):
+    before = n = largest = members.count()
+    while n and (turn < ROUNDS or (largest > ROWS and n <= before / 2)):
         if turn:
             first = F.xxhash64("node", F.lit(turn))
             heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("other"), F.any_value("n").alias("n"))
@@ -377,7 +378,8 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         if turn:
             tables.drop(f"open{turn - 1}")
         _let_go(docs)
-        before, n, turn = n, left.count(), turn + 1
+        before, turn = n, turn + 1
+        n, largest = left.agg(F.count("*"), F.max("n")).first()
     if n:
         links, found = _joined(links, crossed(left, classes, texts, total, k))
         _let_go(docs)
