@@ -174,3 +174,20 @@ def test_clients_errors_are_kept_whole_and_made_once(spark):
     tools = {r.name: r.arguments for r in external.registry(spark).collect()}
     assert len(tools) == 8 and tools["perform_ela"] == {"image_path": "string", "quality": "int"}
     assert "json_spans" in external.register(spark)
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from sieveline import session
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    tables = session.Tables(spark)
+    kept = tables.keep("a", spark.range(5))
+    assert kept.count() == 5 and tables.folder.startswith(session.shared_folder(spark))
+    tables.drop("a")
+    with pytest.raises(Exception, match="not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(f"{tables.folder}/a")
