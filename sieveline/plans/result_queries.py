@@ -9,6 +9,7 @@ from ..functions import results, text
 from ..operators import external
 from ..session import table
 from .bridge import oracle, records
+from .text_queries import _count
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +104,18 @@ def se05_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("event_id", F.size(results.caveats(F.concat(known, known))).alias("caveats"))
 
 
-@query()
+_answer = "lower(coalesce(text, '') || CASE conv_id % 5 WHEN 0 THEN ' Verdict: FAKE, confidence: 0.9' WHEN 1 THEN ' it looks genuine, 70%' WHEN 2 THEN ' synthetic, not real' WHEN 3 THEN ' authentic or tampered: 12 %' ELSE '' END)"
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN stated <> '' THEN stated WHEN fake > \"real\" THEN 'fake' WHEN \"real\" > fake THEN 'real' ELSE 'uncertain' END AS verdict, "
+    "CASE WHEN s <> '' THEN CAST(s AS DOUBLE) WHEN p <> '' THEN least(1.0, CAST(p AS DOUBLE) / 100) ELSE 0.5 END::DOUBLE AS confidence FROM ("
+    f"SELECT conv_id, turn, regexp_extract(t, 'verdict\\s*:\\s*(fake|real|uncertain)', 1) AS stated, {_count(text.FAKE_PATTERNS)} AS fake, {_count(text.REAL_PATTERNS)} AS \"real\", "
+    f"regexp_extract(t, 'confidence[:\\s]+([0-9.]+)', 1) AS s, regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS p FROM (SELECT conv_id, turn, {_answer} AS t FROM conversations))"
+)
 def ud09_structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return external.pluggable_verdicts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    """Turns of conversations with answers of five kinds at their ends."""
+    turn = F.col("conv_id") % 5
+    ends = (" Verdict: FAKE, confidence: 0.9", " it looks genuine, 70%", " synthetic, not real", " authentic or tampered: 12 %", "")
+    said = F.concat(F.coalesce("text", F.lit("")), F.get(F.array(*map(F.lit, ends)), turn.cast("int")))
+    return external.pluggable_verdicts(table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text")), ["conv_id", "turn"], "text")
