@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, html_text, language, media, mixing, neardup, quality, sketch, toxicity, urls
+from . import bpe, html_text, language, media, mixing, neardup, quality, sketch, toxicity, urls, variants
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_progressive_jpeg, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_progressive_jpeg, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language, op11_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.sql(), "op4_setsketch_dedup": neardup.sql(), "op8_url_vocabulary": urls.sql()}
+    return {"op1_mix_sources": mixing.sql(), "op4_setsketch_dedup": neardup.sql(), "op8_url_vocabulary": urls.sql(), "op11_spelling_variants": variants.sql()}
