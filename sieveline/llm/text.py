@@ -125,6 +125,13 @@ def words(block: Block) -> Words:
     return spans(block, (~SPACE[block.data]).astype(np.uint8))
 
 
+def spelled(data: np.ndarray, keep: np.ndarray, w: Words) -> pa.DictionaryArray:
+    """The words of spans that hold all bytes to keep and no others, numbered by their bytes."""
+    at = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.concatenate([at[w.start], at[w.end[-1:]]]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])]).dictionary_encode()
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, alike for equal bytes anywhere.
 
@@ -165,11 +172,7 @@ def exact_sets(block: Block, k: int) -> list[np.ndarray]:
     words is one shingle, filled up with a number that no word has.
     """
     w = words(block)
-    keep = ~SPACE[block.data]
-    packed, at = LOWER[block.data][keep], np.concatenate([[0], np.cumsum(keep)])
-    ends = np.concatenate([at[w.start], at[w.end[-1:]]]).astype(np.int64)
-    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-    number = spelled.dictionary_encode().indices.to_numpy().astype(np.uint64) + U64(1)
+    number = spelled(LOWER[block.data], ~SPACE[block.data], w).indices.to_numpy().astype(np.uint64) + U64(1)
     count = np.diff(w.before)
     room = np.where(count > 0, np.maximum(count, k), 0)
     first = np.concatenate([[0], np.cumsum(room)])

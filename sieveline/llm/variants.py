@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Tables
-from .text import LOWER, Block, blocks, spans, tidy
+from .text import LOWER, Block, blocks, spans, spelled, tidy
 
 #: A run whose hash this divides loses a code point.
 DAMAGED = 199
@@ -57,11 +57,9 @@ def counted(block: Block, ids: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     w = spans(block, kind.astype(np.uint8))
     if not len(w.start):
         return [], np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum(kind)])
-    ends = np.concatenate([at[w.start], at[w.end[-1:]]]).astype(np.int64)
-    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(ends), pa.py_buffer(data[kind])]).dictionary_encode()
-    names, m = spelled.dictionary.to_pylist(), len(spelled.dictionary)
-    own, n = np.unique(w.doc * m + spelled.indices.to_numpy(), return_counts=True)
+    runs = spelled(data, kind, w)
+    names, m = runs.dictionary.to_pylist(), len(runs.dictionary)
+    own, n = np.unique(w.doc * m + runs.indices.to_numpy(), return_counts=True)
     doc, word = np.divmod(own, m)
     heads = [zlib.crc32(i) for i in ids]
     crc = np.fromiter((zlib.crc32(names[j], heads[i]) for i, j in zip(doc.tolist(), word.tolist(), strict=True)), np.int64, len(own))
@@ -98,9 +96,9 @@ def part(letter: str, occurrence: int) -> int:
 
 def letter_rows(words: DataFrame) -> DataFrame:
     """letters (in order), size, bits, parts (a hash of each part), whole (of all) and words of every chunk of every multiset."""
-    spelled = words.withColumn("letters", F.array_join(F.array_sort(F.split("word", "")), ""))
-    sized = spelled.groupBy("letters").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    rows = spelled.join(sized, "letters").groupBy("letters", F.pmod(F.xxhash64("word"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    lettered = words.withColumn("letters", F.array_join(F.array_sort(F.split("word", "")), ""))
+    sized = lettered.groupBy("letters").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    rows = lettered.join(sized, "letters").groupBy("letters", F.pmod(F.xxhash64("word"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("word", "n")).alias("words"))
 
     def place(c: Column, i: Column) -> Column:
         k = i - F.instr(F.col("letters"), c) + 2
