@@ -7,10 +7,11 @@ sets are alike. Documents with one and the same sequence of words form a class
 first, by aggregation over a digest of the words, so that groups of exact copies
 cost one sketch.
 
-Candidates come from bands of ``WIDTH`` registers. Every class meets only one
-representative of each of its buckets, in rounds, each with an order of its own
-in which the first member represents, so the pairs grow with the classes and not
-with the squares of buckets. Buckets whose members are then in one component are
+Candidates come from bands of ``WIDTH`` registers. In a round every class meets
+one class alone: of the representatives of its buckets, that of most of them. A
+round has an order of its own in which the first member of a bucket represents,
+so its pairs are as many as the classes at most, and texts travel once a member
+and once a part of a representative's members. Buckets whose members are then in one component are
 done. Rounds go on while a bucket is larger than a block and they close half of
 what is open. In the buckets that are left, and only there, members of different
 components are compared with each other, in blocks of bounded rows and bytes, so
@@ -27,7 +28,8 @@ and the margin of the estimate is more than four standard errors.
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ MARGIN = 0.1
 #: Members of a bucket, and bytes of their texts, in each of the two blocks that are compared at once, on average; a longer text is a block's worth.
 ROWS = 1024
 BYTES = 8 << 20
+#: Bytes of members that are compared with their representative at once, at least.
+PIECE = 1 << 20
 
 _rng = np.random.default_rng(4)
 _FACTORS = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint64) * U64(2) + U64(1)).astype(np.uint32)
@@ -132,7 +136,12 @@ def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, n_bytes, class (digest of the words in their order) and registers of every row."""
+    """doc_id, n_shingles, n_bytes, class (digest of the words in their order) and sketch (registers) of every row."""
+    return sketched(docs, k, registers)
+
+
+def sketched(docs: DataFrame, k: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """doc_id, n_shingles, n_bytes, class and sketch of every row, as ``make`` makes it of a set of hashes."""
     kind = dict(docs.dtypes)["doc_id"]
 
     @tidy
@@ -146,15 +155,20 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.diff(block.offsets), pa.int64()),
                     pa.array(word_digests(block), pa.binary()),
-                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([make(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "n_bytes", "class", "registers"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "n_bytes", "class", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, n_bytes long, class binary, sketch binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, n_bytes long, class binary, registers binary")
 
+def _table(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, REGISTERS)
 
-def _table(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+def close_to(members: list[bytes], n: np.ndarray, head: bytes, head_n: int) -> np.ndarray:
+    table = _table(members)
+    return close(table, np.repeat(_table([head]), len(table), 0), n, np.full(len(n), head_n))
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -163,58 +177,115 @@ def banded(classes: DataFrame) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(_table(batch.column("registers")))
+            keys = band_keys(_table(batch.column("sketch").to_pylist()))
             nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
             bands = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(bands), pa.array(nodes)], ["key", "band", "node"])
 
-    return classes.select("node", "registers").mapInArrow(run, "key long, band byte, node long")
+    return classes.select("node", "sketch").mapInArrow(run, "key long, band byte, node long")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the joint estimate leaves."""
+def linked(x: np.ndarray, y: np.ndarray, of: int = OF) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return MANY * shared >= of * (len(x) + len(y) - shared)
 
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch[i : i + 4096] for i in range(0, len(batch), 4096)):
-                keep = close(_table(part.column("ra")), _table(part.column("rb")), part.column("na").to_numpy(), part.column("nb").to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
+def together(*columns: pa.Array) -> Block:
+    """All texts of some columns, one column after the other, as one block."""
+    return next(blocks(pa.chunked_array([c.cast(pa.large_string()) for c in columns], pa.large_string()), 1 << 62))
 
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
+class Method(NamedTuple):
+    """How classes meet and are compared: what near_components leaves to an operator.
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return MANY * shared >= OF * (len(x) + len(y) - shared)
+    ``keys`` gives key, band and node of every bucket of every class; ``close``
+    says which members (sketches, set sizes) may be linked with one more class;
+    ``partners`` compares the members of an open bucket. Links are sets of
+    ``k``-word shingles with MANY * shared >= ``of`` * (all of both).
+    """
 
+    k: int
+    of: int
+    keys: Callable[[DataFrame], DataFrame]
+    close: Callable[[list[bytes], np.ndarray, bytes, int], np.ndarray]
+    partners: Callable[[list[tuple]], list[tuple]]
 
-def together(*columns: pa.Array) -> Block:
-    """All texts of some columns, one column after the other, as one block."""
-    return next(blocks(pa.chunked_array([c.cast(pa.large_string()) for c in columns], pa.large_string()), 1 << 62))
 
+def chosen(left: DataFrame, turn: int, total: int) -> DataFrame:
+    """node and head: for each class the representative of most of its open buckets, one of another component.
+
+    A bucket is represented by its first member in an order of the round's own,
+    the same in all buckets, so near copies mostly have one and the same head.
+    """
+    first = F.xxhash64("node", F.lit(turn))
+    heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("other"), F.any_value("n").alias("n"))
+    met = joined(left, heads, "key", "node", total, counted=True).filter("comp <> other.comp").select("node", F.col("other.node").alias("head"))
+    times = met.repartition("node").groupBy("node", "head").agg(F.count("*").alias("times"))
+    return times.groupBy("node").agg(F.max_by("head", F.struct("times", "head")).alias("head"))
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose full sets of words are alike enough."""
-    left, right = (texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}")) for name in ("a", "b"))
+
+def led(pairs: DataFrame, values: DataFrame, columns: list[str], work: Callable, total: int) -> DataFrame:
+    """The pairs (node, head) that ``work`` keeps, which gets a head's row and its members' rows, some at a time.
+
+    Members of a head are dealt into parts of about ROWS, each of which gets the
+    head's row once, and every member travels once. A task reads a part as a
+    stream, and hands it on in pieces of bounded bytes.
+    """
+    counts = pairs.groupBy("head").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / ROWS).cast("int")
+    members = joined(pairs, counts, "head", "node", total).select("node", "head", F.pmod(F.xxhash64("node", F.lit(5)), parts).alias("part"), F.lit(1).alias("member"))
+    heads = counts.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("member"))
+    rows = members.unionByName(heads).join(values, "node").select("head", "part", "member", "node", *columns)
+    rows = rows.repartition("head", "part").sortWithinPartitions("head", "part", "member")
+    names = ["head", "part", "member", "node", *columns]
+
+    def kept(head: tuple, group: list[tuple]) -> pa.RecordBatch:
+        mask = work(head[4:], [row[4:] for row in group]) if group else []
+        keep = [row[3] for row, yes in zip(group, mask, strict=True) if yes]
+        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([head[3]] * len(keep), pa.int64())], ["node", "head"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, group, size = None, [], 0
         for batch in batches:
-            keep = []
-            for block in blocks(batch.column("ta")):
-                for other in blocks(batch.column("tb")[block.first : block.first + len(block)]):
-                    n, at = len(other), block.first + other.first
-                    sets = exact_sets(together(batch.column("ta")[at : at + n], batch.column("tb")[at : at + n]), k)
-                    keep += [linked(sets[i], sets[n + i]) for i in range(n)]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if not row[2]:
+                    if group:
+                        yield kept(head, group)
+                    head, group, size = row, [], 0
+                    continue
+                if head is None or row[:2] != head[:2]:
+                    raise RuntimeError(f"members of {row[0]} without their representative")
+                group.append(row)
+                size += len(row[-1])
+                if size >= PIECE:
+                    yield kept(head, group)
+                    group, size = [], 0
+        if group:
+            yield kept(head, group)
+
+    return rows.mapInArrow(run, "node long, head long")
+
+
+def estimated(pairs: DataFrame, classes: DataFrame, method: Method, total: int) -> DataFrame:
+    """The pairs (node, head) that the comparison of sketches leaves."""
+    close_to = method.close
+
+    def work(head: tuple, members: list[tuple]) -> np.ndarray:
+        return close_to([m[1] for m in members], np.array([m[0] for m in members], np.int64), head[1], head[0])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return led(pairs, classes.select("node", "n_shingles", "sketch"), ["n_shingles", "sketch"], work, total)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, method: Method, total: int) -> DataFrame:
+    """The pairs (node, head) whose full sets of words are alike enough."""
+    k, of = method.k, method.of
+
+    def work(head: tuple, members: list[tuple]) -> list[bool]:
+        sets = exact_sets(together(pa.array([head[0], *(m[0] for m in members)], pa.large_string())), k)
+        return [linked(sets[0], s, of) for s in sets[1:]]
+
+    return led(pairs, texts, ["text"], work, total)
 
 
 def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,7 +303,7 @@ def matched_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> Data
     return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, total: int, k: int = SHINGLE) -> DataFrame:
+def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, total: int, method: Method) -> DataFrame:
     """Links (a, b) between members of one bucket in different components, confirmed on the full sets.
 
     Members are dealt in blocks by a hash, as many as their rows and bytes ask
@@ -249,9 +320,9 @@ def crossed(open_members: DataFrame, classes: DataFrame, texts: DataFrame, total
     blocked = joined(sized, buckets, "key", "node", total, counted=True).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp")
-    rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
-    found = _grouped(rows, ["key", "i", "j", "band", "block", "node", "comp", "n_shingles", "registers"], _partners, "key long, i int, j int, node long, partners array<long>")
-    return _grouped(found.join(texts, "node"), ["key", "i", "j", "node", "partners", "text"], _confirmer(k), "a long, b long").distinct()
+    rows = dealt.join(classes.select("node", "n_shingles", "sketch"), "node")
+    found = _grouped(rows, ["key", "i", "j", "band", "block", "node", "comp", "n_shingles", "sketch"], method.partners, "key long, i int, j int, node long, partners array<long>")
+    return _grouped(found.join(texts, "node"), ["key", "i", "j", "node", "partners", "text"], _confirmer(method.k, method.of), "a long, b long").distinct()
 
 
 def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:  # noqa: ANN001
@@ -285,7 +356,7 @@ def _partners(group: list[tuple]) -> list[tuple]:
     """key, i, j, node and partners of every member of a group that has or is a partner."""
     key, i, j, band = group[0][:4]
     block, node, comp, n = (np.array([r[c] for r in group]) for c in (4, 5, 6, 7))
-    table = np.frombuffer(b"".join(r[8] for r in group), np.uint8).reshape(-1, REGISTERS)
+    table = _table([r[8] for r in group])
     least = (OF / MANY - 2 * MARGIN) * REGISTERS
     left, right = [], []
     for x in np.flatnonzero(block == i):
@@ -309,7 +380,7 @@ def _partners(group: list[tuple]) -> list[tuple]:
     return [(key, i, j, p, q) for p, q in partners.items()]
 
 
-def _confirmer(k: int):  # noqa: ANN202
+def _confirmer(k: int, of: int):  # noqa: ANN202
     def confirm(group: list[tuple]) -> list[tuple]:
         """Links of a group on full sets, without those between members that it has joined already."""
         sets = dict(zip((r[3] for r in group), exact_sets(together(pa.array([r[5] for r in group])), k), strict=True))
@@ -325,7 +396,7 @@ def _confirmer(k: int):  # noqa: ANN202
         for r in group:
             for q in r[4]:
                 x, y = root(r[3]), root(q)
-                if x != y and linked(sets[r[3]], sets[q]):
+                if x != y and linked(sets[r[3]], sets[q], of):
                     parent[x] = y
                     out.append((min(r[3], q), max(r[3], q)))
         return out
@@ -349,42 +420,45 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     own; those that share a component share its least id, and every row with that
     id is kept. Extra columns are left out; an empty table gives no rows.
     """
+    return linked_components(docs, sketches(docs, k), Method(k, OF, banded, close_to, _partners))
+
+
+def linked_components(docs: DataFrame, sketched_rows: DataFrame, method: Method) -> DataFrame:
+    """near_components by any method; every table of its own but the result's is dropped."""
     tables = Tables(docs.sparkSession)
-    rows = tables.keep("rows", sketches(docs, k))
+    rows = tables.keep("rows", sketched_rows)
     linkable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    one = (F.any_value(c).alias(c) for c in ("n_shingles", "n_bytes", "registers"))
+    one = (F.any_value(c).alias(c) for c in ("n_shingles", "n_bytes", "sketch"))
     classes = linkable.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), *one)
     classes = tables.keep("classes", classes.withColumn("node", F.monotonically_increasing_id()))
 
-    bands = banded(classes)
-    total = BANDS * classes.count()
-    heads = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    members = tables.keep("members", joined(bands, heads, "key", "node", total))
+    keys = method.keys(classes)
+    total = sum(keys.agg(F.count("*")).first())
+    heads = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = tables.keep("members", joined(keys, heads, "key", "node", total))
     texts = tables.keep("texts", matched_texts(docs, classes, members.select("node").distinct()))
     _let_go(docs)
 
     links, left, turn = None, members.withColumn("comp", F.col("node")), 0
     before = n = largest = members.count()
     while n and (turn < ROUNDS or (largest > ROWS and n <= before / 2)):
-        if turn:
-            first = F.xxhash64("node", F.lit(turn))
-            heads = left.groupBy("key").agg(F.min_by(F.struct("node", "comp"), first).alias("other"), F.any_value("n").alias("n"))
-            pairs = joined(left, heads, "key", "node", total, counted=True).filter("comp <> other.comp").select("node", F.col("other.node").alias("head"))
-        else:
-            pairs = members.filter("node <> head").select("node", "head")
-        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        links, found = _joined(links, confirmed(estimated(pairs, classes), texts, k))
+        pairs = tables.keep(f"pairs{turn}", chosen(left, turn, total))
+        near = tables.keep(f"near{turn}", estimated(pairs, classes, method, pairs.count()))
+        new = confirmed(near, texts, method, near.count()).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+        links, found = _joined(links, new)
         left = tables.keep(f"open{turn}", still_open(members, found, total))
-        if turn:
-            tables.drop(f"open{turn - 1}")
+        for name in (f"pairs{turn}", f"near{turn}", *([f"open{turn - 1}"] if turn else [])):
+            tables.drop(name)
         _let_go(docs)
         before, turn = n, turn + 1
         n, largest = left.agg(F.count("*"), F.max("n")).first()
     if n:
-        links, found = _joined(links, crossed(left, classes, texts, total, k))
-        _let_go(docs)
+        links, found = _joined(links, crossed(left, classes, texts, total, method))
     elif not turn:
-        found = links = docs.sparkSession.createDataFrame([], "node long, component long")
+        found = docs.sparkSession.createDataFrame([], "node long, component long")
+    for name in ("members", "texts", *([f"open{turn - 1}"] if turn else [])):
+        tables.drop(name)
+    _let_go(docs)
 
     own = classes.select("class", "node", "least", "rows").join(found, "node", "left")
     own = own.select("class", "node", "least", "rows", F.coalesce("component", "node").alias("comp"))
@@ -394,7 +468,10 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     in_class = joined(out.filter("class IS NOT NULL"), named, "class", "doc_id", rows.count()).select("doc_id", "n_shingles", "component_id")
     alone = out.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return in_class.unionByName(alone).withColumn("kept", kept)
+    result = tables.keep("result", in_class.unionByName(alone).withColumn("kept", kept))
+    tables.drop("rows")
+    tables.drop("classes")
+    return result
 
 
 def _let_go(df: DataFrame) -> None:
@@ -414,7 +491,7 @@ def _joined(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFra
     return found.select(F.col("node").alias("a"), F.col("component").alias("b")), found
 
 
-def sql() -> str:
+def sql(of: int = OF, kept: bool = True) -> str:
     """DuckDB SQL of the query, over all pairs that share a shingle."""
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -422,8 +499,8 @@ s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGL
     ELSE list_distinct(list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' '))) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {MANY} * k >= {OF} * (x.n + y.n - k)),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {MANY} * k >= {of} * (x.n + y.n - k)),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = c)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id{', m.c = d.doc_id AS kept' if kept else ''}
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id"""
