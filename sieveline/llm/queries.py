@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, html_text, language, lexical, media, mixing, neardup, quality, sketch, toxicity, urls, variants
+from . import bpe, html_text, language, lexical, media, mixing, neardup, ngram_join, quality, sketch, toxicity, urls, variants
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_progressive_jpeg, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language, op11_spelling_variants, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_progressive_jpeg, op3_scaled_sketch, op4_setsketch_dedup, op5_quality, op6_toxicity, op7_byte_bpe, op8_url_vocabulary, op9_main_text, op10_language, op11_spelling_variants, op12_count_vector_join, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.sql(), "op4_setsketch_dedup": neardup.sql(), "op8_url_vocabulary": urls.sql(), "op11_spelling_variants": variants.sql(), "op13_lexical_search": lexical.sql()}
+    return {"op1_mix_sources": mixing.sql(), "op4_setsketch_dedup": neardup.sql(), "op8_url_vocabulary": urls.sql(), "op11_spelling_variants": variants.sql(), "op12_count_vector_join": ngram_join.sql(), "op13_lexical_search": lexical.sql()}

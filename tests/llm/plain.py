@@ -76,7 +76,7 @@ def word_sets(text, k=4):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
-def brute(rows, k=4):
+def brute(rows, k=4, of=80):
     sets = [word_sets(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -90,7 +90,7 @@ def brute(rows, k=4):
             if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
                 continue
             both = len(sets[i] & sets[j])
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= of * (len(sets[i]) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
     least = {}
     for i, (key, _) in enumerate(rows):
