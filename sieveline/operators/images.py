@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from ..functions import image_bytes as files
 from ..functions import image_kernels as kernels
-from .ranking import sliding_windows
 
 METADATA = "status string, error string, format string, bytes long, exif map<string,string>, tag_count int, xmp string, icc_bytes int, icc_description string, credential_hints array<string>"
 TABLES = "status string, error string, luma array<int>, quality int, quality_error double, exact boolean"
@@ -177,16 +176,31 @@ def residuals(pixels: DataFrame, keys: list[str], denoise=kernels.smoothed) -> D
 
 
 def windowed(pixels: DataFrame, keys: list[str], window: int = 256) -> DataFrame:
-    """A row for each half-overlapping window of an image, with its pixels; a smaller image is one window."""
-    placed = sliding_windows(pixels, "height", "width", window)
+    """A row for each half-overlapping window of an image, with its pixels; a smaller image is one window.
 
-    @F.pandas_udf(T.BinaryType())
-    def cut(h: pd.Series, w: pd.Series, y: pd.Series, x: pd.Series, rgb: pd.Series) -> pd.Series:
-        return pd.Series([_plane(a, b, raw)[c : c + window, d : d + window].tobytes() if a >= window and b >= window else raw for a, b, c, d, raw in zip(h, w, y, x, rgb, strict=True)])
+    Each image is handed to Python once and read window by window, so what moves
+    is the image and its windows, whatever their number.
+    """
+    kinds, stride = dict(pixels.dtypes), max(1, window // 2)
 
-    fits = (F.col("height") >= window) & (F.col("width") >= window)
-    own = {"win_h": F.when(fits, window).otherwise(F.col("height")), "win_w": F.when(fits, window).otherwise(F.col("width"))}
-    return placed.withColumn("win", cut("height", "width", "y", "x", "rgb")).withColumns(own).select(*keys, "y", "x", "win_h", "win_w", "win")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                own, raw = {k: row[k] for k in keys}, row["rgb"]
+                if raw is None:
+                    yield pd.DataFrame([own | {"y": 0, "x": 0, "win_h": None, "win_w": None, "win": None}], dtype=object)
+                    continue
+                h, w = int(row["height"]), int(row["width"])
+                if window > h or window > w:
+                    yield pd.DataFrame([own | {"y": 0, "x": 0, "win_h": h, "win_w": w, "win": raw}], dtype=object)
+                    continue
+                plane = _plane(h, w, raw)
+                for y in range(0, h - window + 1, stride):
+                    line = [own | {"y": y, "x": x, "win_h": window, "win_w": window, "win": plane[y : y + window, x : x + window].tobytes()} for x in range(0, w - window + 1, stride)]
+                    yield pd.DataFrame(line, dtype=object)
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "y int, x int, win_h int, win_w int, win binary"])
+    return pixels.select(*keys, "height", "width", "rgb").mapInPandas(run, schema)
 
 
 def pattern_windows(pixels: DataFrame, keys: list[str], window: int = 256, pattern: str = "RGGB", rounds: int = 50) -> DataFrame:

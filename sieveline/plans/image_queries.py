@@ -1,4 +1,4 @@
-"""Queries of image and streaming operators: rows only, checked by tests against brute force."""
+"""Queries of image operators; those without an oracle are checked by tests against brute force."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import images
+from ..operators import images, tiles
 from ..session import table
 
 QUERIES: dict = {}
@@ -20,8 +20,8 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
-def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An RGB image for each embedding: its values as an 8 x 8 pattern, enlarged, with a filter pattern on top."""
+def pictures(spark: SparkSession, sf_dir: str, grey: bool = False) -> DataFrame:
+    """An RGB image for each embedding: its values as an 8 x 8 pattern, enlarged, with a filter pattern on top; in grey if asked."""
 
     @F.pandas_udf(T.BinaryType())
     def drawn(values: pd.Series) -> pd.Series:
@@ -31,7 +31,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
             x = np.asarray(v, np.float64)[:64].reshape(8, 8)
             big = np.kron(x, np.ones((SIDE // 8, SIDE // 8))) * 200 + 128
             wave = np.add.outer(np.arange(SIDE), np.arange(SIDE)) % 7
-            return np.clip(np.stack([big + wave, big - wave, big.T + wave], 2), 0, 255).astype(np.uint8).tobytes()
+            return np.clip(np.stack([big + wave] * 3 if grey else [big + wave, big - wave, big.T + wave], 2), 0, 255).astype(np.uint8).tobytes()
 
         return values.map(one)
 
@@ -43,6 +43,21 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+GREY = f"""px AS (SELECT vec_id, i, j, floor(least(greatest(embedding[1 + (i // {SIDE // 8}) * 8 + j // {SIDE // 8}]::DOUBLE * 200 + 128 + (i + j) % 7, 0), 255)) AS g FROM embeddings, range({SIDE}) a(i), range({SIDE}) b(j))"""
+BLUR = f"""k AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS weight FROM range(-3, 4) t(k)),
+down AS (SELECT p.vec_id, p.i, p.j, any_value(p.g) AS g, sum(weight * q.g) AS s FROM px p CROSS JOIN k JOIN px q ON q.vec_id = p.vec_id AND q.j = p.j AND q.i = least(greatest(p.i + k, 0), {SIDE - 1}) GROUP BY ALL),
+res AS (SELECT p.vec_id, p.i, p.j, any_value(p.g) - sum(weight * q.s) AS r FROM down p CROSS JOIN k JOIN down q ON q.vec_id = p.vec_id AND q.i = p.i AND q.j = least(greatest(p.j + k, 0), {SIDE - 1}) GROUP BY ALL)"""
+ORACLES["kr25_tiled_residuals"] = f"""WITH {GREY}, {BLUR}, m AS (SELECT vec_id, count(*) AS n, avg(r) AS mean, stddev_pop(r) AS std, avg(r * r) AS energy, avg(abs(r)) AS abs_mean, stddev_pop(abs(r)) AS abs_std, quantile_cont(abs(r), 0.95) AS abs_p95 FROM res GROUP BY vec_id),
+z AS (SELECT vec_id, avg(pow((r - mean) / std, 3)) AS skew, avg(pow((r - mean) / std, 4)) - 3 AS kurtosis FROM res JOIN m USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, 'completed' AS status, n, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean', 'std', 'skew', 'kurtosis', 'energy', 'abs_mean', 'abs_std', 'abs_p95'))} FROM m JOIN z USING (vec_id)"""
+
+
+@query
+def kr25_tiled_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 24 pixels with a halo of 6, of which 3 are shared with the neighbours: 16 tiles an image."""
+    return _rounded(tiles.tiled_residuals(pictures(spark, sf_dir, grey=True), ["vec_id"], side=24, halo=6, shared=3).drop("error"))
+
+
 @query
 def kr23_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(images.frequency(pictures(spark, sf_dir), ["vec_id"]))
