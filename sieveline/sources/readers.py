@@ -98,7 +98,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Expert reviews of a progress document, a row for each sample."""
     one = "struct<reasoning_quality:int,reasoning_valid:boolean,tool_interpretation_correct:boolean,fabrication_suspected:boolean,verdict_agree:boolean,expert_verdict:string,notes:string,timestamp:string>"
-    docs = spark.read.text(path, wholetext=True)
+    from .writers import current
+
+    docs = spark.read.text(current(spark, path), wholetext=True)
     return docs.select(F.explode(F.from_json(F.get_json_object("value", "$.evaluations"), f"map<string,{one}>")).alias("sample_key", "r")).select("sample_key", "r.*")
 
 
@@ -136,6 +138,7 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def byte_prefix(content, n: int):  # noqa: ANN001, ANN201
+    """The first bytes of content that is read already; ``prefixes.read_prefixes`` reads no more than them."""
     return F.substring(content, 1, n)
 
 

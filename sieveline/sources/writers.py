@@ -61,15 +61,70 @@ def clear_cache(spark: SparkSession, path: str) -> int:
     return n
 
 
+#: Published versions of a document that stay for readers that hold one.
+VERSIONS = 8
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[object, object, list[tuple[int, str]]]:
+    """File system and folder of a document, and its published versions (number, id), the last one last."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    parts = [n.split("-") for n in names if n.startswith("_current-")]
+    return files, folder, sorted((int(p[1]), p[2]) for p in parts)
+
+
 def save_whole(df: DataFrame, path: str) -> None:
-    """A document written beside its place and then moved there, so readers see the old or the new one whole."""
-    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    target, beside = folder(path), folder(f"{path}.{uuid.uuid4().hex}")
+    """A document at a plain path, for readers that know nothing of versions.
+
+    The old one is moved aside, not deleted, until the new one is in its place, so
+    a crash loses neither; a reader may see nothing for that moment. ``publish``
+    has no such moment.
+    """
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    target, beside, aside = place(path), place(f"{path}.{uuid.uuid4().hex}"), place(f"{path}.{uuid.uuid4().hex}.old")
     files = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
     df.write.json(beside.toString())
-    files.delete(target, True)
+    held = files.exists(target)
+    if held and not files.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not files.rename(beside, target):
+        if held:
+            files.rename(aside, target)
         raise OSError(f"{beside} could not be moved to {path}")
+    files.delete(aside, True)
+
+
+def publish(df: DataFrame, path: str, versions: int = VERSIONS) -> None:
+    """A document replaced in two phases: its rows are written apart, then an empty marker publishes them.
+
+    The marker is one file that is created last and never changed, so readers
+    (``current``) see the version before or this one, whole. A write that fails
+    takes its rows away and leaves the version before. The last ``versions`` stay
+    for readers that hold one.
+    """
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    own = uuid.uuid4().hex
+    rows = place(f"{path}/_rows-{own}")
+    files = rows.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.json(rows.toString())
+    except Exception:
+        files.delete(rows, True)
+        raise
+    published = _versions(spark, path)[2]
+    number = published[-1][0] + 1 if published else 0
+    files.create(place(f"{path}/_current-{number:012d}-{own}"), False).close()
+    for n, old in published[: max(0, len(published) + 1 - max(1, versions))]:
+        files.delete(place(f"{path}/_current-{n:012d}-{old}"), True)
+        files.delete(place(f"{path}/_rows-{old}"), True)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of a document's last published version; the path itself for one that was never saved so."""
+    published = _versions(spark, path)[2]
+    return f"{path}/_rows-{published[-1][1]}" if published else path
 
 
 def cache_stats(cache: DataFrame) -> DataFrame:
