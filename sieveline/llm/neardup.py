@@ -12,8 +12,8 @@ one class alone: of the representatives of its buckets, that of most of them. A
 round has an order of its own in which the first member of a bucket represents,
 so its pairs are as many as the classes at most, and texts travel once a member
 and once a part of a representative's members. Buckets whose members are then in one component are
-done. After the first, rounds go on while a bucket is larger than a block and,
-beyond ``ROUNDS``, they close half of what is open. In the buckets that are left, and only there, members of different
+done. After the first, rounds go on while a bucket is larger than a block and
+they close half of what is open. In the buckets that are left, and only there, members of different
 components are compared with each other, in blocks of bounded rows and bytes, so
 no link is lost to the choice of representatives. A pair is named by the first
 band that it shares alone.
@@ -44,8 +44,8 @@ from .text import U64, Block, blocks, exact_sets, mix, shingles, tidy, word_dige
 REGISTERS = 320
 #: Ratio of neighbouring values: registers of sets of up to a thousand million shingles fit in a byte.
 SPACING = 1.1
-#: Rounds of representatives, at least, while a bucket is larger than a block.
-ROUNDS = 3
+#: Rounds of representatives at most; what they leave open is compared in blocks.
+ROUNDS = 16
 RATE = 20.0
 BANDS, WIDTH = 48, 5
 SHINGLE = 4
@@ -441,7 +441,7 @@ def linked_components(docs: DataFrame, sketched_rows: DataFrame, method: Method)
 
     links, left, turn = None, members.withColumn("comp", F.col("node")), 0
     before = n = largest = members.count()
-    while n and (not turn or (largest > ROWS and (turn < ROUNDS or n <= before / 2))):
+    while n and turn < ROUNDS and (not turn or (largest > ROWS and n <= before / 2)):
         pairs = tables.keep(f"pairs{turn}", chosen(left, turn, total))
         near = tables.keep(f"near{turn}", estimated(pairs, classes, method, pairs.count()))
         new = confirmed(near, texts, method, near.count()).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))

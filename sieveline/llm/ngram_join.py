@@ -179,14 +179,14 @@ def partners(group: list[tuple], of: int) -> list[tuple]:
     vectors = [counts_of(r[8]) for r in group]
     groups = min(len(v) for v in vectors)
     table = np.array([folded(v, groups) if v.max() < MOST else np.full(groups, MOST) for v in vectors])
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    kinds, times = np.unique(comp, return_counts=True)
+    most = comp == kinds[times.argmax()]  # those of the largest component are not compared with each other
     found: dict[int, list[int]] = {}
     names = {}
-    for a, others in tree_pairs(table[left], n[left], table[right], n[right], of) if len(left) and len(right) else ():
-        x = left[a]
-        y = right[others]
-        y = y[(comp[y] != comp[x]) & ((node[y] > node[x]) | (i != j))]
-        for q in y:
+    sides = [(np.flatnonzero((block == i) & ~most), np.flatnonzero(block == j)), (np.flatnonzero((block == i) & most), np.flatnonzero((block == j) & ~most))]
+    met = ((left[a], right[others]) for left, right in sides if len(left) and len(right) for a, others in tree_pairs(table[left], n[left], table[right], n[right], of))
+    for x, y in met:
+        for q in y[(comp[y] != comp[x]) & ((node[y] > node[x]) | (i != j))]:
             own, other = (names.setdefault(z, keys_of(group[z][8])) for z in (x, q))
             if np.intersect1d(own, other, assume_unique=True)[:1].view(np.int64) == key:
                 found.setdefault(int(node[x]), []).append(int(node[q]))

@@ -85,3 +85,26 @@ def test_a_round_makes_one_pair_a_class(spark):
         pairs = neardup.chosen(members, 0, keys.count()).collect()
         assert len(pairs) == len({r.node for r in pairs}) <= 1500
         assert len({r.head for r in pairs}) < 30
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_in_few_and_in_many_tasks(spark, monkeypatch, few):
+    from sieveline.llm import components as stars
+
+    monkeypatch.setattr(stars, "FEW", few)
+    monkeypatch.setattr(stars, "EACH", 100)
+    rng = random.Random(9)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1100)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(7, 7), (300, 0)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    found = {r.node: r.component for r in stars.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: root(x) for x in list(parent)}
