@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import array_queries, evidence_queries, image_queries, metric_queries, result_queries, text_queries
+from .plans import array_queries, call_queries, evidence_queries, image_queries, metric_queries, result_queries, text_queries
 
-MODULES = (metric_queries, text_queries, array_queries, image_queries, result_queries, evidence_queries)
+MODULES = (metric_queries, text_queries, array_queries, image_queries, result_queries, evidence_queries, call_queries)
 FLAGSHIP = "ag01_confusion_metrics"
 
 

@@ -106,6 +106,16 @@ def canonical_params(c: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
 
 
+def canonical_json(c: Column) -> Column:
+    """JSON text of any depth in one form: keys in order, no blanks, escapes and numbers as the engine writes them; null for no JSON.
+
+    Numbers that are equal and have no exponent, or are whole and short with one,
+    are written alike: 1, 1.0 and 1e0 are 1.
+    """
+    whole = r'("(?:[^"\\]++|\\.)*+")|(-?\d++)\.0(?![0-9E])'
+    return F.regexp_replace(F.to_json(strict_json(c)), whole, "$1$2")
+
+
 def fixed(c: Column, digits: int) -> Column:
     """A number with so many digits, rounded on its exact binary value.
 

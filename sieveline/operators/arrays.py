@@ -103,6 +103,40 @@ def consistency(df: DataFrame, by: list[str], log_m: str, variance: str, flat_be
     return scored.withColumn("consistency", F.when(F.col("n_textured") >= 2, value))
 
 
+def weighted_pooling(df: DataFrame, by: list[str], value: str, log_weight: str | None = None) -> DataFrame:
+    """Soft minimum, soft maximum, mean and mean square of each group, under weights that sum to one.
+
+    With weights w, the soft maximum is log(sum of w exp(x)), the soft minimum
+    -log(sum of w exp(-x)). A sum of exponentials is kept as partial sums by the
+    whole part of the exponent, each scaled by it, so nothing overflows and
+    partial sums combine map-side; a group's few sums are then scaled to its
+    largest. Values that are null or not finite, and weights of zero, count for
+    nothing; a group without any other is not in the result.
+    """
+    x = F.col(value).cast("double")
+    lw = F.lit(0.0) if log_weight is None else F.coalesce(F.col(log_weight).cast("double"), F.lit(0.0))
+    rows = df.select(*by, x.alias("_x"), lw.alias("_w")).filter(finite("_x") & finite("_w"))
+
+    def term(name: str, exponent: Column) -> Column:
+        scaled = F.exp(exponent - F.floor(exponent))
+        return F.struct(F.lit(name).alias("name"), F.floor(exponent).alias("whole"), scaled.alias("s"), (scaled * F.col("_x")).alias("s1"), (scaled * F.col("_x") ** 2).alias("s2"))
+
+    terms = rows.select(*by, F.explode(F.array(term("w", F.col("_w")), term("max", F.col("_w") + F.col("_x")), term("min", F.col("_w") - F.col("_x")))).alias("t"))
+    part = terms.groupBy(*by, F.col("t.name").alias("name"), F.col("t.whole").alias("whole")).agg(*(F.sum(f"t.{c}").alias(c) for c in ("s", "s1", "s2")))
+    down = F.exp((F.col("whole") - F.max("whole").over(Window.partitionBy(*by, "name"))).cast("double"))
+    part = part.withColumns({"top": F.max("whole").over(Window.partitionBy(*by, "name")), **{c: F.col(c) * down for c in ("s", "s1", "s2")}})
+    sums = part.groupBy(*by, "name").agg(F.any_value("top").alias("top"), *(F.sum(c).alias(c) for c in ("s", "s1", "s2")))
+
+    def of(name: str, c: Column) -> Column:
+        return F.max(F.when(F.col("name") == name, c))
+
+    log_sum = F.ln("s") + F.col("top")
+    return sums.groupBy(*by).agg(
+        (of("w", log_sum) - of("min", log_sum)).alias("soft_min"), (of("max", log_sum) - of("w", log_sum)).alias("soft_max"),
+        of("w", F.col("s1") / F.col("s")).alias("mean"), of("w", F.col("s2") / F.col("s")).alias("mean_square"),
+    )
+
+
 def scaled_table(quality: Column) -> Column:
     """The luminance table of a quality from 1 to 100, scaled as the usual encoders do."""
     scale = F.when(quality < 50, 5000.0 / quality).otherwise(200.0 - quality * 2)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.inference import ratio
 from .metrics import CONFIG, abstained, failed
@@ -145,13 +150,42 @@ def top_tools(records: DataFrame, k: int = 15) -> DataFrame:
 def fingerprint(records: DataFrame, by: tuple[str, ...] = CONFIG, key: str = "sample_id") -> DataFrame:
     """What a group's data set is: rows, distinct ids, a hash of the sorted ids, the first ten.
 
-    The hash is of all ids in one text, so each group's ids are gathered; a group
-    is the data set of one run, whose ids a task can hold.
+    The hash is of all ids in one text. A group's ids are sorted by the engine,
+    which spills, and run through one hash in a task that holds a batch of them
+    at a time; nothing else of a row travels.
     """
-    ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
-    found = records.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_ids"), ids.alias("ids"))
-    digest = F.substring(F.sha2(F.array_join("ids", "\n"), 256), 1, 16)
-    return found.select(*by, "n", "n_ids", digest.alias("fingerprint"), F.array_join(F.slice("ids", 1, 10), ",").alias("first_ids"))
+    kinds = dict(records.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n long, n_ids long, fingerprint string, first_ids string"])
+    form = to_arrow_schema(records.sparkSession.createDataFrame([], schema).schema)
+    rows = records.select(*by, F.col(key).cast("string").alias("_id"))
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "_id") if by else rows.coalesce(1).sortWithinPartitions("_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+
+        def made(s: list) -> pa.RecordBatch:
+            group, n, distinct, digest, first, _ = s
+            return pa.RecordBatch.from_pylist([{**dict(zip(by, group, strict=True)), "n": n, "n_ids": distinct, "fingerprint": digest.hexdigest()[:16], "first_ids": ",".join(first)}], form)
+
+        for batch in batches:
+            for *group, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or state[0] != group:
+                    if state:
+                        yield made(state)
+                    state = [group, 0, 0, hashlib.sha256(), [], None]
+                state[1] += 1
+                if i is None:
+                    continue
+                state[3].update((i if state[5] is None else "\n" + i).encode())
+                if i != state[5]:
+                    state[2] += 1
+                if len(state[4]) < 10:
+                    state[4].append(i)
+                state[5] = i
+        if state:
+            yield made(state)
+
+    return rows.mapInArrow(run, schema)
 
 
 def provenance(records: DataFrame, by: tuple[str, ...] = CONFIG, k: int = 5) -> DataFrame:

@@ -192,3 +192,18 @@ def kr38_texture_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def so04_dataset_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.ranked(table(spark, sf_dir, "orders"), ["o_orderstatus"], [F.desc("o_totalprice"), F.col("o_orderkey")], "r").filter("r <= 25")
     return rows.orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey").select("o_orderstatus", "o_orderkey", "o_totalprice")
+
+
+POOLED = "x AS (SELECT label, i, v * 1000 AS v, (vec_id % 13) / 2.0 AS lw FROM l JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id))"
+
+
+@query(f"""WITH {LONG}, {POOLED}, m AS (SELECT *, max(lw) OVER g AS mw, max(lw + v) OVER g AS mx, max(lw - v) OVER g AS mn FROM x WINDOW g AS (PARTITION BY label, i)),
+s AS (SELECT label, i, ln(sum(exp(lw - mw))) + any_value(mw) AS w, ln(sum(exp(lw + v - mx))) + any_value(mx) AS x, ln(sum(exp(lw - v - mn))) + any_value(mn) AS n,
+    sum(exp(lw - mw) * v) / sum(exp(lw - mw)) AS mean, sum(exp(lw - mw) * v * v) / sum(exp(lw - mw)) AS msq FROM m GROUP BY label, i)
+SELECT label, i, round(w - n, 5) AS soft_min, round(x - w, 5) AS soft_max, round(mean, 5) AS mean, round(msq, 2) AS mean_square FROM s""")
+def kr30_weighted_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each place of the embeddings by label, times a thousand: exponentials of which overflow by themselves."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    rows = long_form(spark, sf_dir).join(labels, "vec_id").selectExpr("label", "i", "v * 1000 AS v", "(vec_id % 13) / 2.0D AS lw")
+    found = arrays.weighted_pooling(rows, ["label", "i"], "v", "lw")
+    return found.select("label", "i", *(F.round(c, 5).alias(c) for c in ("soft_min", "soft_max", "mean")), F.round("mean_square", 2).alias("mean_square"))
