@@ -49,7 +49,7 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 #: Elements that never hold the article; and elements, roles and words of class and id that seldom do.
-LEFT_OUT = frozenset("nav footer aside dialog button select datalist svg math object canvas audio video menu".split())
+LEFT_OUT = frozenset("nav footer aside dialog button select datalist svg annotation object canvas audio video menu".split())
 FORMS = frozenset({"form", "fieldset"})
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 WORDS = re.compile(
@@ -111,6 +111,11 @@ def named(tag: str, attributes: str, inside_article: bool) -> str:
     return ""
 
 
+def sharp(name: str) -> bool:
+    """Whether a name is that of an advert, a comment or the like."""
+    return any(SHARP.fullmatch(w) for w in re.split(r"[^a-z0-9]+", name))
+
+
 class TagEnds:
     """Where tags end on one page, quotes minded: found once for all of its quotes and brackets."""
 
@@ -141,26 +146,36 @@ class Tree:
     """Nodes as parallel lists, and the blocks of text with the node that holds each."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.out, self.name, self.holder = ["#root"], [-1], [False], [""], [0]
+        self.tag, self.parent, self.out, self.name, self.holder, self.side = ["#root"], [-1], [False], [""], [0], [0]
         self.blocks: list[tuple[int, str, int, int]] = []  # node, text, characters in links, innermost element
-        self._stack, self._text, self._linked, self._links, self._articles = [0], [], 0, 0, 0
+        self._stack, self._links, self._articles = [0], 0, 0
+        self._text: list[tuple[int, str, int]] = []  # named element within the line or 0, text, characters in links
         self._depths: dict[str, list[int]] = {}  # places on the stack of the open elements of each tag
         self._read(html)
 
     def _add(self, raw: str) -> None:
-        text = unescape(raw) if "&" in raw else raw
-        self._text.append(text)
-        if self._links:
-            self._linked += len("".join(text.split()))
+        top = self._stack[-1]
+        if not self.out[top]:
+            text = unescape(raw) if "&" in raw else raw
+            self._text.append((self.side[top], text, len("".join(text.split())) if self._links else 0))
 
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join("".join(self._text).split())
+        """The block so far: one text, and apart from it what stands in named elements at its end, or in adverts.
+
+        What is named otherwise and has text after it in the block is part of its
+        sentence.
+        """
+        parts, self._text = self._text, []
+        last = max((i for i, (side, text, _) in enumerate(parts) if not side and text.strip()), default=-1)
+        whole: dict[int, list[tuple[str, int]]] = {}
+        for i, (side, text, links) in enumerate(parts):
+            within = not side or (i < last and not sharp(self.name[side]))
+            whole.setdefault(0 if within else side, []).append((text, links))
+        top = self._stack[-1]
+        for side in sorted(whole):
+            text = " ".join("".join(t for t, _ in whole[side]).split())
             if text:
-                top = self._stack[-1]
-                if not self.out[top]:
-                    self.blocks.append((self.holder[top], text, self._linked, top))
-            self._text, self._linked = [], 0
+                self.blocks.append((self.holder[side or top], text, sum(n for _, n in whole[side]), side or top))
 
     def _last(self, tags) -> int:
         """The place on the stack of the innermost open element of some tags; 0 without one."""
@@ -168,7 +183,7 @@ class Tree:
 
     def _pop(self, depth: int) -> None:
         """Close the elements from a place of the stack on."""
-        if any(self.tag[n] in BLOCK or self.name[n] or self.out[n] != self.out[self.parent[n]] for n in self._stack[depth:]):
+        if any(self.tag[n] in BLOCK and not self.out[self.parent[n]] for n in self._stack[depth:]):
             self._flush()
         for n in self._stack[depth:]:
             self._depths[self.tag[n]].pop()
@@ -183,7 +198,7 @@ class Tree:
             self._pop(depth)
 
     def _open(self, tag: str, attributes: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and not self.out[self._stack[-1]]:
             self._flush()
             self._end(("p",), ("table", "td", "th", "button", "caption", "object", "svg"))
         if tag in ENDS:
@@ -192,18 +207,18 @@ class Tree:
             self._end(("a",), ("td", "th"))
         top = self._stack[-1]
         out = self.out[top] or left_out(tag, attributes)
-        name = "" if out else named(tag, attributes, self._articles > 0)
-        if out != self.out[top] or (name and tag not in KEPT):
-            self._flush()
+        within = tag not in BLOCK
+        name = "" if out or (within and self._depths.get("pre")) else named(tag, attributes, self._articles > 0)
         if tag in VOID:
             if tag == "br":
-                self._text.append(" ")
+                self._add(" ")
             return
         self.tag.append(tag)
         self.parent.append(top)
         self.out.append(out)
         self.name.append(name)
-        self.holder.append(len(self.tag) - 1 if tag in BLOCK else self.holder[top])
+        self.holder.append(self.holder[top] if within else len(self.tag) - 1)
+        self.side.append((self.side[top] or (len(self.tag) - 1 if name else 0)) if within else 0)
         self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
@@ -233,7 +248,7 @@ class Tree:
             tag = tag.lower()
             if m[1]:
                 if tag == "br":
-                    self._text.append(" ")
+                    self._add(" ")
                 depth = self._last((tag,))
                 if depth > (0 if tag in BLOCK else self._last(("td", "th", "table"))):
                     self._pop(depth)
@@ -298,7 +313,7 @@ def dropped(tree: Tree) -> list[bool]:
         if marked[i]:
             words = re.split(r"[^a-z0-9]+", name[i])
             exact = WORDS.fullmatch(name[i]) or name[i] in ROLES
-            if tag[i] in PROSE and not any(SHARP.fullmatch(w) for w in words):
+            if tag[i] in PROSE and not sharp(name[i]):
                 keep = linked[i] < DENSE * size[i]
             elif any(FIRM.fullmatch(w) for w in words):
                 keep = not anchors and 0 < own[0] == own[i]
@@ -319,9 +334,10 @@ def extract(html: str | None) -> str:
     if not tree.blocks:
         return ""
     drop = dropped(tree)
-    blocks = [block[:3] for block in tree.blocks if not drop[block[3]]]
-    if not blocks:
+    kept = [block for block in tree.blocks if not drop[block[3]]]
+    if not kept:
         return ""
+    blocks = [block[:3] for block in kept]
     n = len(tree.tag)
     score, size, linked = [0.0] * n, [0] * n, [0] * n
     for node, text, links in blocks:
@@ -356,6 +372,13 @@ def extract(html: str | None) -> str:
     for node in range(n):
         inside[node] = node in chosen or (node > 0 and inside[tree.parent[node]])
     between = beside if best else -1
+    # a title in a wrapper of its own before the container, if that has none
+    titles = [(at, inside[top]) for at, (node, text, links, top) in enumerate(kept) if "h1" in (tree.tag[node], tree.tag[top]) and links < DENSE * len(text)]
+    start = next((at for at, (node, *_) in enumerate(kept) if inside[node]), len(kept))
+    if titles and not any(own for _, own in titles):
+        before = [at for at, _ in titles if at < start]
+        if before:
+            inside[kept[before[-1]][0]] = True
     return "\n\n".join(text for node, text, links in blocks if inside[node] or (node == between and links < DENSE * (len(text) - text.count(" "))))
 
 

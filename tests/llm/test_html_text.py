@@ -207,3 +207,62 @@ def test_rows(spark):
     found = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_text.main_text(pages).collect() if r.url)
     assert found == [(1, "u", LONG, len(LONG))] * 2
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("See <a class='related'>this report</a> for more of it", "See this report for more of it"),
+        ("It rose by <span class='share'>ten percent</span> in May.", "It rose by ten percent in May."),
+        ("The <span class='notice'>red hat</span> was lost", "The red hat was lost"),
+        ("Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> as known", "Energy is E=m as known"),
+        ("Hello <svg><text>drawn</text></svg>world again", "Hello world again"),
+        ("One <span hidden>x</span>two", "One two"),
+        ("Press <button>OK</button> to go on", "Press to go on"),
+        ("Click <span class=ad>Buy now</span> here", "Click here"),
+        ("<span class=nav-target>First</span> words count", "First words count"),
+        ("At the end <span class='share'>Share</span> <a class=related href=x>More</a>", "At the end"),
+        ("<b class=notice><i>deep <span id=menu>er</span></i></b>, and on", "deep er, and on"),
+        ("a <span aria-hidden=true>b <select><option>c</select></span> d", "a d"),
+    ],
+)
+@pytest.mark.parametrize("tag", ["p", "li", "div", "td"])
+def test_names_and_hidden_parts_within_a_line(line, want, tag):
+    row = {"li": "<ul><li>{}</li></ul>", "td": "<table><tr><td>{}</td></tr></table>"}.get(tag, f"<{tag}>{{}}</{tag}>").format(line)
+    assert html_text.extract(f"<article><p>{LONG}</p>{row}<p>{LONG}</p></article>") == "\n\n".join([LONG, want, LONG])
+
+
+def test_code_keeps_its_comments():
+    assert html_text.extract(f"<article><p>{LONG}</p><pre>x = 1 <span class='comment'># one</span></pre></article>") == f"{LONG}\n\nx = 1 # one"
+
+
+def test_a_title_in_a_wrapper_of_its_own():
+    article = f"<div><div><p>{LONG}</p><p>{LONG}</p></div></div>"
+    assert html_text.extract(f"<div><div><h1>Title</h1></div>{article}</div>") == f"Title\n\n{LONG}\n\n{LONG}"
+    assert html_text.extract(f"<div><div><h1><a href=/>Site</a></h1></div>{article}</div>") == f"{LONG}\n\n{LONG}"
+    inner = f"<div><div><h1>Own</h1><p>{LONG}</p><p>{LONG}</p></div></div>"
+    assert html_text.extract(f"<div><div><h1>Site</h1></div>{inner}</div>") == f"Own\n\n{LONG}\n\n{LONG}"
+
+
+def test_pages_with_marked_up_lines():
+    rng = random.Random(11)
+    for _ in range(300):
+        blocks, body = [], []
+        for _ in range(rng.randrange(4, 9)):
+            words = prose(rng, rng.randrange(20, 50)).split()
+            shown = list(words)
+            for at in sorted(rng.sample(range(len(words) - 1), 3), reverse=True):
+                kind = rng.choice(["name", "hidden", "svg", "math", "ad"])
+                if kind == "name":
+                    shown[at] = f"<{(t := rng.choice(['span', 'a', 'em', 'b']))} {rng.choice(['class', 'id'])}='{rng.choice(['share', 'related', 'promo-text', 'nav', 'sidebar-ref', 'social'])}'>{words[at]}</{t}>"
+                elif kind == "math":
+                    words.insert(at, "x+y")
+                    shown.insert(at, "<math><mi>x</mi><mo>+</mo><mi>y</mi></math>")
+                else:
+                    shown.insert(at, {"hidden": "<span style='display:none'>gone</span>", "svg": "<svg><title>t</title><text>gone</text></svg>", "ad": "<ins class='adv'>gone</ins>"}[kind])
+            blocks.append(" ".join(words))
+            body.append(f"<p>{' '.join(shown)}</p>")
+        wrapped = rng.random() < 0.5
+        head = "<div><h1>The title</h1></div>" if wrapped else ""
+        page = f"<body><div><ul><li><a href=x>Home</a></ul></div><div>{head}<div><div>{''.join(body)}</div></div></div><footer>{prose(rng, 9)}</footer></body>"
+        assert html_text.extract(page) == "\n\n".join((["The title"] if wrapped else []) + blocks), page
