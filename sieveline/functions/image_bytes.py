@@ -19,6 +19,7 @@ TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 7: ("
 EXIF_POINTER, GPS_POINTER = 0x8769, 0x8825
 # Terms that hint at content credentials.
 CREDENTIAL_TERMS = (b"c2pa", b"urn:c2pa", b"jumbf", b"contentcredentials", b"content credentials")
+# How far a file is searched, how many tags are shown, and how long an XMP packet without an end is taken to be. None is no bound.
 SCAN = 16 << 20
 MOST_TAGS, XMP_WINDOW = 64, 8192
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
@@ -81,8 +82,8 @@ def _entries(tiff: bytes, offset: int, order: str) -> Iterator[tuple[int, object
             yield tag, values[0] if len(values) == 1 else list(values)
 
 
-def exif(data: bytes) -> dict[str, object]:
-    """EXIF values by name, the first MOST_TAGS, with the position in degrees if there is one."""
+def exif(data: bytes, most: int | None = MOST_TAGS) -> dict[str, object]:
+    """EXIF values by name, the first ``most`` (all of them with no bound), with the position in degrees if there is one."""
     for marker, body in segments(data):
         if marker != 0xE1 or not body.startswith(b"Exif\0\0"):
             continue
@@ -101,22 +102,22 @@ def exif(data: bytes) -> dict[str, object]:
                 if isinstance(dms, list) and len(dms) == 3:
                     degrees = dms[0] + dms[1] / 60 + dms[2] / 3600
                     out[name] = round(-degrees if str(gps.get(ref)).upper() in ("S", "W") else degrees, 7)
-        return dict(list(out.items())[:MOST_TAGS])
+        return dict(list(out.items())[:most])
     return {}
 
 
-def xmp(data: bytes) -> str | None:
-    """The XMP packet: that of its own segment, else what looks like one in the first bytes."""
+def xmp(data: bytes, scan: int | None = SCAN, window: int | None = XMP_WINDOW) -> str | None:
+    """The XMP packet: that of its own segment, else what looks like one in the first bytes (all of them with no bound)."""
     for marker, body in segments(data):
         if marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
             return body[29:].decode("utf-8", "ignore")
-    text = data[:SCAN].decode("utf-8", "ignore")
+    text = data[:scan].decode("utf-8", "ignore")
     start = max(text.find("<x:xmpmeta"), -1)
     start = text.find("<xmpmeta") if start < 0 else start
     if start < 0:
         return None
     end = text.find("</x:xmpmeta>", start)
-    return text[start : end + 12] if end >= 0 else text[start : start + XMP_WINDOW]
+    return text[start : end + 12] if end >= 0 else text[start:][:window]
 
 
 def icc(data: bytes) -> tuple[int, str | None]:
@@ -129,9 +130,9 @@ def icc(data: bytes) -> tuple[int, str | None]:
     return len(raw), raw[at + 12 : at + 12 + max(0, n - 1)].decode("latin-1", "ignore") or None
 
 
-def credential_hints(data: bytes, packet: str | None) -> list[str]:
-    """Terms of content credentials in the first bytes, and in XMP."""
-    head = data[:SCAN].lower()
+def credential_hints(data: bytes, packet: str | None, scan: int | None = SCAN) -> list[str]:
+    """Terms of content credentials in the first bytes (all of them with no bound), and in XMP."""
+    head = data[:scan].lower()
     hits = [t.decode() for t in CREDENTIAL_TERMS if t in head]
     return hits + ["xmp:c2pa"] * bool(packet and re.search(r"(?i)\bc2pa\b", packet))
 

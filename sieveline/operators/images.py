@@ -78,15 +78,22 @@ def _plane(height: int, width: int, rgb: bytes) -> np.ndarray:
     return np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
 
 
-def metadata(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """EXIF, XMP, colour profile, file facts and hints of content credentials of files."""
+def metadata(
+    df: DataFrame, keys: list[str], content: str = "content", scan: int | None = files.SCAN, most_tags: int | None = files.MOST_TAGS, window: int | None = files.XMP_WINDOW
+) -> DataFrame:
+    """EXIF, XMP, colour profile, file facts and hints of content credentials of files.
+
+    ``scan`` bounds the bytes that are searched for XMP outside its segment and
+    for credential terms, ``most_tags`` the tags, ``window`` an XMP packet without
+    an end; None lifts a bound.
+    """
 
     def kernel(data: bytes) -> dict:
-        found, packet = files.exif(data), files.xmp(data)
+        found, packet = files.exif(data, most_tags), files.xmp(data, scan, window)
         size, description = files.icc(data)
         return {
             "format": files.image_format(data), "bytes": len(data), "exif": {k: v if isinstance(v, str) else json.dumps(v) for k, v in found.items()},
-            "tag_count": len(found), "xmp": packet, "icc_bytes": size, "icc_description": description, "credential_hints": files.credential_hints(data, packet),
+            "tag_count": len(found), "xmp": packet, "icc_bytes": size, "icc_description": description, "credential_hints": files.credential_hints(data, packet, scan),
         }
 
     return _mapped(df, keys, [content], METADATA, kernel)

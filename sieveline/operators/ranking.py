@@ -112,16 +112,26 @@ def sliding_windows(df: DataFrame, height: str, width: str, window: int) -> Data
 
 
 def flattened(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Files of many folders under names of one: the first of a name keeps it, the others are named after their folder as well."""
-    placed_ = ranked(df, [name], [F.col(order)], "_turn")
-    return placed_.withColumn("flat_name", F.when(F.col("_turn") > 1, F.concat(folder, F.lit("_"), name)).otherwise(F.col(name))).drop("_turn")
+    """Files of many folders under names of one: the first of a name keeps it, the others are named after their folder as well.
+
+    ``order`` tells rows apart. A name's first place is an aggregate, so a name
+    that many folders have is not put in order in one task.
+    """
+    firsts = df.groupBy(name).agg(F.min(order).alias("_first")).select(F.col(name).alias("_name"), "_first")
+    both = df.join(firsts, df[name].eqNullSafe(firsts["_name"]))
+    return both.withColumn("flat_name", F.when(F.col(order) > F.col("_first"), F.concat(folder, F.lit("_"), name)).otherwise(F.col(name))).drop("_name", "_first")
 
 
 def outliers(df: DataFrame, by: list[str], z: str, bound: float, key: str) -> DataFrame:
-    """Rows whose z passes the bound, with the side and their place on it: the lowest and the highest first."""
+    """Rows whose z passes the bound, with the side and their place on it: the lowest and the highest first.
+
+    Places are counted over ranges that tasks share, as there are two sides a
+    group whatever its rows.
+    """
     side = F.when(F.col(z) < -bound, "low").when(F.col(z) > bound, "high")
-    order = Window.partitionBy(*by, "side").orderBy(F.desc(F.abs(z)), key)
-    return df.withColumn("side", side).filter("side IS NOT NULL").withColumn("place", F.row_number().over(order))
+    rows = df.withColumns({"side": side, "_one": F.lit(1)}).filter("side IS NOT NULL")
+    found = placed(rows, [*by, "side"], [F.desc(F.abs(z)), F.col(key)], {"place": "_one"}, "place")
+    return found.withColumn("place", F.col("place").cast("int")).select(*df.columns, "side", "place")
 
 
 def seeded_order(key: str, seed: str) -> Column:

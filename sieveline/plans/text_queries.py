@@ -368,3 +368,15 @@ def so06_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = orders.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
     rows = orders.join(level, "o_orderstatus").select("o_orderstatus", "o_orderkey", ((F.col("o_totalprice") - F.col("m")) / F.col("s")).alias("z"))
     return ranking.outliers(rows, ["o_orderstatus"], "z", 1.5, "o_orderkey").select("o_orderstatus", "o_orderkey", "side", "place")
+
+
+_suffix = "CASE p_partkey % 8 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.webp' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.gif' WHEN 5 THEN '.tiff' WHEN 6 THEN '.x/y' ELSE '' END"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, concat('/img/', p_name, {_suffix}) AS path, p_brand AS content FROM part),
+m AS (SELECT *, CASE p_partkey % 8 WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' WHEN 4 THEN 'image/gif' ELSE 'image/jpeg' END AS kind FROM f)
+SELECT p_partkey, kind, concat('data:', kind, ';base64,', to_base64(encode(content))) AS url FROM m""")
+def src20_data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media types of paths, and data URLs of their contents."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"concat('/img/', p_name, {_suffix}) AS path", "encode(p_brand, 'UTF-8') AS content")
+    return rows.select("p_partkey", text.media_type(F.col("path")).alias("kind"), text.data_url(F.col("path"), F.col("content")).alias("url"))
