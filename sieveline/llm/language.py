@@ -31,6 +31,8 @@ LONGEST = 3
 #: so many languages share them that each would have fewer than LEAST. All the rows of a language with fewer are taken.
 SAMPLE = 4000
 LEAST = 50
+#: Values of lang at most: weights are 32,768 numbers a language, of which the driver holds a few copies (0.13 GB each at most) and a worker one.
+LANGUAGES = 512
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -142,7 +144,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("lang"), *columns], ["hash", "lang", "at", "n"])
 
     own = docs.filter(learning()).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(10)).alias("hash"))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.countDistinct("hash").alias("n")).collect()}  # a row a language
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.countDistinct("hash").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang: weights for all of them are held on the driver and by each worker")
     names = tuple(sorted(sizes))
     if not names:
         return Model((), idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
@@ -188,7 +192,8 @@ def predict(docs: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFr
     text if no row can be learned from. Otherwise the score is the probability
     of the language named; ties go to the first name. Repeated rows are named
     alike. Extra columns are left out, or kept with ``keep``; lang_pred and score
-    then replace columns of these names. An empty table gives no rows.
+    then replace columns of these names. An empty table gives no rows. More than
+    LANGUAGES values of lang to learn from are an error.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     wanted = docs.drop("lang_pred", "score") if keep else docs.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "text")

@@ -30,6 +30,8 @@ RANGES = 4
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 1 << 16
 DRAWS = 16
+#: Code points of a text by which rows of one id are dealt over ranges.
+HEAD = 32
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -130,43 +132,45 @@ def _ranges(docs: DataFrame) -> int:
 def ranged(docs: DataFrame) -> DataFrame:
     """bucket, guest, doc_id and text: documents in ranges of ids, each range with the next one's first as its guest.
 
-    The ranges are cut at ids of a sample, which is bounded by the number of
-    ranges, and ids are compared as they are, whatever their type. The heads of
-    the ranges are a row a range. After the last range comes the first. Texts are
-    read once and shuffled once.
+    The ranges are cut at rows of a sample, which is bounded by the number of
+    ranges: at their id, as it is, whatever its type, and then at the beginning of
+    their text, so rows without an id, or of one id, are dealt over ranges too.
+    The heads of the ranges are a row a range, and so are the guests. Texts are
+    shuffled once. After the last range comes the first.
     """
     spark = docs.sparkSession
     n = _ranges(docs)
-    ids = docs.select("doc_id")
-    drawn = ids.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(DRAWS * n)
-    drawn = [r.doc_id for r in drawn.orderBy("doc_id").collect()]
+    kind = docs.schema["doc_id"].dataType
+    key = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", F.substring("text", 1, HEAD).alias("head"))
+    drawn = docs.select(key.alias("key"), F.xxhash64("doc_id", "text", F.lit(3)).alias("hash")).orderBy("hash", "key").limit(DRAWS * n)
+    drawn = [r.key for r in drawn.orderBy("key").collect()]
     cuts = list(dict.fromkeys(drawn[i * len(drawn) // n] for i in range(1, n))) if drawn else []
-    kind = ids.schema["doc_id"].dataType
+    form = T.StructType().add("has", T.BooleanType()).add("doc_id", kind).add("head", T.StringType())
     step = max(1, round(len(cuts) ** 0.5))
 
     def literal(values: list) -> Column:
-        return F.array(*(F.lit(v).cast(kind) for v in values)) if values else F.array().cast(T.ArrayType(kind))
+        made = [F.struct(F.lit(v.has).alias("has"), F.lit(v.doc_id).cast(kind).alias("doc_id"), F.lit(v["head"]).alias("head")) for v in values]
+        return F.array(*made).cast(T.ArrayType(form)) if made else F.array().cast(T.ArrayType(form))
 
     def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+        return F.size(F.filter(values, lambda c: c <= F.col("key")))
 
-    # the number of cuts up to an id: whole steps first, then within one step; a null id is in the first range
+    # the number of cuts up to a row: whole steps first, then within one step
     steps = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     whole = below(literal([s[-1] for s in steps]))
     inside = F.element_at(F.array(*map(literal, steps), literal([])), whole + 1)
     bucket = (whole * step + below(inside)).cast("int").alias("bucket")
 
-    rows = docs.select(bucket, "doc_id", "text")
-    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("has_null")).collect()
-    heads = sorted(heads, key=lambda r: r.bucket)
-    table = [(r.bucket, None if r.has_null else r.least, heads[i - 1].bucket) for i, r in enumerate(heads)]
-    first = F.broadcast(spark.createDataFrame(table, T.StructType().add("bucket", T.IntegerType()).add("head", kind).add("before", T.IntegerType())))
-    own = F.struct("bucket", F.lit(0).alias("guest"))
-    guest = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, guest)).otherwise(F.array(own))
-    placed = rows.join(first, "bucket").select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.guest", "doc_id", "text")
+    rows = docs.select(key.alias("key"), "doc_id", "text").select(bucket, "key", "doc_id", "text")
+    heads = sorted(rows.groupBy("bucket").agg(F.min("key").alias("first")).collect(), key=lambda r: r.bucket)
+    table = [(r.bucket, r["first"], heads[i - 1].bucket) for i, r in enumerate(heads)]
+    first = F.broadcast(spark.createDataFrame(table, T.StructType().add("bucket", T.IntegerType()).add("first", form).add("before", T.IntegerType())))
+    # rows that share the head's id and beginning are few but for copies; one of them, with the least text, is the guest
+    same = rows.join(first, "bucket").filter(F.col("key").eqNullSafe(F.col("first")))
+    guests = same.groupBy(F.col("before").alias("bucket")).agg(F.any_value("doc_id").alias("doc_id"), F.min("text").alias("text")).withColumn("guest", F.lit(1))
+    placed = rows.select("bucket", "doc_id", "text", F.lit(0).alias("guest")).unionByName(guests)
     parts = max(shuffle_partitions(spark), n // RANGES)
-    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    return placed.select("bucket", "guest", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, length: int = LENGTH, scale: int = SCALE, sketches: bool = False) -> DataFrame:

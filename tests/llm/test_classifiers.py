@@ -218,3 +218,11 @@ def test_ids_that_repeat_count_once(made, spark):
     assert not found
     assert once(both, both.select("doc_id").filter("doc_id IS NOT NULL").distinct()).count() == docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().count()
     assert toxicity.score(both, toxic).count() == both.count() and quality.score(both, toxic).count() == both.count()
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, f"word {i}", f"l{i % 5}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        language.predict(docs)
+    assert language.predict(docs.filter("lang < 'l3'")).count() > 0

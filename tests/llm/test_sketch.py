@@ -93,3 +93,28 @@ def test_merged_by_group(spark):
     found = {r.g: list(r.sketch) for r in S.merged(parts, ["g"]).collect()}
     for g in {g for g, _ in texts}:
         assert found[g] == S.merge([S.sketch(t) for h, t in texts if h == g]).view(np.int64).tolist()
+
+
+def test_rows_without_an_id_or_of_one_id_are_dealt_over_ranges(spark):
+    """Many null and equal ids: several ranges share them, each gets one guest, and every row has the right next one."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 30))
+    rows = [(None, word()) for _ in range(1500)] + [(7, word()) for _ in range(900)] + [(i, word()) for i in range(20)] + [(None, "same " * 9)] * 300 + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    placed = S.ranged(docs.selectExpr("doc_id", "coalesce(text, '') AS text")).collect()
+    own = [r for r in placed if not r.guest]
+    buckets = {}
+    for r in own:
+        buckets.setdefault(r.bucket, []).append((r.doc_id is not None, r.doc_id or 0, r.text))
+    guests = [r for r in placed if r.guest]
+    assert len(own) == len(rows) and len(guests) == len(buckets) == len({r.bucket for r in guests})
+    assert len({r.bucket for r in own if r.doc_id is None}) > 3 and len({r.bucket for r in own if r.doc_id == 7}) > 3
+    assert max(map(len, buckets.values())) < len(rows) / 3
+    order = sorted(buckets)
+    assert all(max(buckets[a]) <= min(buckets[b]) for a, b in zip(order[:-1], order[1:], strict=True))
+    for r in guests:
+        after = order[(order.index(r.bucket) + 1) % len(order)]
+        assert (r.doc_id is not None, r.doc_id or 0, r.text) == min(buckets[after])
+    ordered = sorted(((i is not None, i or 0, t or "") for i, t in rows))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + ordered[(n + 1) % len(ordered)][2][: len(t) // 2]).encode()).hexdigest() for n, (_, _, t) in enumerate(ordered))
+    assert sorted(r.edited_sha256 for r in S.fingerprints(docs).select("edited_sha256").collect()) == want
