@@ -56,10 +56,16 @@ def register(spark: SparkSession) -> list[str]:
     """The functions that SQL may call, by name."""
     spark.udf.register("json_spans", text.json_spans)
     spark.udtf.register("json_objects", text.JsonSpans)
-    made = {
-        "image_format": F.udf(lambda data: image_bytes.image_format(bytes(data or b"")), "string"),
-        "image_xmp": F.udf(lambda data: image_bytes.xmp(bytes(data or b"")), "string"),
-    }
+
+    @F.pandas_udf("string")
+    def image_format(content: pd.Series) -> pd.Series:
+        return content.map(lambda data: image_bytes.image_format(bytes(data or b"")))
+
+    @F.pandas_udf("string")
+    def image_xmp(content: pd.Series) -> pd.Series:
+        return content.map(lambda data: image_bytes.xmp(bytes(data or b"")))
+
+    made = {"image_format": image_format, "image_xmp": image_xmp}
     for name, function in made.items():
         spark.udf.register(name, function)
     return ["json_spans", "json_objects", *made]

@@ -80,3 +80,13 @@ def test_png_holds_the_pixels():
             at += 12 + n
         rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(shape[0], -1)
         assert (rows[:, 0] == 0).all() and (rows[:, 1:] == x.reshape(shape[0], -1)).all()
+
+
+def test_functions_that_sql_may_call(spark):
+    from sieveline.operators import external
+
+    external.register(spark)
+    df = spark.createDataFrame([(1, bytearray(b"\xff\xd8x")), (2, bytearray(b"GIF8<x:xmpmeta>a</x:xmpmeta>")), (3, None)], "i int, c binary")
+    df.createOrReplaceTempView("small_files")
+    found = spark.sql("SELECT i, image_format(c) AS f, image_xmp(c) AS x FROM small_files ORDER BY i").collect()
+    assert [tuple(r) for r in found] == [(1, "JPEG", None), (2, "GIF", "<x:xmpmeta>a</x:xmpmeta>"), (3, "unknown", None)]
