@@ -38,14 +38,17 @@ def mcc_explained(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
 
 
 def mcc_trace(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
-    """The correlation step by step; undefined when a margin is empty."""
+    """The correlation step by step; undefined when a margin is empty. The product under the root is exact, to 38 digits."""
     a, b, c, d = tp + fp, tp + fn, tn + fp, tn + fn
-    top, under = tp * tn - fp * fn, a.cast("double") * b * c * d
+    top, exact = tp * tn - fp * fn, a.cast("decimal(19,0)")
+    for margin in (b, c, d):
+        exact = (exact * margin.cast("decimal(19,0)")).cast("decimal(38,0)")
+    under = exact.cast("double")
     steps = F.concat_ws(
         "\n",
         F.format_string("MCC = (%d*%d - %d*%d) / sqrt[(%d+%d)(%d+%d)(%d+%d)(%d+%d)]", tp, tn, fp, fn, tp, fp, tp, fn, tn, fp, tn, fn),
         F.format_string("    = (%d - %d) / sqrt[%d*%d*%d*%d]", tp * tn, fp * fn, a, b, c, d),
-        F.concat(F.lit("    = "), top.cast("string"), F.lit(" / sqrt["), under.cast("decimal(38,0)").cast("string"), F.lit("]")),
+        F.concat(F.lit("    = "), top.cast("string"), F.lit(" / sqrt["), exact.cast("string"), F.lit("]")),
         F.concat(F.lit("    = "), top.cast("string"), F.lit(" / "), fixed(F.sqrt(under), 2)),
         F.concat(F.lit("    = "), fixed(top / F.sqrt(under), 4)),
     )

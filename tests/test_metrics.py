@@ -158,3 +158,11 @@ def test_orders_of_a_group_run_over_many_ranges(spark):
             place = {r[1]: (up.index(r) + 1, down.index(r) + 1) for r in own if r[2] is not None}
             assert all(v == place[i] for (h, i), v in ends.items() if h == g)
             assert sum(1 for k in ends if k[0] == g) == len({r[1] for r in up[:4]} | {r[1] for r in down[:4]})
+
+
+def test_mcc_trace_has_every_digit(spark):
+    """The product under the root is beyond what a double or a long can hold exactly."""
+    counts = (57961, 59461, 57487, 61867)
+    tp, tn, fp, fn = counts
+    said = spark.range(1).select(inference.mcc_trace(*(F.lit(n).cast("long") for n in counts)).alias("t")).first().t
+    assert f" / sqrt[{(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)}]" in said
