@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import fixed, json_objects, normalize_verdict, strict_json, tolerant_json
+from .text import braced, bracketed, fixed, json_objects, normalize_verdict, only_value, strict_json, tolerant_json
 
 # The fields of each tool's evidence with where its answer has them, and those that its summary shows:
 # with three digits, or as they are with what stands for none.
@@ -153,35 +153,59 @@ def _kind(tool: Column, v: Column) -> Column:
     return kind
 
 
-def summary_line(tool: Column, raw: Column) -> Column:
-    """A tool's output in one line: its status and key fields; unparsed if it is no JSON object."""
-    v = _answer(raw)
-    kind = _kind(tool, v)
+def _values(kind: Column, v: Column) -> list[Column]:
+    """The numbers that a summary shows with three digits, by their place in it: of each place only that of the answer's own tool."""
+    out = []
+    for at in range(max(map(len, SHOWN.values()))):
+        own = F.lit(None).cast("double")
+        for name, fields in SHOWN.items():
+            if at < len(fields) and fields[at][1] is None:
+                own = F.when(kind == name, F.try_variant_get(v, f"$.{EVIDENCE[name][fields[at][0]]}", "double")).otherwise(own)
+        out.append(fixed(own, 3))
+    return out
+
+
+def _line(tool: Column, v: Column, kind: Column, values: list[Column]) -> Column:
+    """The summary of an answer, of its tool and its numbers as text."""
     status = F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("unknown"))
     shown = F.lit("")
     for name, fields in SHOWN.items():
         parts = []
-        for field, none in fields:
-            path = f"$.{EVIDENCE[name][field]}"
-            plain = F.try_variant_get(v, path, "string")
-            if field == "is_jpeg":
-                plain = F.initcap(plain)
-            value = fixed(F.try_variant_get(v, path, "double"), 3) if none is None else plain
+        for (field, none), value in zip(fields, values):
+            if none is not None:
+                value = F.try_variant_get(v, f"$.{EVIDENCE[name][field]}", "string")
+                value = F.initcap(value) if field == "is_jpeg" else value
             parts.append(F.concat(F.lit(f", {RENAMED.get(field, field)}="), F.coalesce(value, F.lit(none or "n/a"))))
         shown = F.when(kind == name, F.concat(*parts)).otherwise(shown)
     return F.concat(F.lit("- "), F.when(v.isNull(), tool).otherwise(F.coalesce(kind, tool)), F.lit(": status="), F.when(v.isNull(), "unparsed").otherwise(F.concat(status, shown)))
 
 
+def summary_line(tool: Column, raw: Column) -> Column:
+    """A tool's output in one line: its status and key fields; unparsed if it is no JSON object.
+
+    As one expression it reads the answer anew for each field; ``normalised`` reads it once.
+    """
+    v = _answer(raw)
+    kind = _kind(tool, v)
+    return _line(tool, v, kind, _values(kind, v))
+
+
 def _answer(raw: Column) -> Column:
     """An answer as a JSON object; null for anything else."""
-    v = tolerant_json(raw)
+    return _object(tolerant_json(raw))
+
+
+def _object(v: Column) -> Column:
     return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
 
 
 def evidence(tool: Column, raw: Column) -> Column:
     """The stable fields of a tool's output as JSON, with status and error; a preview for what has none."""
     v = _answer(raw)
-    kind = _kind(tool, v)
+    return _fields(raw, v, _kind(tool, v))
+
+
+def _fields(raw: Column, v: Column, kind: Column) -> Column:
     status = F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("unknown")).alias("status")
     error = F.try_variant_get(v, "$.error", "variant").alias("error")
     preview = F.substring(raw, 1, PREVIEW).alias("raw_preview")
@@ -200,11 +224,17 @@ def normalised(df: DataFrame, keys: list[str], outputs: str) -> DataFrame:
     has empty lists. Keys must tell rows apart.
     """
     long = df.select(*keys, F.posexplode_outer(F.map_entries(outputs)).alias("at", "e")).select(*keys, "at", F.col("e.key").alias("tool"), F.col("e.value").alias("raw"))
-    v = _answer(F.col("raw"))
-    kind = _kind(F.col("tool"), v)
+    # columns of their own: an answer is parsed once, not once for each of its fields
+    tool, v, kind = F.col("tool"), F.col("v"), F.col("kind")
+    long = long.withColumn("v", F.try_parse_json(bracketed(F.col("raw"))))
+    long = long.withColumn("v", F.coalesce(only_value(v), strict_json(braced(F.col("raw")))))
+    long = long.withColumn("v", _object(v)).withColumn("kind", _kind(tool, v))
+    values = _values(kind, v)
+    names = [f"value_{i}" for i in range(len(values))]
+    long = long.withColumns(dict(zip(names, values)))
     other = F.when(F.try_variant_get(v, "$.is_jpeg", "boolean") == False, NOT_JPEG)  # noqa: E712
     caveat = F.when(kind == "detect_jpeg_quantization", other).otherwise(F.element_at(F.create_map(*(F.lit(x) for pair in CAVEATS.items() for x in pair)), kind))
-    found = long.withColumns({"line": summary_line(F.col("tool"), F.col("raw")), "fields": evidence(F.col("tool"), F.col("raw")), "caveat": caveat, "bad": v.isNull()})
+    found = long.withColumns({"line": _line(tool, v, kind, [F.col(n) for n in names]), "fields": _fields(F.col("raw"), v, kind), "caveat": caveat, "bad": v.isNull()})
     rows = F.sort_array(F.collect_list(F.when(F.col("tool").isNotNull(), F.struct("at", "tool", "line", "fields", "caveat", "bad"))))
     found = found.groupBy(*keys).agg(rows.alias("r"))
     return found.select(

@@ -163,16 +163,28 @@ def markdown_cell(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), r"\r\n|\r|\n", "<br>"), F.lit("—"))
 
 
+def bracketed(c: Column) -> Column:
+    return F.concat(F.lit("["), c, F.lit("]"))
+
+
+def only_value(v: Column) -> Column:
+    """The value of a parsed array of one; null for one of more."""
+    return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+
+
+def braced(c: Column) -> Column:
+    """What a text has from its first ``{`` to its last ``}``; empty without."""
+    return F.regexp_extract(c, r"(?s)\{.*\}", 0)
+
+
 def strict_json(c: Column) -> Column:
     """A whole text as JSON; null if anything follows the value, which the engine's parser would not mind."""
-    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    return only_value(F.try_parse_json(bracketed(c)))
 
 
 def tolerant_json(c: Column) -> Column:
     """JSON text of a whole string, else of its first ``{`` to its last ``}``; null for neither."""
-    inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.coalesce(strict_json(c), strict_json(inner))
+    return F.coalesce(strict_json(c), strict_json(braced(c)))
 
 
 def looks_like_json(c: Column) -> Column:

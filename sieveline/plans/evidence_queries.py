@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import inference, prompts, results
 from ..operators import arrays, distribution, external, images, metrics
-from ..session import table
+from ..session import spread, table
 from .array_queries import LONG, WINDOWS, windows
 from .bridge import oracle, records
 from .metric_queries import metric_ctes
@@ -64,9 +64,11 @@ def fn22_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("event_id") % 3
     plain = F.when(turn == 0, F.concat(F.lit("broken "), F.regexp_replace("props", r"\}$", ""))).when(turn == 1, 'so: {"status": "ok"}.').otherwise("{}")
     outputs = F.create_map(tool, F.to_json(answer), F.lit("plain"), plain)
-    rows = table(spark, sf_dir, "events").select("event_id", "props", tool.alias("tool"), outputs.alias("outputs"))
-    found = results.normalised(rows, ["event_id"], "outputs").join(rows.select("event_id", "tool", "props"), "event_id")
-    own, other = F.element_at("evidence", F.col("tool")), F.element_at("evidence", F.lit("plain"))
+    # dealt by event before answers are made, so that a small file's few splits don't bound the tasks; groups need no further shuffle
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props").repartition(spread(spark), "event_id")
+    rows = events.select("event_id", tool.alias("asked"), outputs.alias("outputs"))
+    found = results.normalised(rows, ["event_id", "asked"], "outputs")
+    own, other = F.element_at("evidence", F.col("asked")), F.element_at("evidence", F.lit("plain"))
     preview = F.get_json_object(other, "$.raw_preview")
     return found.select(
         "event_id", F.array_join("summary_lines", "|").alias("lines"), F.size("parse_errors").alias("unparsed"), F.size("caveats").alias("caveats"),

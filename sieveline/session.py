@@ -78,6 +78,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks for rows whose work is long beside their bytes: as many as a shuffle has, and one a core at least."""
+    return max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+
+
 _shipped: set[str] = set()
 
 

@@ -207,3 +207,12 @@ def test_manifest_query_beyond_six_digits(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(con.sql(catalog.oracle_sql()["snk15_appended_manifest"]).fetchall())
     held = spark.createDataFrame([("sample-1000008", "a.png")], "id string, image string")
     assert [r.id for r in writers.appended_manifest(held, spark.createDataFrame([("b.png", "fake")], "path string, label string")).collect()] == ["sample-1000009"]
+
+
+def test_evidence_query_parses_an_answer_once(spark, tmp_path):
+    """An answer is parsed in one column, and a second time only in braces; a small file is dealt over the cores."""
+    from sieveline.plans import evidence_queries
+
+    plan = evidence_queries.fn22_evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.lower().count("parse_json") + plan.count("parseJson") <= 6
+    assert "Join" not in plan and "Repartition" in plan
