@@ -3,6 +3,10 @@
 Pixels are rows of (height, width, rgb bytes), as ``sources.readers.read_pixels``
 gives them. A file or image that can't be read has status error and nulls; its
 row stays.
+
+``read`` makes the RGB bytes of what rgb holds (a file's bytes, say), image by
+image inside the task, so that pixels neither travel between Spark and Python
+nor stand by in batches. Arrow batches hold are worked on and handed on WORK rows at a time.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import base64
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,11 @@ LEVELS = "status string, error string, ela_mean double, ela_std double, ela_anom
 RESIDUALS = "status string, error string, mean double, std double, skew double, kurtosis double, energy double, abs_mean double, abs_std double, abs_p95 double"
 
 
+#: Rows of a batch that are worked on, and whose results leave a task, at once.
+WORK = 256
+Read = Callable[[object], bytes | None]
+
+
 @F.pandas_udf(T.BinaryType())
 def rgb_bytes(channels: pd.Series, data: pd.Series) -> pd.Series:
     """RGB bytes of the image source's pixels, which are blue first, with or without alpha, or grey."""
@@ -48,13 +57,8 @@ def _mapped(df: DataFrame, keys: list[str], inputs: list[str], schema: str, kern
     names = [part.strip().split(" ")[0] for part in _fields(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for values in zip(*(batch[c] for c in inputs), strict=True):
-                try:
-                    rows.append({"status": "completed", "error": None, **kernel(*values)})
-                except (ValueError, TypeError, IndexError, KeyError, ArithmeticError, struct.error) as failure:
-                    rows.append({"status": "error", "error": str(failure)})
+        for batch in _few(batches):
+            rows = [_tried(kernel, values) for values in zip(*(batch[c] for c in inputs), strict=True)]
             found = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], index=batch.index, dtype=object) for n in names})
             yield pd.concat([batch[keys], found], axis=1)
 
@@ -62,6 +66,19 @@ def _mapped(df: DataFrame, keys: list[str], inputs: list[str], schema: str, kern
     return df.select(*dict.fromkeys([*keys, *inputs])).mapInPandas(run, out)
 
 
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), WORK):
+            yield batch.iloc[i : i + WORK]
+
+
+def _tried(kernel: Callable, values: tuple) -> dict:
+    try:
+        return {"status": "completed", "error": None, **kernel(*values)}
+    except (ValueError, TypeError, IndexError, KeyError, ArithmeticError, struct.error) as failure:
+        return {"status": "error", "error": str(failure)}
+
+
 def _fields(schema: str) -> list[str]:
     out, depth, last = [], 0, 0
     for i, c in enumerate(schema):
@@ -72,7 +89,9 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[last:]]
 
 
-def _plane(height: int, width: int, rgb: bytes) -> np.ndarray:
+def _plane(height: int, width: int, rgb: object, read: Read | None = None) -> np.ndarray:
+    if rgb is not None and read:
+        rgb = read(rgb)
     if rgb is None:
         raise ValueError("the image has no pixels")
     return np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
@@ -112,11 +131,11 @@ def quantisation(df: DataFrame, keys: list[str], content: str = "content") -> Da
     return _mapped(df, keys, [content], TABLES, kernel)
 
 
-def block_analysis(pixels: DataFrame, keys: list[str]) -> DataFrame:
+def block_analysis(pixels: DataFrame, keys: list[str], read: Read | None = None) -> DataFrame:
     """Block statistics of pixels: rise of the factor histogram, primary table, unclipped blocks and the map of changed ones."""
 
     def kernel(height: int, width: int, rgb: bytes) -> dict:
-        g = kernels.grey(_plane(height, width, rgb))
+        g = kernels.grey(_plane(height, width, rgb, read))
         dct, keep = kernels.block_dct(g), kernels.unclipped(g)
         if not dct.size:
             raise ValueError("the image is too small for a block")
@@ -143,15 +162,15 @@ def raw_blocks(df: DataFrame, keys: list[str], content: str = "content") -> Data
     return _mapped(df, keys, [content], schema, kernel)
 
 
-def frequency(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    return _mapped(pixels, keys, ["height", "width", "rgb"], SPECTRUM, lambda h, w, rgb: kernels.spectrum_features(kernels.grey(_plane(h, w, rgb))))
+def frequency(pixels: DataFrame, keys: list[str], read: Read | None = None) -> DataFrame:
+    return _mapped(pixels, keys, ["height", "width", "rgb"], SPECTRUM, lambda h, w, rgb: kernels.spectrum_features(kernels.grey(_plane(h, w, rgb, read))))
 
 
-def error_level(pixels: DataFrame, keys: list[str], quality: int = 75, scale: float = 50, contrast: float = 20, linear: bool = False, want_map: bool = False) -> DataFrame:
+def error_level(pixels: DataFrame, keys: list[str], quality: int = 75, scale: float = 50, contrast: float = 20, linear: bool = False, want_map: bool = False, read: Read | None = None) -> DataFrame:
     """Error-level statistics, and the map as PNG in base64 if wanted."""
 
     def kernel(h: int, w: int, rgb: bytes) -> dict:
-        levels = kernels.error_levels(_plane(h, w, rgb), quality, scale, contrast, linear)
+        levels = kernels.error_levels(_plane(h, w, rgb, read), quality, scale, contrast, linear)
         mean, std, anomaly = kernels.error_level_stats(levels)
         return {"ela_mean": mean, "ela_std": std, "ela_anomaly": anomaly, "ela_map": base64.b64encode(files.png(levels)).decode() if want_map else None}
 
@@ -177,12 +196,12 @@ def map_png(height: pd.Series, width: pd.Series, values: pd.Series) -> pd.Series
     return pd.Series([one(h, w, x) for h, w, x in zip(height, width, values, strict=True)])
 
 
-def residuals(pixels: DataFrame, keys: list[str], denoise=kernels.smoothed) -> DataFrame:  # noqa: ANN001
+def residuals(pixels: DataFrame, keys: list[str], denoise=kernels.smoothed, read: Read | None = None) -> DataFrame:  # noqa: ANN001
     """Moments of the denoising residual; the denoiser is a function of a grey plane."""
-    return _mapped(pixels, keys, ["height", "width", "rgb"], RESIDUALS, lambda h, w, rgb: kernels.residual_stats(kernels.grey(_plane(h, w, rgb)), denoise))
+    return _mapped(pixels, keys, ["height", "width", "rgb"], RESIDUALS, lambda h, w, rgb: kernels.residual_stats(kernels.grey(_plane(h, w, rgb, read)), denoise))
 
 
-def windowed(pixels: DataFrame, keys: list[str], window: int = 256) -> DataFrame:
+def windowed(pixels: DataFrame, keys: list[str], window: int = 256, read: Read | None = None) -> DataFrame:
     """A row for each half-overlapping window of an image, with its pixels; a smaller image is one window.
 
     Each image is handed to Python once and read window by window, so what moves
@@ -194,6 +213,8 @@ def windowed(pixels: DataFrame, keys: list[str], window: int = 256) -> DataFrame
         for batch in batches:
             for row in batch.to_dict("records"):
                 own, raw = {k: row[k] for k in keys}, row["rgb"]
+                if raw is not None and read:
+                    raw = read(raw)
                 if raw is None:
                     yield pd.DataFrame([own | {"y": 0, "x": 0, "win_h": None, "win_w": None, "win": None}], dtype=object)
                     continue
@@ -210,7 +231,7 @@ def windowed(pixels: DataFrame, keys: list[str], window: int = 256) -> DataFrame
     return pixels.select(*keys, "height", "width", "rgb").mapInPandas(run, schema)
 
 
-def pattern_windows(pixels: DataFrame, keys: list[str], window: int = 256, pattern: str = "RGGB", rounds: int = 50) -> DataFrame:
+def pattern_windows(pixels: DataFrame, keys: list[str], window: int = 256, pattern: str = "RGGB", rounds: int = 50, read: Read | None = None) -> DataFrame:
     """Per window and channel the measure of the filter pattern, and the texture of green."""
 
     def kernel(h: int, w: int, raw: bytes) -> dict:
@@ -219,7 +240,7 @@ def pattern_windows(pixels: DataFrame, keys: list[str], window: int = 256, patte
         return {**found, "texture": float(x[..., 1].var())}
 
     schema = "status string, error string, m_r double, m_g double, m_b double, texture double"
-    return _mapped(windowed(pixels, keys, window), [*keys, "y", "x", "win_h", "win_w"], ["win_h", "win_w", "win"], schema, kernel)
+    return _mapped(windowed(pixels, keys, window, read), [*keys, "y", "x", "win_h", "win_w"], ["win_h", "win_w", "win"], schema, kernel)
 
 
 def report(df: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.image_bytes import ZIGZAG
 from ..operators import blocks, images, tiles
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,22 +21,31 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+def _drawn(values, grey: bool = False) -> bytes:  # noqa: ANN001
+    import numpy as np
+
+    x = np.asarray(values, np.float64)[:64].reshape(8, 8)
+    big = np.kron(x, np.ones((SIDE // 8, SIDE // 8))) * 200 + 128
+    wave = np.add.outer(np.arange(SIDE), np.arange(SIDE)) % 7
+    return np.clip(np.stack([big + wave] * 3 if grey else [big + wave, big - wave, big.T + wave], 2), 0, 255).astype(np.uint8).tobytes()
+
+
 def pictures(spark: SparkSession, sf_dir: str, grey: bool = False) -> DataFrame:
     """An RGB image for each embedding: its values as an 8 x 8 pattern, enlarged, with a filter pattern on top; in grey if asked."""
 
     @F.pandas_udf(T.BinaryType())
     def drawn(values: pd.Series) -> pd.Series:
-        import numpy as np
+        return values.map(lambda v: _drawn(v, grey))
+
+    return sketches(spark, sf_dir).withColumn("rgb", drawn("rgb"))
 
-        def one(v) -> bytes:  # noqa: ANN001
-            x = np.asarray(v, np.float64)[:64].reshape(8, 8)
-            big = np.kron(x, np.ones((SIDE // 8, SIDE // 8))) * 200 + 128
-            wave = np.add.outer(np.arange(SIDE), np.arange(SIDE)) % 7
-            return np.clip(np.stack([big + wave] * 3 if grey else [big + wave, big - wave, big.T + wave], 2), 0, 255).astype(np.uint8).tobytes()
 
-        return values.map(one)
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pictures`` before they are drawn: rgb is the embedding, of which ``_drawn`` makes pixels inside a task.
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", drawn("embedding").alias("rgb"))
+    Dealt over the cores, as an image is long work and a file of embeddings small.
+    """
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("rgb")).repartition(spread(spark), "vec_id")
     return rows.select("vec_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), "rgb")
 
 
@@ -81,7 +90,7 @@ def kr24_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kr37_pattern_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.pattern_windows(pictures(spark, sf_dir), ["vec_id"], window=32)
+    found = images.pattern_windows(sketches(spark, sf_dir), ["vec_id"], window=32, read=_drawn)
     return found.select("vec_id", "y", "x", "status", *(F.round(c, 2).alias(c) for c in ("m_r", "m_g", "m_b")), F.round("texture", 6).alias("texture"))
 
 

@@ -412,3 +412,16 @@ def test_network_input_and_map_png(spark, tmp_path):
     (tmp_path / "m.png").write_bytes(base64.b64decode(shown[0]))
     r = readers.read_pixels(spark, str(tmp_path)).first()
     assert np.frombuffer(r.rgb, np.uint8).reshape(16, 24, 3)[..., 0].ravel().tolist() == [int(v * 255) for v in values]
+
+
+def test_pixels_are_made_in_the_task_and_dealt(spark):
+    """No Python step holds pixels for another, and a single file's images are dealt over the cores."""
+    from sieveline import catalog
+
+    for name in ("kr37_pattern_windows",):
+        df = catalog.queries()[name](spark, SF)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "RepartitionByExpression" in plan, name
+    rows = spark.createDataFrame([(1, 16, 24, bytes(range(128)) * 9), (2, 16, 24, None), (3, 16, 24, b"no")], "k int, height int, width int, rgb binary")
+    plain = {r.k: r for r in images.residuals(rows, ["k"]).collect()}
+    assert {r.k: r for r in images.residuals(rows, ["k"], read=lambda b: b).collect()} == plain and [plain[k].status for k in (1, 2, 3)] == ["completed", "error", "error"]
