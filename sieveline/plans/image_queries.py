@@ -85,7 +85,7 @@ def kr18_error_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kr24_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(images.residuals(pictures(spark, sf_dir), ["vec_id"]))
+    return _rounded(images.residuals(sketches(spark, sf_dir), ["vec_id"], read=_drawn))
 
 
 @query
