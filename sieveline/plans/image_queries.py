@@ -80,7 +80,7 @@ def kr11_block_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kr18_error_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(images.error_level(pictures(spark, sf_dir), ["vec_id"]))
+    return _rounded(images.error_level(sketches(spark, sf_dir), ["vec_id"], read=_drawn))
 
 
 @query
