@@ -89,7 +89,7 @@ def _mapped(df: DataFrame, keys: list[str], schema: str, work: Callable[[dict],
             own = {k: (item[0] if same else item)[k] for k in keys}
             for found in work(item):
                 out.append(own | found)
-                size += 64 + sum(len(v) for v in found.values() if isinstance(v, bytes))
+                size += 64 + sum(len(v) if isinstance(v, bytes) else v.nbytes for v in found.values() if isinstance(v, bytes | np.ndarray))
                 if size >= BATCH:
                     yield pa.RecordBatch.from_pylist(out, form)
                     out, size = [], 0
@@ -267,7 +267,7 @@ def percentile(rows: DataFrame, keys: list[str], at: float = AT) -> DataFrame:
 
     def counted(row: dict) -> Iterator[dict]:
         own, n = np.unique(ranges(row)[1], return_counts=True)
-        yield from ({"part": a, "k": b} for a, b in zip(own.tolist(), n.tolist(), strict=True))
+        yield {"part": own, "k": n}
 
     def chosen(row: dict) -> Iterator[dict]:
         size, part = ranges(row)
@@ -275,7 +275,9 @@ def percentile(rows: DataFrame, keys: list[str], at: float = AT) -> DataFrame:
         yield from ({"v": a, "k": b, "low_rank": row["low_rank"], "frac": row["frac"], "before": row["before"]} for a, b in zip(own.tolist(), n.tolist(), strict=True))
 
     by = Window.partitionBy(*keys)
-    parts = _mapped(rows.select(*keys, "residual"), keys, "part long, k long", counted).groupBy(*keys, "part").agg(F.sum("k").alias("k"))
+    # a row a cell leaves Python, and its ranges become rows in Spark
+    parts = _mapped(rows.select(*keys, "residual"), keys, "part array<long>, k array<long>", counted)
+    parts = parts.select(*keys, F.inline(F.arrays_zip("part", "k"))).groupBy(*keys, "part").agg(F.sum("k").alias("k"))
     upto = F.sum("k").over(by.orderBy("part"))
     parts = parts.withColumns({"upto": upto, "n": F.sum("k").over(by)}).withColumn("pos", F.lit(at) * (F.col("n") - 1))
     low = F.floor("pos")

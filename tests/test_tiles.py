@@ -134,3 +134,23 @@ def test_windows_without_copies_of_the_image(spark):
             want |= {(name, y, c): (32, 32, x[y : y + 32, c : c + 32].tobytes()) for y in range(0, x.shape[0] - 31, 16) for c in range(0, x.shape[1] - 31, 16)}
     assert {(r.name, r.y, r.x): (r.win_h, r.win_w, None if r.win is None else bytes(r.win)) for r in df.collect()} == want
     assert "Generate" not in df._jdf.queryExecution().toString()
+
+
+def test_a_cell_leaves_python_as_one_row(spark):
+    """Ranges of a cell's values become rows in Spark, not in Python; the blur is what lines by themselves give."""
+    import numpy as np
+
+    from sieveline.functions import image_kernels
+    from sieveline.operators import tiles
+
+    size = np.abs(np.random.default_rng(1).normal(size=400))
+    rows = spark.createDataFrame([(1, size[:150].tobytes()), (1, size[150:].tobytes())], "vec_id int, residual binary")
+    found = tiles.percentile(rows, ["vec_id"])
+    assert "Generate inline" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert abs(found.first().abs_p95 - np.percentile(size, 95)) < 1e-12
+    plane = np.random.default_rng(2).integers(0, 256, (24, 17)).astype(np.uint8)
+    kernel = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
+    lines = np.pad(plane.astype(float), 3, mode="edge")
+    for axis in (0, 1):
+        lines = np.apply_along_axis(np.convolve, axis, lines, kernel / kernel.sum(), mode="valid")
+    assert np.allclose(image_kernels.smoothed(plane), lines, rtol=0, atol=1e-12)
