@@ -70,12 +70,12 @@ def kr25_tiled_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kr23_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(images.frequency(pictures(spark, sf_dir), ["vec_id"]))
+    return _rounded(images.frequency(sketches(spark, sf_dir), ["vec_id"], read=_drawn))
 
 
 @query
 def kr11_block_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.block_analysis(pictures(spark, sf_dir), ["vec_id"]).withColumn("sac", F.round("sac", 6)).drop("tamper")
+    return images.block_analysis(sketches(spark, sf_dir), ["vec_id"], read=_drawn).withColumn("sac", F.round("sac", 6)).drop("tamper")
 
 
 @query

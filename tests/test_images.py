@@ -418,7 +418,7 @@ def test_pixels_are_made_in_the_task_and_dealt(spark):
     """No Python step holds pixels for another, and a single file's images are dealt over the cores."""
     from sieveline import catalog
 
-    for name in ("kr18_error_level", "kr24_residuals", "kr37_pattern_windows"):
+    for name in ("kr11_block_analysis", "kr18_error_level", "kr23_frequency", "kr24_residuals", "kr37_pattern_windows"):
         df = catalog.queries()[name](spark, SF)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" not in plan and "RepartitionByExpression" in plan, name
