@@ -13,7 +13,9 @@ fall to a comparison of bits inside the join. What is left is verified on the
 words: a near pair is alike once the letter that differs is blanked or dropped.
 
 The corpus is read once, in blocks of whole texts; what is shuffled are words
-with counts. Everything after grows with the vocabulary alone.
+with counts. Everything after grows with the vocabulary alone, and so do both
+sides of every join: all are merged, as Spark takes the size of a packed table,
+or one row's for all that it is exploded to, and would broadcast far more.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def letter_rows(words: DataFrame) -> DataFrame:
     """letters (in order), size, bits, parts (a hash of each part), whole (of all) and words of every chunk of every multiset."""
     lettered = words.withColumn("letters", F.array_join(F.array_sort(F.split("word", "")), ""))
     sized = lettered.groupBy("letters").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    rows = lettered.join(sized, "letters").groupBy("letters", F.pmod(F.xxhash64("word"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    rows = lettered.join(sized.hint("merge"), "letters").groupBy("letters", F.pmod(F.xxhash64("word"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("word", "n")).alias("words"))
 
     def place(c: Column, i: Column) -> Column:
         k = i - F.instr(F.col("letters"), c) + 2
@@ -193,7 +195,7 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     right = right.select("key", *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "key"])
     close = F.bit_count(F.col("bits").bitwiseXOR(F.col("b_bits"))) <= 2
     once = (F.col("size") < F.col("b_size")) | ((F.col("size") == F.col("b_size")) & (F.col("letters") < F.col("b_letters")))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("number") == F.col("b_number")) & once & close)
+    met = left.join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("number") == F.col("b_number")) & once & close)
     return met.select("number", "letters", "words", "b_letters", "b_words").mapInArrow(run, "word string, n long, other string, other_n long")
 
 
@@ -210,7 +212,7 @@ def variants(docs: DataFrame) -> DataFrame:
     pairs = tables.keep("pairs", near_pairs(tables.keep("letters", letter_rows(words))))
     ways = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = ways.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    rows = words.join(best, "word", "left")
+    rows = words.join(best.hint("merge"), "word", "left")
     has = -F.col("best.less") >= TIMES * F.col("n")
     rows = tables.keep("forms", rows.select("word", F.when(has, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, -F.col("best.less")).alias("form_n")))
     roots = rows.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
@@ -218,10 +220,10 @@ def variants(docs: DataFrame) -> DataFrame:
     most = rows.agg(F.max("n")).first()[0] or 1
     for turn in range(math.ceil(math.log2(max(1, math.log(most, TIMES)) + 1))):
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        roots = tables.keep(f"roots{turn}", roots.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root")))
+        roots = tables.keep(f"roots{turn}", roots.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("ahead", "root").alias("root")))
         if turn:
             tables.drop(f"roots{turn - 1}")
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def sql() -> str:

@@ -64,3 +64,12 @@ def test_a_long_text_is_read_whole(spark):
     rows = [(1, "spelling " * 200_000 + "speling " * 7), (2, "x" * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in variants.variants(docs).collect()) == plain(rows)
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    """All joins are between tables that grow with the vocabulary, whatever size Spark takes them for."""
+    plans, keep = [], variants.Tables.keep
+    monkeypatch.setattr(variants.Tables, "keep", lambda own, name, df: plans.append(df) or keep(own, name, df))
+    plans.append(variants.variants(spark.createDataFrame([(1, "spelling " * 50 + "speling " * 7)], "doc_id long, text string")))
+    joins = [line for df in plans for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if re.search(r"\bJoin ", line)]
+    assert len(joins) >= 5 and all("strategy=merge" in line for line in joins), joins
