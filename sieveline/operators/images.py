@@ -15,6 +15,7 @@ import base64
 import json
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,10 @@ RESIDUALS = "status string, error string, mean double, std double, skew double,
 
 #: Rows of a batch that are worked on, and whose results leave a task, at once.
 WORK = 256
+#: Pixels of the windows that are worked on side by side, unless one has more.
+BESIDE = 1 << 14
+#: What makes an image's row one of status error.
+FAILURES = (ValueError, TypeError, IndexError, KeyError, ArithmeticError, struct.error)
 Read = Callable[[object], bytes | None]
 
 
@@ -75,7 +80,7 @@ def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _tried(kernel: Callable, values: tuple) -> dict:
     try:
         return {"status": "completed", "error": None, **kernel(*values)}
-    except (ValueError, TypeError, IndexError, KeyError, ArithmeticError, struct.error) as failure:
+    except FAILURES as failure:
         return {"status": "error", "error": str(failure)}
 
 
@@ -232,15 +237,64 @@ def windowed(pixels: DataFrame, keys: list[str], window: int = 256, read: Read |
 
 
 def pattern_windows(pixels: DataFrame, keys: list[str], window: int = 256, pattern: str = "RGGB", rounds: int = 50, read: Read | None = None) -> DataFrame:
-    """Per window and channel the measure of the filter pattern, and the texture of green."""
+    """Per window, as ``windowed`` has them, and channel the measure of the filter pattern, and the texture of green.
 
-    def kernel(h: int, w: int, raw: bytes) -> dict:
-        x = _plane(h, w, raw).astype(np.float64) / 255
-        found = {f"m_{c.lower()}": kernels.pattern_measure(x[..., i], c, pattern, rounds=rounds) for i, c in enumerate("RGB")}
-        return {**found, "texture": float(x[..., 1].var())}
+    Windows are cut inside the task; those of one size are worked on side by side,
+    also of several images, up to BESIDE pixels of them.
+    """
+    kinds = dict(pixels.dtypes)
+    values = ("m_r", "m_g", "m_b", "texture")
+
+    def cut(row: dict) -> list[tuple[dict, np.ndarray | str]]:
+        """Each window's columns and its pixels, or the error of an image that can't be read."""
+        own = {k: row[k] for k in keys} | {"y": 0, "x": 0, "win_h": None, "win_w": None}
+        try:
+            if row["rgb"] is None:
+                raise ValueError("the image has no pixels")
+            h, w = int(row["height"]), int(row["width"])
+            high, wide = (h, w) if window > h or window > w else (window, window)
+            own |= {"win_h": high, "win_w": wide}
+            plane, stride = _plane(h, w, row["rgb"], read), max(1, window // 2)
+            return [(own | {"y": y, "x": x}, plane[y : y + high, x : x + wide]) for y in range(0, h - high + 1, stride) for x in range(0, w - wide + 1, stride)]
+        except FAILURES as failure:
+            return [(own, str(failure))]
+
+    def measured(windows: list[tuple[dict, np.ndarray]]) -> list[dict]:
+        """Rows of windows of one size."""
+        try:
+            x = np.stack([plane for _, plane in windows]).transpose(0, 3, 1, 2) / 255.0
+            found = kernels.pattern_measures(x.reshape(-1, *x.shape[2:]), "RGB" * len(x), pattern, rounds=rounds).reshape(-1, 3)
+            rows = zip(windows, found.tolist(), x[:, 1].var((1, 2)).tolist(), strict=True)
+            return [own | {"status": "completed", "error": None} | dict(zip(values, [*m, texture], strict=True)) for (own, _), m, texture in rows]
+        except FAILURES as failure:
+            if len(windows) > 1:
+                return [row for one in windows for row in measured([one])]
+            return [windows[0][0] | {"status": "error", "error": str(failure)}]
+
+    def rows(batch: pd.DataFrame) -> Iterator[dict]:
+        waiting: list[tuple[dict, np.ndarray]] = []
+        for row in batch.to_dict("records"):
+            for own, plane in cut(row):
+                if isinstance(plane, str):
+                    yield own | {"status": "error", "error": plane}
+                    continue
+                if waiting and (waiting[0][1].shape != plane.shape or len(waiting) * plane.size > 3 * BESIDE - plane.size):
+                    yield from measured(waiting)
+                    waiting = []
+                waiting.append((own, plane))
+        if waiting:
+            yield from measured(waiting)
 
-    schema = "status string, error string, m_r double, m_g double, m_b double, texture double"
-    return _mapped(windowed(pixels, keys, window, read), [*keys, "y", "x", "win_h", "win_w"], ["win_h", "win_w", "win"], schema, kernel)
+    names = [*keys, "y", "x", "win_h", "win_w", "status", "error", *values]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _few(batches):
+            found = rows(batch)
+            while some := list(islice(found, WORK)):
+                yield pd.DataFrame({n: pd.Series([r.get(n) for r in some], dtype=object) for n in names})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "y int, x int, win_h int, win_w int, status string, error string", *(f"{c} double" for c in values)])
+    return pixels.select(*keys, "height", "width", "rgb").mapInPandas(run, schema)
 
 
 def report(df: DataFrame) -> Column:

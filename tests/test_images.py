@@ -398,6 +398,67 @@ def test_pattern_query_against_windows(spark, drawn):
                 assert np.isnan(got) if np.isnan(want) else got == pytest.approx(want, abs=0.05, rel=1e-4)
 
 
+def plain_map(plane, rounds=50):
+    """The mixture by least squares of the pixels in every round."""
+    around = np.lib.stride_tricks.sliding_window_view(plane, (3, 3)).reshape(-1, 9)
+    own, around = around[:, 4], np.delete(around, 4, 1)
+    mix, spread, before = np.linalg.lstsq(around, own, rcond=None)[0], 0.0075, -np.inf
+    for turn in range(rounds + 1):
+        normal = np.exp(-(((own - around @ mix) / spread) ** 2) / 2) / (spread * np.sqrt(2 * np.pi))
+        share, now = normal / (normal + 1 / 256), np.log(normal + 1 / 256).sum()
+        if now - before <= kernels.STILL * abs(now) or not share.any() or turn == rounds:
+            out = np.zeros(plane.shape)
+            out[1:-1, 1:-1] = share.reshape(plane.shape[0] - 2, -1)
+            return out, mix
+        root, before = np.sqrt(share), now
+        mix = np.linalg.lstsq(around * root[:, None], own * root, rcond=None)[0]
+        spread = max(np.sqrt(np.average((own - around @ mix) ** 2, weights=share)), kernels.LEAST_SPREAD)
+
+
+def test_planes_side_by_side_as_one_by_one(drawn):
+    """Also flat, black and sloping planes, whose neighbours depend on each other, beside others; and any number of rounds."""
+    y, x = np.mgrid[0:32, 0:32]
+    rng = np.random.default_rng(5)
+    half = np.where(x < 16, 1.0, rng.integers(0, 256, (32, 32)) / 255)
+    planes = [*(rgb[:32, :32, i] / 255 for rgb in drawn.values() for i in range(3)), np.ones((32, 32)), np.zeros((32, 32)), x / 64.0, half, rng.integers(0, 256, (32, 32)) / 255]
+    for rounds in (0, 1, 50):
+        maps, mixes = kernels.interpolation_maps(np.stack(planes), rounds=rounds)
+        for i, plane in enumerate(planes):
+            want, mix = plain_map(plane, rounds)
+            assert np.abs(maps[i] - want).max() < 1e-6 and np.abs(mixes[i] - mix).max() < 1e-6, (rounds, i)
+    narrow = kernels.interpolation_maps(np.stack(planes)[:, :3, :4])[0]  # two inner pixels
+    assert narrow.shape == (len(planes), 3, 4)
+
+
+def test_windows_take_no_least_squares_of_pixels(drawn, monkeypatch):
+    """A window's rounds are solved from sums over its pixels, for all windows of an image at once."""
+    calls, real = [], np.linalg.inv
+    monkeypatch.setattr(np.linalg, "inv", lambda a: calls.append(len(a)) or real(a))
+    monkeypatch.setattr(np.linalg, "lstsq", None)
+    for rgb in drawn.values():
+        planes = np.stack([rgb[y : y + 32, x : x + 32, i] / 255 for y in (0, 16) for x in (0, 16) for i in range(3)])
+        calls.clear()
+        kernels.pattern_measures(planes, "RGB" * 4)
+        assert calls[0] == 12 and len(calls) <= 51
+
+
+def test_windows_beside_others_and_what_cannot_be_read(spark, monkeypatch):
+    """Sizes by turns, images without pixels, of a wrong length and too small: each row is as if alone."""
+    x = picture(48, 64)
+    rows = [(1, 48, 64, x.tobytes()), (2, 48, 64, None), (3, 48, 64, b"no"), (4, 20, 64, x[:20].tobytes()), (5, 2, 2, bytes(12)), (6, None, 64, b"no"), (7, 48, 64, x[::-1].tobytes()), (8, 48, 64, bytes(48 * 64 * 3))]
+    df = spark.createDataFrame(rows, "k int, height int, width int, rgb binary").coalesce(1)
+
+    def found(beside):
+        monkeypatch.setattr(images, "BESIDE", beside)
+        got = images.pattern_windows(df, ["k"], window=32, rounds=5).collect()
+        return {(r.k, r.y, r.x): (r.win_h, r.win_w, r.status, r.error, *(None if v is None else round(v, 4) for v in (r.m_r, r.m_g, r.m_b, r.texture))) for r in got}
+
+    alone = found(1)
+    assert found(1 << 14) == alone and len(alone) == 3 * 6 + 5
+    assert {k for (k, _, _), r in alone.items() if r[2] == "error"} == {2, 3, 5, 6}
+    assert alone[4, 0, 0][:3] == (20, 64, "completed") and alone[2, 0, 0][:4] == (None, None, "error", "the image has no pixels")
+
+
 def test_network_input_and_map_png(spark, tmp_path):
     import base64
 
